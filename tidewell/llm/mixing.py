@@ -83,7 +83,7 @@ def schedule(lanes: DataFrame, block_words: int) -> DataFrame:
     return taken.select("slot", "lane", block_no.cast("long").alias("block"), trimmed.cast("long").alias("words"))
 
 
-def mix_sources(docs: DataFrame, block_words: int = 2048, most_passes: int = 3, seed: int = 7, rows_a_block: int = 50_000, tag: str | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, block_words: int = 2048, most_passes: int = 3, seed: int = 7, rows_a_block: int = 4096, tag: str | None = None) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, taken (and the tag, if named).
 
     ``taken`` counts the words of the row that the mix has, repeats included: never over ``most_passes``
