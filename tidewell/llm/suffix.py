@@ -317,13 +317,14 @@ def repeated_windows(texts: DataFrame, most_contexts: int = MOST_CONTEXTS, a_buc
     """(spans, texts of documents with contexts to sort) for ``texts`` (uid, text): uid, since, until of first bytes of windows that repeat."""
     found = _scan(texts)
     found = materialize(found, "anchors")
-    often = found.groupBy("ahead_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ahead_hash")
+    # Written, so that the joins below have exchanges of their own, whose large partitions Spark can split.
+    often = materialize(found.groupBy("ahead_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ahead_hash"), "often")
     likely = materialize(found.join(often, "ahead_hash", "left_semi"), "candidates")
     where = F.struct("uid", "pos", "back", "most")
     contexts = materialize(likely.groupBy("ahead_hash", "context_hash").agg(F.min(where).alias("at"), F.count(F.lit(1)).cast("int").alias("times")), "contexts")
     settled = likely.join(contexts.where("times > 1"), ["ahead_hash", "context_hash"], "left_semi")
     settled = settled.select("uid", (F.col("pos") - F.col("most")).alias("since"), (F.col("pos") - F.col("back")).alias("until"))
-    kinds = contexts.groupBy("ahead_hash").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    kinds = materialize(contexts.groupBy("ahead_hash").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "kinds")
     total = kinds.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
     # A bucket of first bytes has about a_bucket contexts, so their number grows with the corpus.
     buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // a_bucket)
