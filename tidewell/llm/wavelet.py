@@ -148,9 +148,9 @@ def library_encoder(path: str) -> TextEncoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenize, letter = tokenizer.model.tokenize, [c for c, _ in sorted(byte_letters().items(), key=lambda x: x[1])]
+    tokenize, letter = tokenizer.model.tokenize, str.maketrans({chr(b): c for c, b in byte_letters().items()})
     special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-    return TextEncoder(lambda words: [[t.id for t in tokenize("".join([letter[b] for b in w.encode()]))] for w in words], special)
+    return TextEncoder(lambda words: [[t.id for t in tokenize(w.encode().decode("latin-1").translate(letter))] for w in words], special)
 
 
 def write_token_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, shard_tokens: int = 1 << 20, bits: int = 16) -> None:
