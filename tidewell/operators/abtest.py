@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .drift import bucket_counts, bucket_shares, psi_of, quantile_edges
 
@@ -72,7 +73,7 @@ def z_test(s_a: Column, n_a: Column, s_b: Column, n_b: Column) -> tuple[Column,
     return diff, F.when(error > 0, F.try_divide(diff, error))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """Spark SQL has no error function; this runs on one row a comparison."""
     return z.map(lambda v: None if v is None or math.isnan(v) else math.erfc(abs(v) / math.sqrt(2)))
