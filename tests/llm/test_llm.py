@@ -294,12 +294,12 @@ def test_ordinal(spark, docs, none):
     known = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(400)]
     word = lambda: rng.choice(known)
     text = lambda g: " ".join([word() for _ in range(60)] + ["vile"] * (g == 0) + ["!!!" + word() for _ in range(30)] * (g == 1))
-    grades = [rng.choice([0, 1, 2, 2, 2]) for _ in range(900)]
+    grades = [rng.choice([0, 1, 2, 2, 2]) for _ in range(2600)]
     table = spark.createDataFrame([(i, text(g)) for i, g in enumerate(grades)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(g != 1), int(g == 0)) for i, g in enumerate(grades[:600])] + [(None, 1, 1), (5000, None, None)], "doc_id long, quality int, toxic int")
-    model = ordinal.train(table, labels, most_rows=500)
+    labels = spark.createDataFrame([(i, int(g != 1), int(g == 0)) for i, g in enumerate(grades[:2000])] + [(None, 1, 1), (5000, None, None)], "doc_id long, quality int, toxic int")
+    model = ordinal.train(table, labels, most_rows=1800)
     assert model.thresholds[0] < model.thresholds[1]
-    held = [r for r in ordinal.grade_documents(table, model).collect() if r.doc_id >= 600]
+    held = [r for r in ordinal.grade_documents(table, model).collect() if r.doc_id >= 2000]
     right = lambda gs, kept: np.mean([r.kept == kept for r in held if grades[r.doc_id] in gs])
     assert right({2}, True) > 0.95 and right({0, 1}, False) > 0.95
     kept = ordinal.grade_documents(docs, model, keep=True)
