@@ -16,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -147,34 +146,25 @@ def load_automaton(path: str) -> TokenAutomaton:
 
 
 class TextEncoder:
-    """Whole texts to little-endian 32-bit ids, with a bounded cache of words already encoded.
+    """Whole texts to little-endian 32-bit ids, with a bounded cache of words already encoded."""
 
-    The cache has two generations: when the young one is full it becomes the old one, and words that are
-    met again come back from there, so frequent words are never encoded anew.
-    """
-
-    def __init__(self, encode_words: Callable[[list[str]], list[list[int]]], special: dict[str, int], most_words: int = 250_000):
+    def __init__(self, encode_words: Callable[[list[str]], list[list[int]]], special: dict[str, int], most_words: int = 300_000):
         self.encode_words, self.most_words = encode_words, most_words
         self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.special = {k: np.uint32(v).astype("<u4").tobytes() for k, v in special.items()}
         self.cut = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
 
     def _segment(self, text: str) -> bytes:
-        words = pre_split(text)
-        found = list(map(self.cache.get, words))
-        places = [i for i, x in enumerate(found) if x is None]
-        if places:
-            if len(self.cache) > self.most_words:
-                self.old, self.cache = self.cache, {}
-            missing = dict.fromkeys(words[i] for i in places)
-            known = {w: x for w in missing if (x := self.old.get(w)) is not None}
-            new = [w for w in missing if w not in known]
-            known.update(zip(new, (array("I", x).tobytes() for x in self.encode_words(new)), strict=True))
-            self.cache.update(known)
-            for i in places:
-                found[i] = known[words[i]]
-        return b"".join(found)
+        words, cache = pre_split(text), self.cache
+        try:
+            return b"".join(map(cache.__getitem__, words))
+        except KeyError:
+            pass
+        if len(cache) > self.most_words:
+            cache.clear()
+        new = [w for w in dict.fromkeys(words) if w not in cache]
+        cache.update(zip(new, (np.asarray(x, "<u4").tobytes() for x in self.encode_words(new)), strict=True))
+        return b"".join(map(cache.__getitem__, words))
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
