@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -145,34 +146,39 @@ def load_automaton(path: str) -> TokenAutomaton:
     return TokenAutomaton(model["vocab"], merges, special)
 
 
+class _Words(dict):
+    """Packed ids by word, filled as words are asked for; it starts anew when it is full."""
+
+    def __init__(self, encode_word: Callable[[str], list[int]], most_words: int):
+        super().__init__()
+        self.encode_word, self.most_words = encode_word, most_words
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.most_words:
+            self.clear()
+        ids = self.encode_word(word)
+        packed = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return packed
+
+
 class TextEncoder:
     """Whole texts to little-endian 32-bit ids, with a bounded cache of words already encoded."""
 
-    def __init__(self, encode_words: Callable[[list[str]], list[list[int]]], special: dict[str, int], most_words: int = 300_000):
-        self.encode_words, self.most_words = encode_words, most_words
-        self.cache: dict[str, bytes] = {}
-        self.special = {k: np.uint32(v).astype("<u4").tobytes() for k, v in special.items()}
-        self.cut = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+    def __init__(self, encode_word: Callable[[str], list[int]], special: dict[str, int], most_words: int = 300_000):
+        self.ids_of = _Words(encode_word, most_words).__getitem__
+        self.special = {k: struct.pack("<I", v) for k, v in special.items()}
+        self.cut = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))))
 
     def _segment(self, text: str) -> bytes:
-        words, cache = pre_split(text), self.cache
-        try:
-            return b"".join(map(cache.__getitem__, words))
-        except KeyError:
-            pass
-        if len(cache) > self.most_words:
-            cache.clear()
-        new = [w for w in dict.fromkeys(words) if w not in cache]
-        cache.update(zip(new, (np.asarray(x, "<u4").tobytes() for x in self.encode_words(new)), strict=True))
-        return b"".join(map(cache.__getitem__, words))
+        return b"".join(map(self.ids_of, pre_split(text)))
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.cut is None or not (marks := list(self.cut.finditer(text))):
+        if not any(s in text for s in self.special):
             return self._segment(text)
         out, at = [], 0
-        for m in marks:
+        for m in self.cut.finditer(text):
             out += [self._segment(text[at : m.start()]), self.special[m.group()]]
             at = m.end()
         return b"".join([*out, self._segment(text[at:])])
@@ -181,7 +187,7 @@ class TextEncoder:
 @lru_cache(maxsize=4)
 def automaton_encoder(path: str) -> TextEncoder:
     auto = load_automaton(path)
-    return TextEncoder(lambda words: [auto.encode_word(w.encode()) for w in words], auto.special)
+    return TextEncoder(lambda word: auto.encode_word(word.encode()), auto.special)
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:

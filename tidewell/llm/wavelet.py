@@ -39,11 +39,11 @@ class WaveletMatrix:
         for k in range(bits - 1, -1, -1):
             ones = (level & kind(1 << k)).astype(bool)
             plane = np.packbits(ones, bitorder="little")
-            low = level[~ones]
+            low = level.compress(~ones)
             zeros.append(len(low))
             planes.append(plane)
             ranks.append(cls._ranks(plane))
-            level = np.concatenate([low, level[ones]])
+            level = np.concatenate([low, level.compress(ones)])
         return cls(len(ids), zeros, planes, ranks)
 
     @staticmethod
@@ -136,8 +136,8 @@ class WaveletMatrix:
         for k in range(bits - 1, -1, -1):
             ones = np.unpackbits(self.planes[k], count=self.size, bitorder="little").view(bool)
             above = np.empty(self.size, kind)
-            above[~ones] = level[: self.zeros[k]]
-            above[ones] = level[self.zeros[k] :] | kind(1 << (bits - 1 - k))
+            above[np.flatnonzero(~ones)] = level[: self.zeros[k]]
+            above[np.flatnonzero(ones)] = level[self.zeros[k] :] | kind(1 << (bits - 1 - k))
             level = above
         return level
 
@@ -150,7 +150,7 @@ def library_encoder(path: str) -> TextEncoder:
     tokenizer = Tokenizer.from_file(path)
     tokenize, letter = tokenizer.model.tokenize, [c for c, _ in sorted(byte_letters().items(), key=lambda x: x[1])]
     special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-    return TextEncoder(lambda words: [[t.id for t in tokenize("".join([letter[b] for b in w.encode()]))] for w in words], special)
+    return TextEncoder(lambda word: [t.id for t in tokenize("".join([letter[b] for b in word.encode()]))], special)
 
 
 def write_token_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, shard_tokens: int = 1 << 20, bits: int = 16) -> None:
