@@ -162,9 +162,9 @@ class _Words(dict):
 
 
 class TextEncoder:
-    """Whole texts to little-endian 32-bit ids, with a bounded cache of words already encoded."""
+    """Whole texts to little-endian 32-bit ids; the cache holds at most ``most_words`` words of about 200 bytes."""
 
-    def __init__(self, encode_word: Callable[[str], list[int]], special: dict[str, int], most_words: int = 300_000):
+    def __init__(self, encode_word: Callable[[str], list[int]], special: dict[str, int], most_words: int = 600_000):
         self.ids_of = _Words(encode_word, most_words).__getitem__
         self.special = {k: struct.pack("<I", v) for k, v in special.items()}
         self.cut = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))))
