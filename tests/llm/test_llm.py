@@ -98,10 +98,49 @@ def test_simhash(docs, none, rows):
             least[root[m]] = min(least.get(root[m], r[0]), r[0])
     want = [(r[0], f"{m:016x}", least.get(root[m])) for r, m in zip(rows, marks, strict=True)]
     same([tuple(r) for r in simhash.simhash_groups(docs).collect()], want)
-    assert simhash.drop_near_duplicates(docs).count() == len(set(root.values()))
     assert simhash.simhash_groups(none).count() == 0
 
 
+def _shingles(text):
+    words = WORDS("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+@pytest.mark.parametrize("blocks", [(3, 2), (4096, 256)])
+def test_near_duplicates(spark, docs, none, rows, blocks):
+    """Groups by a Jaccard similarity of 0.8 over five-word shingles, against all pairs."""
+    rng = random.Random(9)
+    texts = [r[1] for r in rows]
+    for n in (90, 120, 260):  # edits of one text that leave similarities on both sides of 0.8
+        base = [f"w{rng.randrange(4000)}" for _ in range(n)]
+        for edits in [0, 1, 1, 2, 2, 3, 4, 6, 9]:
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(n)] = f"e{rng.randrange(4000)}"
+            texts.append(" ".join(copy))
+    sets = [_shingles(t) for t in texts]
+    ids = [r[0] for r in rows] + list(range(1000, 1000 + len(texts) - len(rows)))
+    root = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(texts)):
+            for b in range(len(texts)):
+                if root[b] < root[a] and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+                    root[a], changed = root[b], True
+    least = {}
+    for i, g in zip(ids, root, strict=True):
+        if i is not None:
+            least[g] = min(least.get(g, i), i)
+    more = docs.unionByName(spark.createDataFrame([(i, t, "en", "s", "d", 1, "t", "b") for i, t in zip(ids[len(rows) :], texts[len(rows) :], strict=True)], SCHEMA))
+    got = simhash.similar_groups(more, block=blocks[0], family_block=blocks[1])
+    same([(r.doc_id, r.component_id) for r in got.collect()], [(i, least.get(g)) for i, g in zip(ids, root, strict=True)])
+    kept = simhash.drop_near_duplicates(more)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(least.values())
+    assert kept.count() == len(set(root))
+    assert simhash.similar_groups(none).count() == 0 == simhash.drop_near_duplicates(none).count()
+
+
 @pytest.mark.parametrize("block", [3, 4096])
 def test_simhash_links_in_blocks(spark, block):
     rng = random.Random(block)

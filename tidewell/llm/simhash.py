@@ -12,12 +12,12 @@ more than ``block`` fingerprints is cut into blocks, each of which meets all the
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -62,6 +62,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, schema)
 
 
+def _differing(some: np.ndarray, one: np.ndarray) -> np.ndarray:
+    bits = np.bitwise_count(some ^ one)
+    return bits if bits.ndim == 1 else bits.sum(1, dtype=np.int64)
+
+
 def _roots(own: np.ndarray, most_bits: int) -> np.ndarray:
     """For each fingerprint of a block the index of its component's first one."""
     root = np.arange(len(own))
@@ -74,7 +79,7 @@ def _roots(own: np.ndarray, most_bits: int) -> np.ndarray:
             rest = np.flatnonzero(todo)
             if not len(rest):
                 break
-            near = rest[np.bitwise_count(own[rest] ^ own[queue.pop()]) <= most_bits]
+            near = rest[_differing(own[rest], own[queue.pop()]) <= most_bits]
             todo[near], root[near] = False, first
             queue += near.tolist()
     return root
@@ -183,10 +188,199 @@ def simhash_groups(docs: DataFrame, most_bits: int = MOST_BITS, block: int = 409
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *([F.col("tag").alias(tag)] if tag else []))
 
 
+def _majority(hashes: np.ndarray, words: int) -> np.ndarray:
+    """64 x ``words`` majority bits over hashes, each spread over that many words by splitmix64."""
+    ones = np.zeros(64 * words, np.int64)
+    steps = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), 1 << 12):
+        x = hashes[at : at + (1 << 12), None] + steps[None, :]
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
+
+
+def _words(text: str | None) -> list[bytes]:
+    return _WORD((text or "").encode().translate(_LOWER))
+
+
+def _spans(words: list[bytes], width: int) -> np.ndarray:
+    """Hashes of the distinct shingles; fewer words than ``width`` are one, no words none."""
+    spans = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+    return np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in spans), np.uint64, len(spans))
+
+
+def similarity_mark(text: str | None, width: int = 5) -> np.ndarray:
+    """The fingerprint for similarities: 192 bits of the distinct words, then 1,024 of the distinct shingles."""
+    words = _words(text)
+    return np.concatenate([_majority(_spans(words, 1), 3), _majority(_spans(words, width), 16)])
+
+
+def similarity_marks(docs: DataFrame, id_col: str, text_col: str, tag: str, width: int) -> DataFrame:
+    """doc_id, tag, mark (152 bytes), segments (the six 32-bit ones of the words' bits)."""
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(tag).alias("tag"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [similarity_mark(t.as_py(), width) for t in batch.column(2)]
+            segments = pa.array([m[:3].view(np.uint32).astype(np.int64) for m in marks], pa.list_(pa.int64()))
+            columns = [batch.column(0), batch.column(1), pa.array([m.tobytes() for m in marks], pa.binary()), segments]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "mark", "segments"])
+
+    return source.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, tag long, mark binary, segments array<long>")
+
+
+def similarity_bits(similarity: float, bits: int = 1024, errors: float = 4) -> int:
+    """Differing bits of sets of this Jaccard similarity: their mean, by the angle, and ``errors`` standard errors."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * share + errors * np.sqrt(bits * share * (1 - share)))
+
+
+def _cut(rows: DataFrame, block: int, name: str) -> DataFrame:
+    """key, i, j, id of rows (key, id): keys of more than ``block`` ids are cut into blocks, each two of which meet."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    large = materialize(sizes.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), name)
+    rows = rows.select("key", "id")
+    if large.isEmpty():
+        return rows.withColumns({"i": F.lit(0), "j": F.lit(0)})
+    rows = rows.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("key", "id", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"))
+
+
+def _edges(held: pa.Table) -> np.ndarray:
+    """Where the groups of (key, i, j) begin."""
+    new = np.ones(held.num_rows, bool)
+    new[1:] = np.any([np.diff(held.column(c).to_numpy()) != 0 for c in ("key", "i", "j")], axis=0)
+    return np.flatnonzero(new)
+
+
+def _spanning(rows: DataFrame, roots: Callable[[pa.Table], np.ndarray]) -> DataFrame:
+    """Links a, b from the ids of each group (key, i, j) to the ids of their roots; no more than two blocks are held."""
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+
+    def links(held: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
+        ids, found = held.column("id").to_numpy(), [np.zeros((2, 0), np.int64)]
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), held.num_rows], strict=True):
+            if b - a > 1:
+                own, root = ids[a:b], roots(held.slice(a, b - a))
+                found.append(np.stack([own, own[root]])[:, root != np.arange(b - a)])
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches([*rest, batch]).combine_chunks()
+            edges = _edges(held)
+            rest = held.slice(int(edges[-1])).to_batches()  # whole when the next group begins
+            if len(edges) > 1:
+                yield links(held.slice(0, int(edges[-1])), edges[:-1])
+        if rest:
+            held = pa.Table.from_batches(rest).combine_chunks()
+            yield links(held, _edges(held))
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _bits(held: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(held.column("bits").to_pylist()), np.uint64).reshape(held.num_rows, -1)
+
+
+def similar_links(marks: DataFrame, most_bits: int, block: int = 4096) -> DataFrame:
+    """Links a, b between ids of distinct marks that differ in at most ``most_bits`` of the shingles' bits.
+
+    ``marks`` has id, mark and segments. Table and queries both enumerate balls of radius 1, so two marks
+    meet if a segment differs in at most 2 bits. Only ids are exchanged for that; marks follow to the
+    entries that are met at all. Links span the components of an entry's blocks, never all pairs.
+    """
+    flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(32)))
+    at = marks.select("id", F.posexplode("segments").alias("seg", "value"))
+    key = F.explode(F.transform(flips, lambda f: F.shiftleft(F.col("seg").cast("long"), 32) + F.col("value").bitwiseXOR(f)))
+    by_key = Window.partitionBy("key").orderBy("id")
+    rows = at.select("id", key.alias("key"))
+    rows = rows.withColumn("met", F.lag("id").over(by_key).isNotNull() | F.lead("id").over(by_key).isNotNull()).where("met").drop("met")
+    rows = _cut(materialize(rows, "met"), block, "large_entries")
+    rows = rows.join(marks.select("id", F.substring("mark", 25, 128).alias("bits")), "id")
+    return _spanning(rows, lambda held: _roots(_bits(held), most_bits))
+
+
+def _verified_roots(held: pa.Table, most_bits: int, similarity: float) -> np.ndarray:
+    """For each row the first of its component by links of at most ``most_bits`` and the true ``similarity``."""
+    own = _bits(held)
+    sets = [np.frombuffer(x, np.uint64) for x in held.column("shingles").to_pylist()]
+    stop = np.cumsum([len(x) for x in sets])
+    of = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], stop[:-1])
+    size, flag = np.array([len(x) for x in sets]), np.zeros(int(stop[-1]) + 1, bool)
+    root, todo = np.arange(len(own)), np.ones(len(own), bool)
+    for first in range(len(own)):
+        if not todo[first]:
+            continue
+        todo[first], queue = False, [first]
+        while queue:
+            at = queue.pop()
+            rest = np.flatnonzero(todo & (np.minimum(size, size[at]) >= similarity * np.maximum(size, size[at])))
+            rest = rest[_differing(own[rest], own[at]) <= most_bits]
+            flag[of[at]] = True
+            shared = np.array([np.count_nonzero(flag[of[i]]) for i in rest], np.int64)
+            flag[of[at]] = False
+            near = rest[shared >= similarity * (size[rest] + size[at] - shared)]
+            todo[near], root[near] = False, first
+            queue += near.tolist()
+    return root
+
+
+def verified_links(families: DataFrame, texts: DataFrame, most_bits: int, similarity: float, width: int, block: int = 256) -> DataFrame:
+    """Links a, b between ids of a family whose shingle sets have the ``similarity``, counted in full.
+
+    ``families`` has key, id and bits; ``texts`` has id and text of those ids at least. A text's shingles are sent
+    once for every block of its family, so once for families of up to ``block`` ids.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(_spans(_words(t.as_py()), width)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+
+    sets = texts.join(families.select("id"), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, shingles binary")
+    rows = _cut(families, block, "large_families").join(families.select("id", "bits"), "id").join(materialize(sets, "shingles"), "id")
+    return _spanning(rows.select("key", "i", "j", "id", "bits", "shingles"), lambda held: _verified_roots(held, most_bits, similarity))
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, block: int = 4096, family_block: int = 256, id_col: str = "doc_id", text_col: str = "text", tag: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, component_id, component (and the tag, if named), by similarity of the shingle sets.
+
+    Rows link if the Jaccard similarity of their shingles is ``similarity`` or more. Candidates meet in the segments
+    of the distinct words' bits, which near copies share far oftener than those of shingles; their whole distance
+    over the shingles' bits is verified with an allowance of four standard errors, and the families that it
+    leaves are checked by the shingles themselves. Lower-cased texts with the same words and shingles are linked,
+    also those without words; a null text counts as empty. component_id is the smallest doc_id reachable, null
+    only if no row of the component has one; component tells such components apart. An empty table gives an
+    empty result; further columns are ignored.
+    """
+    copy, row = (docs.select(id_col, text_col, tag), tag) if tag else tagged(docs.select(id_col, text_col))
+    marks = materialize(similarity_marks(copy, id_col, text_col, row, width), "marks")
+    distinct = materialize(marks.groupBy("mark").agg(F.min("tag").alias("id"), F.min("doc_id").alias("least"), F.first("segments").alias("segments")), "distinct")
+    most = similarity_bits(similarity)
+    families = components(similar_links(distinct, most, block)).select(F.col("node").alias("id"), F.col("root").alias("key"))
+    families = materialize(families.join(distinct.select("id", F.substring("mark", 25, 128).alias("bits")), "id"), "families")
+    texts = copy.select(F.col(row).alias("id"), F.col(text_col).cast("string").alias("text"))
+    roots = components(verified_links(families, texts, most, similarity, width, family_block)).withColumnRenamed("node", "id")
+    placed = distinct.select("mark", "id", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = materialize(placed.select("mark", "least", "root"), "placed")
+    lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = placed.join(lowest, "root").select("mark", "component_id", "root")
+    return marks.join(named, "mark").select("doc_id", "component_id", F.col("root").alias("component"), *([F.col("tag").alias(tag)] if tag else []))
+
+
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One row of each component, the one with the smallest doc_id, with all its columns."""
+    """One row of each group of ``similar_groups``, the one with the smallest doc_id, with all its columns."""
     copy, tag = tagged(docs)
-    groups = simhash_groups(copy, tag=tag, **options).select("doc_id", "component_id", F.col(tag).alias("tag"))
-    # The component's own row: ties between rows with one doc_id, or with none, go to the smallest tag.
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("tag").alias(tag)).select(tag)
+    groups = similar_groups(copy, tag=tag, **options)
+    # Ties between rows with one doc_id, or with none, go to the smallest tag.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(tag).alias("tag")))
+    stay = groups.groupBy("component").agg(first.alias("first")).select(F.col("first.tag").alias(tag))
     return copy.join(stay, tag, "left_semi").select(*docs.columns)
