@@ -7,6 +7,10 @@ distance. A differing bit flips a segment's parity, so only even segments need t
 values are asked for. Matches of one table entry are resolved where the entry's block of fingerprints
 lies: a query gives one link to each component of the block that it touches, never all pairs. An entry with
 more than ``block`` fingerprints is cut into blocks, each of which meets all the entry's queries.
+
+Near duplicates by similarity (``similar_groups``) are as far as 10 of 64 bits apart, beyond such balls. They are
+indexed by six 32-bit segments over their distinct words, with balls on both sides, and verified by
+1,024 bits over their shingles, then by the shingles themselves.
 """
 
 from __future__ import annotations
@@ -345,7 +349,9 @@ def verified_links(families: DataFrame, texts: DataFrame, most_bits: int, simila
             sets = [np.unique(_spans(_words(t.as_py()), width)).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
-    sets = texts.join(families.select("id"), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, shingles binary")
+    # Written, so that Spark knows how few ids there are before it plans to shuffle the texts.
+    ids = materialize(families.select("id"), "family_ids")
+    sets = texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, shingles binary")
     rows = _cut(families, block, "large_families").join(families.select("id", "bits"), "id").join(materialize(sets, "shingles"), "id")
     return _spanning(rows.select("key", "i", "j", "id", "bits", "shingles"), lambda held: _verified_roots(held, most_bits, similarity))
 
@@ -383,4 +389,4 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     # Ties between rows with one doc_id, or with none, go to the smallest tag.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(tag).alias("tag")))
     stay = groups.groupBy("component").agg(first.alias("first")).select(F.col("first.tag").alias(tag))
-    return copy.join(stay, tag, "left_semi").select(*docs.columns)
+    return copy.join(materialize(stay, "stay"), tag, "left_semi").select(*docs.columns)
