@@ -141,6 +141,27 @@ def test_near_duplicates(spark, docs, none, rows, blocks):
     assert simhash.similar_groups(none).count() == 0 == simhash.drop_near_duplicates(none).count()
 
 
+def test_near_duplicates_by_kind_of_edit(spark):
+    """Every pair of edited copies just above the similarity is found, and none just below, wherever the edit lies."""
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts, kinds = [], []
+    for kind, least, most in (("appended", 0.17, 0.27), ("truncated", 0.15, 0.22), ("replaced", 0.08, 0.12), ("short", 0.1, 0.3)):
+        for _ in range(100):
+            n = rng.randrange(8, 30) if kind == "short" else rng.randrange(60, 600)
+            base, k = words(n), max(1, round(n * rng.uniform(least, most)))
+            at = rng.randrange(n - k)
+            copy = base[: n - k] if kind == "truncated" else base[:at] + words(k) + base[at + k :] if kind == "replaced" else base + words(k)
+            texts += [" ".join(base), " ".join(copy)]
+            kinds.append(kind)
+    sets = [_shingles(t) for t in texts]
+    near = [len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert {(k, x) for k, x in zip(kinds, near, strict=True)} == {(k, x) for k in kinds for x in (True, False)}
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = [got[2 * i] == got[2 * i + 1] for i in range(len(near))]
+    assert Counter(k for k, x, y in zip(kinds, near, found, strict=True) if x != y) == Counter()
+
+
 @pytest.mark.parametrize("block", [3, 4096])
 def test_simhash_links_in_blocks(spark, block):
     rng = random.Random(block)

@@ -9,8 +9,8 @@ lies: a query gives one link to each component of the block that it touches, nev
 more than ``block`` fingerprints is cut into blocks, each of which meets all the entry's queries.
 
 Near duplicates by similarity (``similar_groups``) are as far as 10 of 64 bits apart, beyond such balls. They are
-indexed by six 32-bit segments over their distinct words, with balls on both sides, and verified by
-1,024 bits over their shingles, then by the shingles themselves.
+indexed by their rarest shingles, as many as two such texts must share one of, and verified by 1,024 bits over
+their shingles, then by the shingles themselves.
 """
 
 from __future__ import annotations
@@ -71,11 +71,10 @@ def _differing(some: np.ndarray, one: np.ndarray) -> np.ndarray:
     return bits if bits.ndim == 1 else bits.sum(1, dtype=np.int64)
 
 
-def _roots(own: np.ndarray, most_bits: int) -> np.ndarray:
-    """For each fingerprint of a block the index of its component's first one."""
-    root = np.arange(len(own))
-    todo = np.ones(len(own), bool)
-    for first in range(len(own)):
+def _grown(n: int, near_of: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """For each of ``n`` rows the index of its component's first one; ``near_of`` gives the rows of some that link to one."""
+    root, todo = np.arange(n), np.ones(n, bool)
+    for first in range(n):
         if not todo[first]:
             continue
         todo[first], queue = False, [first]
@@ -83,12 +82,17 @@ def _roots(own: np.ndarray, most_bits: int) -> np.ndarray:
             rest = np.flatnonzero(todo)
             if not len(rest):
                 break
-            near = rest[_differing(own[rest], own[queue.pop()]) <= most_bits]
+            near = near_of(queue.pop(), rest)
             todo[near], root[near] = False, first
             queue += near.tolist()
     return root
 
 
+def _roots(own: np.ndarray, most_bits: int) -> np.ndarray:
+    """For each fingerprint of a block the index of its component's first one."""
+    return _grown(len(own), lambda at, rest: rest[_differing(own[rest], own[at]) <= most_bits])
+
+
 def _resolve(own: np.ndarray, asked: np.ndarray, most_bits: int) -> list[np.ndarray]:
     """Links (2, n) of a block: its members to their component's root, and each query to every root touched."""
     root = _roots(own, most_bits)
@@ -215,30 +219,67 @@ def _spans(words: list[bytes], width: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in spans), np.uint64, len(spans))
 
 
-def similarity_mark(text: str | None, width: int = 5) -> np.ndarray:
-    """The fingerprint for similarities: 192 bits of the distinct words, then 1,024 of the distinct shingles."""
-    words = _words(text)
-    return np.concatenate([_majority(_spans(words, 1), 3), _majority(_spans(words, width), 16)])
+def similarity_mark(spans: np.ndarray) -> np.ndarray:
+    """The fingerprint for similarities: 1,024 bits of the distinct shingles."""
+    return _majority(spans, 16)
+
+
+def common_shingles(docs: DataFrame, text_col: str, tag: str, width: int, most_rows: int = 10_000, least: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and counts of the shingles in ``least`` or more texts of a sample of about ``most_rows``.
+
+    They only order the shingles of every text, and any order finds the same pairs: the sample bounds the cost.
+    """
+    every = max(1, docs.count() // most_rows)
+    texts = docs.where(F.pmod(F.xxhash64(tag), F.lit(every)) == 0).select(F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [_spans(_words(t.as_py()), width) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *spans]).view(np.int64))], names=["shingle"])
+
+    counts = texts.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).toArrow()
+    hashes, n = counts.column("shingle").to_numpy().view(np.uint64), counts.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def prefix(spans: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles by rarity and hash, so many that sets of the ``similarity`` have one of them in common.
+
+    Such sets share at least ``similarity`` of either's shingles, so the first one shared has no more than the others before it.
+    """
+    known, counts = common
+    times = np.zeros(len(spans), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, spans), len(known) - 1)
+        times = np.where(known[at] == spans, counts[at], 0)
+    most = len(spans) - int(np.ceil(similarity * len(spans) - 1e-9)) + 1 if len(spans) else 0
+    return spans[np.lexsort((spans, times))[:most]]
 
 
-def similarity_marks(docs: DataFrame, id_col: str, text_col: str, tag: str, width: int) -> DataFrame:
-    """doc_id, tag, mark (152 bytes), segments (the six 32-bit ones of the words' bits)."""
+def similarity_marks(docs: DataFrame, id_col: str, text_col: str, tag: str, width: int, similarity: float) -> DataFrame:
+    """doc_id, tag, mark (128 bytes), size (distinct shingles), keys (the shingles by which texts meet)."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(tag).alias("tag"), F.col(text_col).cast("string").alias("text"))
+    common = common_shingles(docs, text_col, tag, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = [similarity_mark(t.as_py(), width) for t in batch.column(2)]
-            segments = pa.array([m[:3].view(np.uint32).astype(np.int64) for m in marks], pa.list_(pa.int64()))
-            columns = [batch.column(0), batch.column(1), pa.array([m.tobytes() for m in marks], pa.binary()), segments]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "mark", "segments"])
+            spans = [_spans(_words(t.as_py()), width) for t in batch.column(2)]
+            marks = pa.array([similarity_mark(x).tobytes() for x in spans], pa.binary())
+            keys = pa.array([prefix(x, similarity, common).view(np.int64) for x in spans], pa.list_(pa.int64()))
+            columns = [batch.column(0), batch.column(1), marks, pa.array([len(x) for x in spans], pa.int32()), keys]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "mark", "size", "keys"])
 
-    return source.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, tag long, mark binary, segments array<long>")
+    return source.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, tag long, mark binary, size int, keys array<long>")
 
 
-def similarity_bits(similarity: float, bits: int = 1024, errors: float = 4) -> int:
-    """Differing bits of sets of this Jaccard similarity: their mean, by the angle, and ``errors`` standard errors."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * share + errors * np.sqrt(bits * share * (1 - share)))
+def similarity_bits(similarity: float, sizes: np.ndarray, bits: int = 1024, errors: float = 6) -> np.ndarray:
+    """Differing bits of sets of this Jaccard similarity: their mean, by the angle, and ``errors`` standard errors.
+
+    Ties make sets of few shingles differ more often than the angle says, by less than half a bit in ``sizes``, the smaller set's.
+    """
+    share = np.minimum(np.arccos(2 * similarity / (1 + similarity)) / np.pi + 0.5 / np.maximum(sizes, 1), 0.5)
+    return bits * share + errors * np.sqrt(bits * share * (1 - share))
 
 
 def _cut(rows: DataFrame, block: int, name: str) -> DataFrame:
@@ -294,53 +335,56 @@ def _bits(held: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(held.column("bits").to_pylist()), np.uint64).reshape(held.num_rows, -1)
 
 
-def similar_links(marks: DataFrame, most_bits: int, block: int = 4096) -> DataFrame:
-    """Links a, b between ids of distinct marks that differ in at most ``most_bits`` of the shingles' bits.
+def _close(held: pa.Table, similarity: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """The rows of some whose size and bits allow the ``similarity`` to one."""
+    own, size = _bits(held), held.column("size").to_numpy()
+
+    def near_of(at: int, rest: np.ndarray) -> np.ndarray:
+        least, most = np.minimum(size[rest], size[at]), np.maximum(size[rest], size[at])
+        fits = least >= similarity * most
+        rest, least = rest[fits], least[fits]
+        return rest[_differing(own[rest], own[at]) <= similarity_bits(similarity, least)]
+
+    return near_of
+
+
+def similar_links(marks: DataFrame, similarity: float, block: int = 4096) -> DataFrame:
+    """Links a, b between ids of distinct marks whose size and bits allow the ``similarity``.
 
-    ``marks`` has id, mark and segments. Table and queries both enumerate balls of radius 1, so two marks
-    meet if a segment differs in at most 2 bits. Only ids are exchanged for that; marks follow to the
-    entries that are met at all. Links span the components of an entry's blocks, never all pairs.
+    ``marks`` has id, mark, size and keys; all pairs of the similarity share a key. Only ids are exchanged for
+    that; marks follow to the entries that are met at all. Links span the components of an entry's blocks,
+    never all pairs.
     """
-    flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(32)))
-    at = marks.select("id", F.posexplode("segments").alias("seg", "value"))
-    key = F.explode(F.transform(flips, lambda f: F.shiftleft(F.col("seg").cast("long"), 32) + F.col("value").bitwiseXOR(f)))
     by_key = Window.partitionBy("key").orderBy("id")
-    rows = at.select("id", key.alias("key"))
+    rows = marks.select("id", F.explode("keys").alias("key"))
     rows = rows.withColumn("met", F.lag("id").over(by_key).isNotNull() | F.lead("id").over(by_key).isNotNull()).where("met").drop("met")
     rows = _cut(materialize(rows, "met"), block, "large_entries")
-    rows = rows.join(marks.select("id", F.substring("mark", 25, 128).alias("bits")), "id")
-    return _spanning(rows, lambda held: _roots(_bits(held), most_bits))
+    rows = rows.join(marks.select("id", "size", F.col("mark").alias("bits")), "id")
+    return _spanning(rows, lambda held: _grown(held.num_rows, _close(held, similarity)))
 
 
-def _verified_roots(held: pa.Table, most_bits: int, similarity: float) -> np.ndarray:
-    """For each row the first of its component by links of at most ``most_bits`` and the true ``similarity``."""
-    own = _bits(held)
+def _verified_roots(held: pa.Table, similarity: float) -> np.ndarray:
+    """For each row the first of its component by links of the true ``similarity``."""
     sets = [np.frombuffer(x, np.uint64) for x in held.column("shingles").to_pylist()]
     stop = np.cumsum([len(x) for x in sets])
     of = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], stop[:-1])
     size, flag = np.array([len(x) for x in sets]), np.zeros(int(stop[-1]) + 1, bool)
-    root, todo = np.arange(len(own)), np.ones(len(own), bool)
-    for first in range(len(own)):
-        if not todo[first]:
-            continue
-        todo[first], queue = False, [first]
-        while queue:
-            at = queue.pop()
-            rest = np.flatnonzero(todo & (np.minimum(size, size[at]) >= similarity * np.maximum(size, size[at])))
-            rest = rest[_differing(own[rest], own[at]) <= most_bits]
-            flag[of[at]] = True
-            shared = np.array([np.count_nonzero(flag[of[i]]) for i in rest], np.int64)
-            flag[of[at]] = False
-            near = rest[shared >= similarity * (size[rest] + size[at] - shared)]
-            todo[near], root[near] = False, first
-            queue += near.tolist()
-    return root
+    close = _close(held, similarity)
+
+    def near_of(at: int, rest: np.ndarray) -> np.ndarray:
+        rest = close(at, rest)
+        flag[of[at]] = True
+        shared = np.array([np.count_nonzero(flag[of[i]]) for i in rest], np.int64)
+        flag[of[at]] = False
+        return rest[shared >= similarity * (size[rest] + size[at] - shared)]
+
+    return _grown(held.num_rows, near_of)
 
 
-def verified_links(families: DataFrame, texts: DataFrame, most_bits: int, similarity: float, width: int, block: int = 256) -> DataFrame:
+def verified_links(families: DataFrame, texts: DataFrame, similarity: float, width: int, block: int = 256) -> DataFrame:
     """Links a, b between ids of a family whose shingle sets have the ``similarity``, counted in full.
 
-    ``families`` has key, id and bits; ``texts`` has id and text of those ids at least. A text's shingles are sent
+    ``families`` has key, id, size and bits; ``texts`` has id and text of those ids at least. A text's shingles are sent
     once for every block of its family, so once for families of up to ``block`` ids.
     """
 
@@ -352,29 +396,30 @@ def verified_links(families: DataFrame, texts: DataFrame, most_bits: int, simila
     # Written, so that Spark knows how few ids there are before it plans to shuffle the texts.
     ids = materialize(families.select("id"), "family_ids")
     sets = texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, shingles binary")
-    rows = _cut(families, block, "large_families").join(families.select("id", "bits"), "id").join(materialize(sets, "shingles"), "id")
-    return _spanning(rows.select("key", "i", "j", "id", "bits", "shingles"), lambda held: _verified_roots(held, most_bits, similarity))
+    rows = _cut(families, block, "large_families").join(families.select("id", "size", "bits"), "id").join(materialize(sets, "shingles"), "id")
+    return _spanning(rows.select("key", "i", "j", "id", "size", "bits", "shingles"), lambda held: _verified_roots(held, similarity))
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, block: int = 4096, family_block: int = 256, id_col: str = "doc_id", text_col: str = "text", tag: str | None = None) -> DataFrame:
     """One row per input row: doc_id, component_id, component (and the tag, if named), by similarity of the shingle sets.
 
-    Rows link if the Jaccard similarity of their shingles is ``similarity`` or more. Candidates meet in the segments
-    of the distinct words' bits, which near copies share far oftener than those of shingles; their whole distance
-    over the shingles' bits is verified with an allowance of four standard errors, and the families that it
-    leaves are checked by the shingles themselves. Lower-cased texts with the same words and shingles are linked,
+    Rows link if the Jaccard similarity of their shingles is ``similarity`` or more. Candidates meet in one of
+    their rarest shingles, which no pair of the similarity can avoid; their distance over the shingles' bits is
+    verified with an allowance of six standard errors, and the families that it leaves are checked by the
+    shingles themselves. Lower-cased texts with the same words and shingles are linked,
     also those without words; a null text counts as empty. component_id is the smallest doc_id reachable, null
     only if no row of the component has one; component tells such components apart. An empty table gives an
     empty result; further columns are ignored.
     """
     copy, row = (docs.select(id_col, text_col, tag), tag) if tag else tagged(docs.select(id_col, text_col))
-    marks = materialize(similarity_marks(copy, id_col, text_col, row, width), "marks")
-    distinct = materialize(marks.groupBy("mark").agg(F.min("tag").alias("id"), F.min("doc_id").alias("least"), F.first("segments").alias("segments")), "distinct")
-    most = similarity_bits(similarity)
-    families = components(similar_links(distinct, most, block)).select(F.col("node").alias("id"), F.col("root").alias("key"))
-    families = materialize(families.join(distinct.select("id", F.substring("mark", 25, 128).alias("bits")), "id"), "families")
+    marks = materialize(similarity_marks(copy, id_col, text_col, row, width, similarity), "marks")
+    one = F.min(F.struct("tag", "size", "keys")).alias("one")
+    distinct = marks.groupBy("mark").agg(one, F.min("doc_id").alias("least")).select("mark", "least", F.col("one.tag").alias("id"), "one.size", "one.keys")
+    distinct = materialize(distinct, "distinct")
+    families = components(similar_links(distinct, similarity, block)).select(F.col("node").alias("id"), F.col("root").alias("key"))
+    families = materialize(families.join(distinct.select("id", "size", F.col("mark").alias("bits")), "id"), "families")
     texts = copy.select(F.col(row).alias("id"), F.col(text_col).cast("string").alias("text"))
-    roots = components(verified_links(families, texts, most, similarity, width, family_block)).withColumnRenamed("node", "id")
+    roots = components(verified_links(families, texts, similarity, width, family_block)).withColumnRenamed("node", "id")
     placed = distinct.select("mark", "id", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     placed = materialize(placed.select("mark", "least", "root"), "placed")
     lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
