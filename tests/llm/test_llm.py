@@ -349,6 +349,17 @@ def test_outliers_reject(spark):
         assert r.kept == (r.doc_id % 50 != 0)
 
 
+@pytest.mark.parametrize("share", [30, 45])
+def test_outliers_reject_copies_of_one_page(spark, share):
+    """Copies of one junk page that fill ``share`` percent of a cell stay outside its estimate."""
+    rng = random.Random(9)
+    text = lambda end: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) + end for _ in range(120))
+    junk = text("###")
+    table = spark.createDataFrame([(i, junk if i % 100 < share else text(""), "en", "s") for i in range(600)], "doc_id long, text string, lang string, source string")
+    for r in outliers.quality_rules(table).collect():
+        assert r.kept == (r.doc_id % 100 >= share)
+
+
 def test_ordinal(spark, docs, none):
     rng = random.Random(4)
     known = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(400)]

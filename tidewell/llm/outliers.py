@@ -122,7 +122,7 @@ def _estimate(rows: DataFrame, ridge: list[float]) -> DataFrame:
     return fit.select("cell", *(f"m{i}" for i in p), *(f"l{i}{j}" for i in p for j in range(i + 1)))
 
 
-def mcd_distances(rows: DataFrame, coverage: float = 0.75, steps: int = 4, ridge: tuple[float, ...] = (0.02, 0.05, 0.15, 0.15, 0.03)) -> DataFrame:
+def mcd_distances(rows: DataFrame, coverage: float = 0.5, steps: int = 4, ridge: tuple[float, ...] = (0.02, 0.05, 0.15, 0.15, 0.03)) -> DataFrame:
     """``rows`` (a cell and the statistics) with ``d2`` from the cell's estimate, scaled to its median.
 
     The scaling makes the median distance that of a chi-square variable, which also corrects for taking
@@ -146,7 +146,7 @@ def mcd_distances(rows: DataFrame, coverage: float = 0.75, steps: int = 4, ridge
     return far.join(scale, "cell").withColumn("d2", scaled).drop("median")
 
 
-def quality_rules(docs: DataFrame, least_rows: int = 200, cutoff: float = 3 * _TAIL_5, coverage: float = 0.75, steps: int = 4) -> DataFrame:
+def quality_rules(docs: DataFrame, least_rows: int = 200, cutoff: float = 3 * _TAIL_5, coverage: float = 0.5, steps: int = 4) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
 
     base_failed: under 50 words, or more than half of them in repeated windows. Others are judged within
