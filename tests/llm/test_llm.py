@@ -12,10 +12,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, chat, exact, kdshard, mixing, ordinal, outliers, simhash, suffix, wavelet
+from tidewell.llm import bpe, chat, exact, kdshard, mixing, ordinal, outliers, queries, simhash, suffix, wavelet
 from tidewell.llm.graph import components
 from tidewell.llm.queries import vocabulary
-from tidewell.llm.store import new_path
+from tidewell.llm.store import materialize, new_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, digest string, run long, tag string, block string"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -277,6 +277,25 @@ def test_suffix(docs, none, rows, most_contexts, a_bucket):
     assert suffix.tagged_remove_repeats(none).count() == 0
 
 
+def test_suffix_query_when_scans_split_files_anew(spark, docs, tmp_path, monkeypatch):
+    """The final cut hits the right documents even if Spark splits the table otherwise by then."""
+    docs.repartition(8, "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    found = suffix.repeated_windows
+
+    def then_split_anew(*args):
+        spans = materialize(found(*args), "spans")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        return spans
+
+    want = list(map(tuple, suffix.tagged_remove_repeats(docs).collect()))
+    monkeypatch.setattr(suffix, "repeated_windows", then_split_anew)
+    try:
+        got = list(map(tuple, queries.op6_suffix_dedup(spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    same(got, want)
+
+
 def test_merge_of_front_coded_runs():
     rng = random.Random(2)
     items = sorted((bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 12))), bytes([i])) for i in range(200))

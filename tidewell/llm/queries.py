@@ -47,7 +47,7 @@ def op5_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.remove_repeats(_table(spark, sf_dir, "documents"))
+    return suffix.tagged_remove_repeats(_table(spark, sf_dir, "documents"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
