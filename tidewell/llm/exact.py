@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize, tagged
+from .store import decided, materialize, only, scratch, tagged
 
 _KEY = ["digest", "sha", "n_bytes"]
 
@@ -77,8 +77,12 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", fan_in: int = 16, id_c
 
 
 def drop_exact_duplicates(docs: DataFrame, keep: str = "smallest", fan_in: int = 16) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns; the cases are those of ``exact_groups``.
+
+    The merged run names the rows to keep, so nothing goes back down the tree, and the texts are not exchanged.
+    """
     copy, tag = tagged(docs)
-    rows = materialize(digest_rows(copy, F.col(tag)).withColumn("run", F.shiftright("tag", 33)), "digests")
-    stay = duplicate_groups(rows, keep, fan_in).where("kept").select(F.col("tag").alias(tag))
-    return copy.join(stay, tag, "left_semi").select(*docs.columns)
+    with scratch(docs.sparkSession):
+        rows = materialize(digest_rows(copy, F.col(tag)).withColumn("run", F.spark_partition_id().cast("long")), "digests")
+        stay = decided(merge_runs(rows, keep, fan_in)[1].select("best.tag"), "tag")
+    return only(copy, tag, stay).select(*docs.columns)

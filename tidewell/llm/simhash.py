@@ -21,11 +21,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import materialize, tagged
+from .store import decided, materialize, only, scratch, tagged
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+").findall
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -348,17 +348,17 @@ def _close(held: pa.Table, similarity: float) -> Callable[[int, np.ndarray], np.
     return near_of
 
 
-def similar_links(marks: DataFrame, similarity: float, block: int = 4096) -> DataFrame:
+def similar_links(marks: DataFrame, keys: DataFrame, similarity: float, block: int = 4096) -> DataFrame:
     """Links a, b between ids of distinct marks whose size and bits allow the ``similarity``.
 
-    ``marks`` has id, mark, size and keys; all pairs of the similarity share a key. Only ids are exchanged for
+    ``marks`` has id, mark and size, ``keys`` id and keys; all pairs of the similarity share a key. Only ids are exchanged for
     that; marks follow to the entries that are met at all. Links span the components of an entry's blocks,
     never all pairs.
     """
-    by_key = Window.partitionBy("key").orderBy("id")
-    rows = marks.select("id", F.explode("keys").alias("key"))
-    rows = rows.withColumn("met", F.lag("id").over(by_key).isNotNull() | F.lead("id").over(by_key).isNotNull()).where("met").drop("met")
-    rows = _cut(materialize(rows, "met"), block, "large_entries")
+    rows = keys.select("id", F.explode("keys").alias("key"))
+    # Counted first, so that a key that many texts have is one row a task; Spark can split the join's large partitions.
+    often = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "often")
+    rows = _cut(materialize(rows.join(often, "key", "left_semi"), "met"), block, "large_entries")
     rows = rows.join(marks.select("id", "size", F.col("mark").alias("bits")), "id")
     return _spanning(rows, lambda held: _grown(held.num_rows, _close(held, similarity)))
 
@@ -393,9 +393,7 @@ def verified_links(families: DataFrame, texts: DataFrame, similarity: float, wid
             sets = [np.unique(_spans(_words(t.as_py()), width)).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
-    # Written, so that Spark knows how few ids there are before it plans to shuffle the texts.
-    ids = materialize(families.select("id"), "family_ids")
-    sets = texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, shingles binary")
+    sets = only(texts, "id", decided(families.select("id"), "id", outlast=False)).select("id", "text").mapInArrow(run, "id long, shingles binary")
     rows = _cut(families, block, "large_families").join(families.select("id", "size", "bits"), "id").join(materialize(sets, "shingles"), "id")
     return _spanning(rows.select("key", "i", "j", "id", "size", "bits", "shingles"), lambda held: _verified_roots(held, similarity))
 
@@ -413,10 +411,11 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, blo
     """
     copy, row = (docs.select(id_col, text_col, tag), tag) if tag else tagged(docs.select(id_col, text_col))
     marks = materialize(similarity_marks(copy, id_col, text_col, row, width, similarity), "marks")
-    one = F.min(F.struct("tag", "size", "keys")).alias("one")
-    distinct = marks.groupBy("mark").agg(one, F.min("doc_id").alias("least")).select("mark", "least", F.col("one.tag").alias("id"), "one.size", "one.keys")
+    one = F.min(F.struct("tag", "size")).alias("one")
+    distinct = marks.groupBy("mark").agg(one, F.min("doc_id").alias("least")).select("mark", "least", F.col("one.tag").alias("id"), "one.size")
     distinct = materialize(distinct, "distinct")
-    families = components(similar_links(distinct, similarity, block)).select(F.col("node").alias("id"), F.col("root").alias("key"))
+    keys = only(marks.select("tag", "keys"), "tag", decided(distinct.select("id"), "id", outlast=False)).withColumnRenamed("tag", "id")
+    families = components(similar_links(distinct, keys, similarity, block)).select(F.col("node").alias("id"), F.col("root").alias("key"))
     families = materialize(families.join(distinct.select("id", "size", F.col("mark").alias("bits")), "id"), "families")
     texts = copy.select(F.col(row).alias("id"), F.col(text_col).cast("string").alias("text"))
     roots = components(verified_links(families, texts, similarity, width, family_block)).withColumnRenamed("node", "id")
@@ -430,8 +429,9 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, blo
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One row of each group of ``similar_groups``, the one with the smallest doc_id, with all its columns."""
     copy, tag = tagged(docs)
-    groups = similar_groups(copy, tag=tag, **options)
-    # Ties between rows with one doc_id, or with none, go to the smallest tag.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(tag).alias("tag")))
-    stay = groups.groupBy("component").agg(first.alias("first")).select(F.col("first.tag").alias(tag))
-    return copy.join(materialize(stay, "stay"), tag, "left_semi").select(*docs.columns)
+    with scratch(docs.sparkSession):
+        groups = similar_groups(copy, tag=tag, **options)
+        # Ties between rows with one doc_id, or with none, go to the smallest tag.
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(tag).alias("tag")))
+        stay = decided(groups.groupBy("component").agg(first.alias("first")).select("first.tag"), "tag")
+    return only(copy, tag, stay).select(*docs.columns)
