@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .prefix import block_of, running_sum
-from .store import fresh_name, materialize, tagged
+from .store import fresh_name, kept, materialize, scratch, tagged
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -52,7 +52,7 @@ def _golden(i):
 
 
 def schedule(lanes: DataFrame, block_words: int) -> DataFrame:
-    """slot, lane, block, words: the mix as a sequence of blocks.
+    """slot, lane, rank, block, words: the mix as a sequence of blocks.
 
     ``lanes`` has lane, source_size and words (what the mix takes of the source). A source gets exactly its
     number of slots: points beyond it are passed over, slots that the points have not reached come last.
@@ -80,17 +80,11 @@ def schedule(lanes: DataFrame, block_words: int) -> DataFrame:
     whole = F.least(block, size - block_no * block)
     last = F.col("rest") - (F.ceil(F.col("rest") / block) - 1) * block
     trimmed = F.when((F.col("rank") == F.col("slots") - 1) & (F.col("rest") > 0), last).otherwise(whole)
-    return taken.select("slot", "lane", block_no.cast("long").alias("block"), trimmed.cast("long").alias("words"))
+    return taken.select("slot", "lane", "rank", block_no.cast("long").alias("block"), trimmed.cast("long").alias("words"))
 
 
-def mix_sources(docs: DataFrame, block_words: int = 2048, most_passes: int = 3, seed: int = 7, rows_a_block: int = 4096, tag: str | None = None) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, taken (and the tag, if named).
-
-    ``taken`` counts the words of the row that the mix has, repeats included: never over ``most_passes``
-    times its size. A null or empty text has size 0 and is never taken; a null source is a source, the last.
-    Each source's taken words equal its target to the nearest word. The order depends only on the seed and
-    the row, so reruns agree; repeated rows are rows of their own. An empty table gives an empty result.
-    """
+def _shuffled(docs: DataFrame, block_words: int, most_passes: int, seed: int, rows_a_block: int, tag: str | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows with lanes, lanes, slots, places): what the mix takes, and where each row lies in its source's shuffled order."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         "doc_id",
@@ -100,27 +94,56 @@ def mix_sources(docs: DataFrame, block_words: int = 2048, most_passes: int = 3,
         (F.col(tag) if tag else F.monotonically_increasing_id()).alias("tag"),
     )
     rows = materialize(rows, "sizes")
-    lanes = materialize(source_targets(rows, most_passes), "targets")
-    exact = F.least(F.col("most"), F.floor(F.col("target") + 0.5))
-    slots = schedule(lanes.select("lane", "source_size", exact.cast("long").alias("words")), block_words)
+    lanes = source_targets(rows, most_passes).withColumn("words", F.least(F.col("most"), F.floor(F.col("target") + 0.5)).cast("long"))
+    lanes = materialize(lanes, "targets")
+    slots = schedule(lanes.select("lane", "source_size", "words"), block_words)
     count = rows.count()
     placed = rows.join(lanes, rows["source"].eqNullSafe(lanes["source"])).drop(lanes["source"])
     own = placed.where("size > 0").select("tag", "lane", "size", "order_hash").withColumn("stretch", block_of(F.col("order_hash"), max(1, count // rows_a_block)))
-    own = running_sum(own, ["lane"], "stretch", ["order_hash", "tag"], "size", "start").withColumn("stop", F.col("start") + F.col("size"))
+    return placed, lanes, slots, running_sum(own, ["lane"], "stretch", ["order_hash", "tag"], "size", "start")
+
+
+def mix_sources(docs: DataFrame, block_words: int = 2048, most_passes: int = 3, seed: int = 7, rows_a_block: int = 4096, tag: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, source, size, source_size, target, taken (and the tag, if named).
+
+    ``taken`` counts the words of the row that the mix has, repeats included: never over ``most_passes``
+    times its size. A null or empty text has size 0 and is never taken; a null source is a source, the last.
+    Each source's taken words equal its target to the nearest word. The order depends only on the seed and
+    the row, so reruns agree; repeated rows are rows of their own. An empty table gives an empty result.
+    """
+    placed, _, slots, own = _shuffled(docs, block_words, most_passes, seed, rows_a_block, tag)
+    own = own.withColumn("stop", F.col("start") + F.col("size"))
     first, last = F.floor(F.col("start") / block_words), F.floor((F.col("stop") - 1) / block_words)
     pieces = own.withColumn("block", F.explode(F.sequence(first, last)))
     at = F.col("block") * block_words
     pieces = pieces.select("tag", "lane", "block", (F.greatest("start", at) - at).alias("since"), (F.least(F.col("stop"), at + block_words) - at).alias("until"))
     words = F.greatest(F.lit(0), F.least("until", "words") - F.col("since"))
-    taken = pieces.join(slots, ["lane", "block"]).groupBy("tag").agg(F.sum(words).alias("taken"))
-    kept = placed.join(taken, "tag", "left")
-    return kept.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *([F.col("tag").alias(tag)] if tag else []))
+    taken = pieces.join(slots.drop("rank"), ["lane", "block"]).groupBy("tag").agg(F.sum(words).alias("taken"))
+    found = placed.join(taken, "tag", "left")
+    return found.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *([F.col("tag").alias(tag)] if tag else []))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as whole documents: each row as often as its taken words make it up, rounded half up."""
+def mixed_documents(docs: DataFrame, block_words: int = 2048, most_passes: int = 3, seed: int = 7, rows_a_block: int = 4096) -> DataFrame:
+    """The mix itself, in the order of its slots: whole documents, each where the block begins that it begins in.
+
+    A source goes through its shuffled documents as often as its target holds them; of the one document in
+    which the target ends, a row has as many words as are left, so every source meets its target to the
+    word. Other columns are the document's own. Rows without words are never taken; the further cases are
+    those of ``mix_sources``, whose ``taken`` the words of a document's rows add up to.
+    """
     copy, tag = tagged(docs)
-    times = mix_sources(copy, tag=tag, **options).where("taken > 0")
-    often, turn = fresh_name(docs, "__often"), fresh_name(docs, "__turn")
-    times = times.select(tag, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias(often)).where(F.col(often) > 0)
-    return copy.join(times, tag).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(often)))).select(*docs.columns)
+    slot, start, words = (fresh_name(copy, c) for c in ("__slot", "__start", "__words"))
+    with scratch(docs.sparkSession):
+        _, lanes, slots, own = _shuffled(copy, block_words, most_passes, seed, rows_a_block, tag)
+        lanes = lanes.select("lane", "source_size", "words", F.ceil(F.col("source_size") / block_words).alias("blocks"))
+        own = own.join(lanes, "lane").where("words > 0")  # one row a source
+        passes = F.sequence(F.lit(0), F.floor((F.col("words") - 1) / F.col("source_size")).cast("int"))
+        turns = own.withColumn("turn", F.explode(passes)).withColumn("left", F.col("words") - F.col("turn") * F.col("source_size") - F.col("start")).where("left > 0")
+        turns = turns.withColumn("rank", F.col("turn") * F.col("blocks") + F.floor(F.col("start") / block_words))
+        placed = turns.join(slots.select("lane", "rank", "slot"), ["lane", "rank"])
+        placed = kept(placed.select(F.col("tag").alias(tag), F.col("slot").alias(slot), F.col("start").alias(start), F.when(F.col("left") < F.col("size"), F.col("left")).alias(words)), "placed")
+    text = next(c for c in docs.columns if c.lower() == "text")
+    led = F.regexp_extract_all(F.col(text).cast("string"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.when(F.col(words).isNull(), F.col(text)).otherwise(F.array_join(F.slice(led, F.lit(1), F.col(words).cast("int")), ""))
+    mix = copy.join(placed, tag).withColumn(text, cut.cast(dict(docs.dtypes)[text]))
+    return mix.repartitionByRange(slot, start).sortWithinPartitions(slot, start).select(*docs.columns)
