@@ -132,10 +132,12 @@ def decided(tags: DataFrame, tag: str, outlast: bool = True) -> DataFrame:
     return (kept if outlast else materialize)(pages, "decided")
 
 
-def only(rows: DataFrame, tag: str, pages: DataFrame) -> DataFrame:
-    """The rows whose tag is set in ``decided`` pages. Spark broadcasts the pages below its own threshold and shuffles beyond it."""
+def only(rows: DataFrame, tag: str, pages: DataFrame, others: bool = False) -> DataFrame:
+    """The rows whose tag is set in ``decided`` pages, or the ``others``. Spark broadcasts the pages below its own threshold and shuffles beyond it."""
     page, bits = fresh_name(rows, "__page"), fresh_name(rows, "__bits")
-    joined = rows.withColumn(page, F.shiftright(tag, _PAGE)).join(pages.select(F.col("page").alias(page), F.col("bits").alias(bits)), page)
+    pages = pages.select(F.col("page").alias(page), F.col("bits").alias(bits))
+    joined = rows.withColumn(page, F.shiftright(tag, _PAGE)).join(pages, page, "left" if others else "inner")
     bit = F.col(tag).bitwiseAND(F.lit((1 << _PAGE) - 1))
     byte = F.conv(F.hex(F.substr(F.col(bits), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return joined.where(F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1).select(*rows.columns)
+    is_set = F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1
+    return joined.where(~F.coalesce(is_set, F.lit(False)) if others else is_set).select(*rows.columns)

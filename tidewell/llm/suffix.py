@@ -2,16 +2,21 @@
 
 Not every suffix needs sorting. Each window of ``LENGTH`` bytes names an anchor: the position of the smallest
 hash of 8 bytes among its first 256, leftmost of ties. The choice depends on the window's bytes only, so
-equal windows name anchors at equal offsets, and one suffix per anchor stands for all windows that name it:
-
-1. Anchors whose first ``AHEAD`` bytes (in every window that names them) occur once in the corpus go.
-2. Anchors whose whole context, the bytes of all their windows, occurs twice or more are settled: all their
-   windows repeat. One of them stays to stand for the context.
-3. The contexts that share their first bytes with another context are sorted by a merge sort: each task makes
-   sorted runs of suffixes, front-coded against the one before, for every bucket of first bytes; the bucket's
-   task combines them in a loser tree whose nodes remember common prefix lengths, so bytes known to be equal
-   are never compared again. Neighbours in the merged order give the windows that repeat in part of a context.
-   First bytes with more than ``MOST_CONTEXTS`` contexts are settled window by window instead, by counts.
+equal windows name anchors at equal offsets, and the suffix at an anchor, with the bytes before it that its windows
+have, stands for all windows that name it: their context.
+
+1. Anchors whose first ``AHEAD`` bytes, which every window that names them has, occur once by their hash go: no suffix
+   that differs from all others so early can take part in a repeat.
+2. The contexts of the others are sorted by a merge sort. Each task makes sorted runs for every bucket of
+   first bytes, in which equal contexts are one entry; runs are front-coded (each suffix as the length it shares with
+   the one before, and the rest) and exchanged; the bucket's task combines them in a loser tree whose nodes remember
+   common prefix lengths, so bytes known to be equal are never compared again.
+3. Equal contexts, now neighbours, repeat in all their windows. For the others the common prefixes of neighbours tell
+   which share enough bytes from the anchor on, and classes of equal bytes before it, refined byte by byte, which
+   share enough before; windows for which another context shares both repeat.
+
+All equality is that of bytes. First bytes that more than ``MOST_CONTEXTS`` anchors share, after which one task would
+hold too much, are settled by counts of 128-bit hashes of their windows instead, which add up on the map side.
 """
 
 from __future__ import annotations
@@ -26,11 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize, tagged
+from .store import decided, kept, materialize, only, scratch, tagged
 
 LENGTH, SPAN, KMER = 400, 256, 8
 AHEAD = LENGTH - SPAN + 1
-MOST_CONTEXTS = 50_000
+MOST_CONTEXTS = 200_000
 _LOW = (1 << 24) - 1
 _CHUNK = 1 << 20
 
@@ -58,7 +63,7 @@ def anchors(data: bytes) -> Iterator[tuple[int, int, int]]:
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """uid, pos, back, most, ahead_hash, context_hash; windows start at pos - most ... pos - back."""
+    """uid, pos, back, most, ahead_hash; windows start at pos - most ... pos - back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
@@ -70,14 +75,14 @@ def _scan(docs: DataFrame) -> DataFrame:
                     data = (text.as_py() or "").encode()
                     view = memoryview(data)
                     for p, a, b in anchors(data):
-                        out.append((p, p - b, p - a, digest(view[p : p + AHEAD]), digest(view[a : b + LENGTH], (p - a) << 8 | (p - b))))
+                        out.append((p, p - b, p - a, digest(view[p : p + AHEAD])))
                         uid.append(tag)
-                rows = np.array(out, np.uint64).reshape(-1, 5)
+                rows = np.array(out, np.uint64).reshape(-1, 4)
                 ints = [rows[:, i].astype(np.int32) for i in range(3)]
-                longs = [rows[:, i].copy().view(np.int64) for i in (3, 4)]
-                yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), *map(pa.array, ints), *map(pa.array, longs)], names=["uid", "pos", "back", "most", "ahead_hash", "context_hash"])
+                ahead = pa.array(rows[:, 3].copy().view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), *map(pa.array, ints), ahead], names=["uid", "pos", "back", "most", "ahead_hash"])
 
-    return docs.select("uid", "text").mapInArrow(run, "uid long, pos int, back int, most int, ahead_hash long, context_hash long")
+    return docs.select("uid", "text").mapInArrow(run, "uid long, pos int, back int, most int, ahead_hash long")
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -95,37 +100,58 @@ def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
     return low
 
 
-def front_code(items: list[tuple[bytes, bytes]]) -> bytes:
-    """A sorted run of (suffix, payload): each suffix as the length it shares with the one before, and the rest."""
-    out, before = [struct.pack("<I", len(items))], b""
-    for suffix, payload in items:
-        shared = common_prefix(before, suffix)
-        out += [struct.pack("<HHI", shared, len(suffix) - shared, len(payload)), suffix[shared:], payload]
-        before = suffix
-    return b"".join(out)
-
-
-def front_decode(data: bytes) -> Iterator[tuple[int, bytes, bytes]]:
-    """(shared length, suffix, payload) in order."""
-    (n,), at, before = struct.unpack_from("<I", data), 4, b""
-    for _ in range(n):
-        shared, more, size = struct.unpack_from("<HHI", data, at)
-        at += 8
+_ENTRY = np.dtype([("shared", "<u2"), ("more", "<u2"), ("uid", "<i8"), ("pos", "<i4"), ("back", "<u2"), ("times", "<u1")])
+_Entry = tuple[bytes, tuple[int, int, int, int]]  # context; uid, pos, back, times
+
+
+def shared_lengths(items: list[bytes]) -> np.ndarray:
+    """The length of the common prefix of each item and the one before; 0 for the first."""
+    size = np.fromiter(map(len, items), np.int64, len(items))
+    out = np.zeros(len(items), np.int64)
+    width = int(size.max(initial=0)) + 1
+    for low in range(0, len(items) - 1, step := max(1, (1 << 23) // width)):
+        part = items[low : low + step + 1]
+        flat = np.frombuffer(b"".join([x.ljust(width, b"\0") for x in part]), np.uint8).reshape(len(part), width)
+        differs = flat[1:] != flat[:-1]
+        first = np.where(differs.any(1), differs.argmax(1), width)
+        out[low + 1 : low + len(part)] = np.minimum(first, np.minimum(size[low + 1 : low + len(part)], size[low : low + len(part) - 1]))
+    return out
+
+
+def front_code(items: list[_Entry]) -> bytes:
+    """A sorted run: each context as the length it shares with the one before, and the rest; compressed."""
+    table = np.zeros(len(items), _ENTRY)
+    contexts = [x for x, _ in items]
+    table["shared"] = shared = shared_lengths(contexts)
+    table["more"] = [len(x) for x in contexts] - shared
+    if items:
+        for name, column in zip(("uid", "pos", "back", "times"), zip(*(x for _, x in items), strict=True), strict=True):
+            table[name] = column
+    data = table.tobytes() + b"".join([x[n:] for x, n in zip(contexts, shared.tolist(), strict=True)])
+    return struct.pack("<IQ", len(items), len(data)) + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def front_decode(run: bytes) -> Iterator[tuple[int, bytes, tuple[int, int, int, int]]]:
+    """(shared length, context, payload) in order."""
+    n, size = struct.unpack_from("<IQ", run)
+    data = pa.decompress(run[12:], decompressed_size=size, codec="zstd", asbytes=True)
+    table = np.frombuffer(data, _ENTRY, n)
+    at, before = n * _ENTRY.itemsize, b""
+    for shared, more, *payload in table.tolist():
         before = before[:shared] + data[at : at + more]
         at += more
-        yield shared, before, data[at : at + size]
-        at += size
+        yield shared, before, tuple(payload)
 
 
-def merge_runs(runs: list[Iterator[tuple[int, bytes, bytes]]]) -> Iterator[tuple[int, bytes, bytes]]:
-    """Loser tree over front-coded runs: (length shared with the output before, suffix, payload).
+def merge_runs(runs: list[Iterator[tuple[int, bytes, tuple]]]) -> Iterator[tuple[int, bytes, tuple]]:
+    """Loser tree over front-coded runs: (length shared with the output before, context, payload).
 
     Every candidate carries the length it shares with the last output. Of two candidates the one that shares
     more comes first; only if they share as much are bytes compared, from there on, and the loser then
     remembers what it shares with its winner, which is the next output on its path.
     """
     k = len(runs)
-    heads: list[tuple[int, bytes, bytes] | None] = [next(r, None) for r in runs]
+    heads: list[tuple[int, bytes, tuple] | None] = [next(r, None) for r in runs]
     shares = [0] * k
     losers = [-1] * max(1, k)
 
@@ -172,173 +198,191 @@ def merge_runs(runs: list[Iterator[tuple[int, bytes, bytes]]]) -> Iterator[tuple
             winner = play(winner)
 
 
-def _settle(shared: list[int], group: list[tuple[bytes, bytes, int, int, int]]) -> list[list[tuple[int, int]]]:
-    """For contexts in suffix order that share their first bytes, the ranges of offsets at which a window repeats.
+def settle(contexts: list[bytes], shared: np.ndarray, back: np.ndarray, times: np.ndarray) -> list[tuple[int, int, int]]:
+    """(i, low, high): the offsets before its anchor at which windows of the i-th of sorted contexts repeat.
 
-    ``shared[i]`` is the common prefix of contexts i - 1 and i; a context is (suffix, bytes before the anchor
-    reversed, back, most, times). A window at offset d before its anchor repeats if another context has the same
-    d bytes before and LENGTH - d bytes from the anchor on.
+    A context is the ``LENGTH - back`` bytes from the anchor on, and those before it in reverse; ``shared[i]`` is
+    its common prefix with the one before. ``times`` over 1 marks contexts that are settled: they are only compared with.
     """
-    n = len(group)
-    found: list[list[tuple[int, int]]] = [[] for _ in group]
-    if n <= 24:
-        for i in range(n):
-            _, before_i, back_i, most_i, times_i = group[i]
-            ahead = LENGTH
-            for j in range(i + 1, n):
-                ahead = min(ahead, shared[j])
-                _, before_j, back_j, most_j, times_j = group[j]
-                low, high = max(LENGTH - ahead, back_i, back_j), min(most_i, most_j)
-                if low > high or (times_i > 1 and times_j > 1):
-                    continue
-                high = min(high, common_prefix(before_i, before_j))
-                if low <= high:
-                    found[i].append((low, high))
-                    found[j].append((low, high))
+    size = np.fromiter(map(len, contexts), np.int64, len(contexts))
+    most = size - (LENGTH - back)
+    same = np.zeros(len(contexts), bool)
+    same[1:] = (shared[1:] == size[1:]) & (size[1:] == size[:-1]) & (back[1:] == back[:-1])
+    kind = np.cumsum(~same) - 1  # equal contexts are neighbours
+    total = np.bincount(kind, times)
+    whole = (times == 1) & (total[kind] > 1)
+    found = list(zip(np.flatnonzero(whole).tolist(), back[whole].tolist(), most[whole].tolist(), strict=True))
+    # One context of each kind is left, of those groups with equal first bytes that have an unsettled one and another.
+    group = np.cumsum(shared < AHEAD)
+    own = ~same
+    kinds, free = np.bincount(group[own]), np.bincount(group[own], total[kind[own]] == 1)
+    own &= (kinds[group] > 1) & (free[group] > 0)
+    left = np.flatnonzero(own)
+    if not len(left):
         return found
-    width = max(g[3] for g in group)
-    before = np.zeros((n, width), np.uint64)
-    for i, g in enumerate(group):
-        before[i, : len(g[1])] = np.frombuffer(g[1], np.uint8) + np.uint64(1)
-    back, most = np.array([g[2] for g in group]), np.array([g[3] for g in group])
-    breaks, mix = np.array(shared), np.zeros(n, np.uint64)
-    repeats = np.zeros((n, width + 1), bool)
+    back, most, open_ = back[left], most[left], total[kind[left]] == 1
+    # What two of them share is the least that neighbours share in between.
+    gap = np.minimum.reduceat(shared[: left[-1] + 1], np.concatenate([[0], left[:-1] + 1]))
+    gap = np.where(np.concatenate([[True], np.diff(group[left]) != 0]), 0, gap)
+    width = int(most.max())
+    before = np.zeros((len(left), width + 1), np.uint8)
+    for row, i in enumerate(left.tolist()):
+        x = contexts[i][LENGTH - int(back[row]) :]
+        before[row, : len(x)] = np.frombuffer(x, np.uint8)
+    repeats = np.zeros((len(left), width + 2), bool)
+    active, alike = np.arange(len(left)), np.cumsum(gap < AHEAD)
     for d in range(width + 1):
-        if d:
-            mix = (mix ^ before[:, d - 1]) * np.uint64(0x9E3779B97F4A7C15)
-            mix ^= mix >> np.uint64(29)
-        own = np.flatnonzero((back <= d) & (d <= most))
-        if len(own) < 2:
-            continue
-        kind = np.cumsum(breaks < LENGTH - d).astype(np.uint64)[own]
-        key = (mix[own] ^ (kind * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0xBF58476D1CE4E5B9)
-        _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-        repeats[own, d] = counts[inverse] > 1
-    for i in range(n):
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], repeats[i].view(np.int8), [0]])))
-        found[i] = list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
-    return found
-
-
-_PAYLOAD = "<qiHHI"
-_SPANS = "uid long, since int, until int"
-
-
-def _merge_buckets(runs: DataFrame) -> DataFrame:
-    """Merge the runs of each bucket and settle its contexts: uid and the first windows that repeat."""
-
-    def settle(pieces: list[bytes]) -> pa.RecordBatch:
-        out: tuple[list, list, list] = ([], [], [])
-        group: list = []
-        rows: list = []
-        shared: list[int] = []
-
-        def flush() -> None:
-            if len(group) > 1:
-                for (uid, pos, times), ranges in zip(rows, _settle(shared, group), strict=True):
-                    if times == 1:  # others are settled already
-                        for low, high in ranges:
-                            for x, v in zip(out, (uid, pos - high, pos - low), strict=True):
-                                x.append(v)
-            for x in (group, rows, shared):
+        if d:  # the classes of equal d bytes before the anchor
+            stay = most[active] >= d
+            active, alike = active[stay], alike[stay]
+            _, alike, counts = np.unique(alike * 256 + before[active, d - 1], return_inverse=True, return_counts=True)
+            stay = counts[alike] > 1  # a class of one stays so
+            active, alike = active[stay], alike[stay]
+        if not len(active):
+            break
+        now = back[active] <= d
+        rows = active[now]
+        far = np.cumsum(gap < LENGTH - d)[rows]  # equal numbers share LENGTH - d bytes from the anchor on
+        _, inverse, counts = np.unique(alike[now] * (len(left) + 1) + far, return_inverse=True, return_counts=True)
+        repeats[rows, d] = counts[inverse] > 1
+    repeats[~open_] = False
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], repeats.ravel().view(np.int8)])))  # the last column is never set
+    lows, highs = edges[::2], edges[1::2] - 1
+    return found + list(zip(left[lows // (width + 2)].tolist(), (lows % (width + 2)).tolist(), (highs % (width + 2)).tolist(), strict=True))
+
+
+_FOUND = "bucket int, run binary, hash_a long, hash_b long, uid long, since int, until int, times int"
+_FOUND_ARROW = pa.schema([("bucket", pa.int32()), ("run", pa.binary()), ("hash_a", pa.int64()), ("hash_b", pa.int64()), ("uid", pa.int64()), ("since", pa.int32()), ("until", pa.int32()), ("times", pa.int32())])
+
+
+def _found(**columns: list) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), f.type) for f in _FOUND_ARROW], schema=_FOUND_ARROW)
+
+
+def _spans_of(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    """Spans of first bytes of windows that repeat, spread over the buckets."""
+    uid, since, until = zip(*rows, strict=True) if rows else ((), (), ())
+    return _found(uid=uid, since=since, until=until, bucket=[(u * 31 + s) & 0x7FFFFFFF for u, s in zip(uid, since, strict=True)])
+
+
+def _merge_buckets(found: DataFrame, at_once: int = 20_000) -> DataFrame:
+    """Merge the runs of each bucket and settle its contexts; other rows pass."""
+
+    def merged(pieces: list[bytes]) -> Iterator[pa.RecordBatch]:
+        contexts, shared, payload = [], [], []
+
+        def flush() -> pa.RecordBatch:
+            uid, pos, back, times = (np.array(x, np.int64) for x in zip(*payload, strict=True))
+            at = settle(contexts, np.array(shared), back, times)
+            spans = [(int(uid[i]), int(pos[i]) - high, int(pos[i]) - low) for i, low, high in at]
+            for x in (contexts, shared, payload):
                 x.clear()
+            return _spans_of(spans)
 
-        for share, suffix, payload in merge_runs([front_decode(p) for p in pieces]):
-            if share < AHEAD:
-                flush()
-            uid, pos, back, most, times = struct.unpack_from(_PAYLOAD, payload)
-            group.append((suffix, payload[struct.calcsize(_PAYLOAD) :], back, most, times))
-            rows.append((uid, pos, times))
-            shared.append(share)
-        flush()
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], names=["uid", "since", "until"])
+        for share, context, entry in merge_runs([front_decode(p) for p in pieces]):
+            if share < AHEAD and len(contexts) >= at_once:
+                yield flush()
+            contexts.append(context)
+            shared.append(share if contexts[1:] else 0)
+            payload.append(entry)
+        if contexts:
+            yield flush()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, pieces = None, []
         for batch in batches:
+            yield batch.filter(batch.column(1).is_null())
             for b, piece in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if not piece.is_valid:
+                    continue
                 if b != bucket:
                     if pieces:
-                        yield settle(pieces)
+                        yield from merged(pieces)
                     bucket, pieces = b, []
                 pieces.append(piece.as_py())
         if pieces:
-            yield settle(pieces)
-
-    return runs.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "run").mapInArrow(run, _SPANS)
+            yield from merged(pieces)
 
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _FOUND)
 
-_EXTRACT = "bucket int, run binary, hash_a long, hash_b long, uid long, since int, times int"
 
+def _extract(placed: DataFrame, most_held: int = 1 << 26) -> DataFrame:
+    """Sorted runs of the contexts of many texts by bucket, and what equal contexts among them settle at once.
 
-def _extract(placed: DataFrame) -> DataFrame:
-    """Sorted runs of the contexts of each Arrow batch by bucket; window hashes for contexts marked ``many``."""
-    schema = pa.schema([("bucket", pa.int32()), ("run", pa.binary()), ("hash_a", pa.int64()), ("hash_b", pa.int64()), ("uid", pa.int64()), ("since", pa.int32()), ("times", pa.int32())])
+    Contexts marked ``many`` give the hashes of their windows instead of an entry of a run.
+    """
     digest = xxhash.xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[int, list[tuple[bytes, bytes]]] = {}
-        held = 0
-
-        def flush() -> pa.RecordBatch:
-            items = [(b, front_code(sorted(x))) for b, x in sorted(runs.items())]
-            none = [None] * len(items)
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in items], pa.int32()), pa.array([r for _, r in items], pa.binary()), *(pa.array(none, f.type) for f in list(schema)[2:])], schema=schema)
+        held: dict[tuple[int, bool], dict[bytes, tuple[int, int, int]]] = {}
+        twice: set[tuple[int, int]] = set()
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            buckets, runs, windows = [], [], []
+            for (bucket, many), own in sorted(held.items()):
+                entries = sorted((c[2:], (uid, pos, back, 2 if (uid, pos) in twice else 1)) for c, (uid, pos, back) in own.items())
+                if not many:
+                    buckets.append(bucket)
+                    runs.append(front_code(entries))
+                    continue
+                for c, (uid, pos, back, times) in entries:
+                    ahead = LENGTH - back
+                    data = c[ahead:][::-1] + c[:ahead]  # the bytes in their order
+                    windows += [(digest(data[s : s + LENGTH]), digest(data[s : s + LENGTH], 1), uid, pos - (len(data) - ahead) + s, times) for s in range(len(data) - LENGTH + 1)]
+            yield _found(bucket=buckets, run=runs)
+            for at in range(0, len(windows), 100_000):
+                a, b, uid, since, times = zip(*windows[at : at + 100_000], strict=True)
+                signed = [np.array(x, np.uint64).view(np.int64) for x in (a, b)]
+                yield _found(hash_a=signed[0], hash_b=signed[1], uid=uid, since=since, until=since, times=times, bucket=[int(x) & 0x7FFFFFFF for x in signed[0]])
+            held.clear()
+            twice.clear()
 
         for batch in batches:
-            windows: list = []
+            settled: list[tuple[int, int, int]] = []
             for uid, text, contexts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 data = (text.as_py() or "").encode()
                 for c in contexts:
-                    p, back, most, times = c["pos"], c["back"], c["most"], c["times"]
-                    if c["many"]:
-                        for s in range(p - most, p - back + 1):
-                            w = data[s : s + LENGTH]
-                            windows.append((digest(w), digest(w, 1), uid, s, times))
+                    p, back, most = c["pos"], c["back"], c["most"]
+                    # The length from the anchor on leads, so that equal keys are equal contexts.
+                    key = struct.pack(">H", LENGTH - back) + data[p : p + LENGTH - back] + data[p - most : p][::-1]
+                    first = held.setdefault((c["bucket"], c["many"]), {}).setdefault(key, (uid, p, back))
+                    if first[:2] == (uid, p):
+                        size += len(key) + 150
                         continue
-                    payload = struct.pack(_PAYLOAD, uid, p, back, most, times) + data[p - most : p][::-1]
-                    runs.setdefault(c["bucket"], []).append((data[p : p + LENGTH - back], payload))
-                    held += LENGTH + most
-            if windows:
-                rows = np.array([w[:2] for w in windows], np.uint64).view(np.int64)
-                none = [None] * len(windows)
-                yield pa.RecordBatch.from_arrays([pa.array(none, pa.int32()), pa.array(none, pa.binary()), pa.array(rows[:, 0]), pa.array(rows[:, 1]), *(pa.array([w[i] for w in windows], schema.field(n).type) for i, n in ((2, "uid"), (3, "since"), (4, "times")))], schema=schema)
-            if held > 1 << 26:
-                yield flush()
-                runs.clear()
-                held = 0
-        if runs:
-            yield flush()
-
-    return placed.mapInArrow(run, _EXTRACT)
-
-
-def repeated_windows(texts: DataFrame, most_contexts: int = MOST_CONTEXTS, a_bucket: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """(spans, texts of documents with contexts to sort) for ``texts`` (uid, text): uid, since, until of first bytes of windows that repeat."""
-    found = _scan(texts)
-    found = materialize(found, "anchors")
-    # Written, so that the joins below have exchanges of their own, whose large partitions Spark can split.
-    often = materialize(found.groupBy("ahead_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ahead_hash"), "often")
-    likely = materialize(found.join(often, "ahead_hash", "left_semi"), "candidates")
-    where = F.struct("uid", "pos", "back", "most")
-    contexts = materialize(likely.groupBy("ahead_hash", "context_hash").agg(F.min(where).alias("at"), F.count(F.lit(1)).cast("int").alias("times")), "contexts")
-    settled = likely.join(contexts.where("times > 1"), ["ahead_hash", "context_hash"], "left_semi")
-    settled = settled.select("uid", (F.col("pos") - F.col("most")).alias("since"), (F.col("pos") - F.col("back")).alias("until"))
-    kinds = materialize(contexts.groupBy("ahead_hash").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "kinds")
-    total = kinds.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+                    settled.append((uid, p - most, p - back))
+                    if first[:2] not in twice:
+                        twice.add(first[:2])
+                        settled.append((first[0], first[1] - most, first[1] - back))
+            if settled:
+                yield _spans_of(settled)
+            if size > most_held:
+                yield from flush()
+                size = 0
+        yield from flush()
+
+    return placed.mapInArrow(run, _FOUND)
+
+
+def repeated_windows(texts: DataFrame, most_contexts: int = MOST_CONTEXTS, a_bucket: int = 50_000) -> tuple[DataFrame, DataFrame]:
+    """(uid, since, until of first bytes of windows that repeat in ``texts`` (uid, text); uid, n_shared of texts with candidates)."""
+    found = materialize(_scan(texts), "anchors")
+    # Written, so that the join below has exchanges of its own, whose large partitions Spark can split.
+    often = materialize(found.groupBy("ahead_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
+    total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # A bucket of first bytes has about a_bucket contexts, so their number grows with the corpus.
     buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // a_bucket)
-    to_sort = contexts.join(kinds, "ahead_hash").select(
-        "at.uid",
-        F.struct("at.pos", "at.back", "at.most", "times", F.pmod("ahead_hash", F.lit(buckets)).cast("int").alias("bucket"), (F.col("kinds") > most_contexts).alias("many")).alias("context"),
-    )
-    by_text = to_sort.groupBy("uid").agg(F.collect_list("context").alias("contexts"))
-    sorted_runs = materialize(_extract(texts.join(by_text, "uid").select("uid", "text", "contexts")), "runs")
-    merged = _merge_buckets(sorted_runs.where("bucket is not null").select("bucket", "run"))
-    windows = sorted_runs.where("bucket is null")
+    bucket = F.pmod("ahead_hash", F.lit(buckets)).cast("int")
+    likely = found.join(often, "ahead_hash").select("uid", F.struct("pos", "back", "most", bucket.alias("bucket"), (F.col("n") > most_contexts).alias("many")).alias("context"))
+    by_text = materialize(likely.groupBy("uid").agg(F.collect_list("context").alias("contexts")), "candidates")
+    some = only(texts, "uid", decided(by_text, "uid", outlast=False))
+    done = materialize(_merge_buckets(_extract(some.join(by_text, "uid").select("uid", "text", "contexts"))), "repeats")
+    windows = done.where("hash_a is not null")
     counted = windows.groupBy("hash_a", "hash_b").agg(F.sum("times").alias("all")).where(F.col("all") > 1)
-    by_count = windows.where("times = 1").join(counted, ["hash_a", "hash_b"], "left_semi").select("uid", "since", F.col("since").alias("until"))
-    return settled.unionByName(merged).unionByName(by_count)
+    by_count = windows.where("times = 1").join(counted, ["hash_a", "hash_b"], "left_semi")
+    spans = done.where("hash_a is null").select("uid", "since", "until").unionByName(by_count.select("uid", "since", "until"))
+    return spans, by_text.select("uid", F.size("contexts").cast("long").alias("n_shared"))
 
 
 def _cut(data: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
@@ -357,18 +401,23 @@ def _cut(data: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, runs
 
 
-def remove_repeats(docs: DataFrame, tag: str | None = None, keep_text: bool = False, most_contexts: int = MOST_CONTEXTS, a_bucket: int = 20_000) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left, if asked).
+def remove_repeats(docs: DataFrame, keep_text: bool = False, most_contexts: int = MOST_CONTEXTS, a_bucket: int = 50_000) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared (and kept, the bytes left, if asked).
+
+    ``n_shared`` counts the anchors, one in about 128 bytes, whose next ``AHEAD`` bytes follow another anchor too: over 0 for
+    nearly every text with a passage of some 350 bytes that occurs elsewhere, though repeats under LENGTH bytes stay.
 
     A null text counts as empty; texts under LENGTH bytes have no windows and stay whole. Matches never cross
-    rows; repeated rows are copies of each other and lose all they share. Rows are told apart by ``tag``, or
-    by their place in ``docs``, which must then read alike twice, as a table does. An empty table gives an
-    empty result; further columns are ignored.
+    rows; repeated rows are copies of each other and lose all they share. Rows are known by tags that are the same
+    whenever they are read. An empty table gives an empty result; further columns are ignored.
     """
-    uid = F.col(tag) if tag else F.monotonically_increasing_id()
-    rows = docs.select(uid.alias("uid"), F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = repeated_windows(rows.select("uid", "text"), most_contexts, a_bucket)
-    by_text = materialize(spans.groupBy("uid").agg(F.collect_list(F.struct("since", "until")).alias("spans")), "spans")
+    copy, tag = tagged(docs.select("doc_id", F.col("text")))
+    rows = copy.select(F.col(tag).alias("uid"), F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    with scratch(docs.sparkSession):
+        spans, shared = repeated_windows(rows.select("uid", "text"), most_contexts, a_bucket)
+        spans = spans.groupBy("uid").agg(F.collect_list(F.struct("since", "until")).alias("spans"))
+        by_text = kept(shared.join(spans, "uid", "left"), "spans")
+        hit = decided(by_text, "uid")
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,24 +425,21 @@ def remove_repeats(docs: DataFrame, tag: str | None = None, keep_text: bool = Fa
             sizes, removed, runs, digests, texts = [], [], [], [], []
             for text, own in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 data = (text.as_py() or "").encode()
-                kept, n, k = _cut(data, own or [])
+                left, n, k = _cut(data, own or [])
                 sizes.append(len(data))
                 removed.append(n)
                 runs.append(k)
-                digests.append(hashlib.sha256(kept).hexdigest())
-                texts.append(kept)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                digests.append(hashlib.sha256(left).hexdigest())
+                texts.append(left)
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string()), batch.column(3)]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"]
             if keep_text:
                 columns.append(pa.array(texts, pa.binary()))
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return rows.join(by_text, "uid", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
-
-
-def tagged_remove_repeats(docs: DataFrame, **options) -> DataFrame:
-    """``remove_repeats`` for frames that may not read alike twice: it works on a written copy."""
-    copy, tag = tagged(docs)
-    return remove_repeats(copy, tag=tag, **options)
+    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long" + ", kept binary" * keep_text
+    # Only texts that may lose something are exchanged, to meet their spans.
+    some = only(rows, "uid", hit).join(by_text, "uid").select("doc_id", "text", "spans", "n_shared")
+    rest = only(rows, "uid", hit, others=True).select("doc_id", "text", F.lit(None).cast(some.schema["spans"].dataType).alias("spans"), F.lit(0).cast("long").alias("n_shared"))
+    return some.unionByName(rest).mapInArrow(run, schema)
