@@ -1,10 +1,12 @@
 """Quality rules by robust multivariate outliers, with DataFrame functions only.
 
 Statistics of each text are transformed to near-symmetric scales; for each language and source their centre
-and scatter are the minimum-covariance-determinant estimates, found by concentration steps: start from
-medians and median deviations, keep the half (``coverage``) of the rows nearest by Mahalanobis distance,
-take their mean and covariance, and again. A text is rejected when its distance from the final estimate is
-beyond the cutoff. Every step is two aggregations with partial sums, so the size of a source does not matter.
+and scatter are the minimum-covariance-determinant estimates: of all halves of the rows, that whose covariance has the
+smallest determinant. Concentration steps look for it (keep the half nearest by Mahalanobis distance, take its
+mean and covariance, and again: the determinant never rises) from four deterministic starts; after two steps the
+start with the smallest determinant goes on until no cell's determinant falls. A small ridge keeps statistics usable
+that are constant in a cell. Every step is two aggregations with partial sums, so the size of a source does not
+matter. A text is rejected when its distance from the estimate is beyond the cutoff.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ from .store import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 STATS = ["mean_word", "symbol_rate", "repeat_rate", "line_rate", "upper_rate"]
-#: Share of a chi-square variable's mass below the median, by 5 degrees of freedom: its median and 1e-6 tail.
-_MEDIAN_5, _TAIL_5 = 4.351, 35.9
+#: The statistics of ordinary texts have heavier tails than a normal vector. For a t vector of 5 values and 10 degrees of
+#: freedom the squared distance is 5 times an F(5, 10) variable: its median, and what it exceeds once in a million times.
+_MEDIAN, _TAIL = 4.66, 246.8
 
 
 def _bind(value: Column, body) -> Column:
@@ -97,81 +100,142 @@ def _vector(n_words: Column) -> list[Column]:
 
 
 
+_P = range(len(STATS))
+_RIDGE = (0.02, 0.05, 0.15, 0.15, 0.03)
+_NUMBERS = [*(f"m{i}" for i in _P), *(f"l{i}{j}" for i in _P for j in range(i + 1)), "logdet"]
+
+
 def _distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    """``rows`` with ``d2``, the squared Mahalanobis distance to their cell's estimate (null without one)."""
-    joined = rows.join(fit, "cell", "left")
+    """``rows`` with ``d2``, the squared Mahalanobis distance, for each estimate of their cell."""
+    joined = rows.join(fit, "cell")
     z: list[Column] = []
     for i, name in enumerate(STATS):
         joined = joined.withColumn(f"z{i}", (F.col(name) - F.col(f"m{i}") - sum((F.col(f"l{i}{k}") * F.col(f"z{k}") for k in range(i)), F.lit(0.0))) / F.col(f"l{i}{i}"))
         z.append(F.col(f"z{i}") * F.col(f"z{i}"))
-    return joined.select(*rows.columns, sum(z[1:], z[0]).alias("d2"))
+    keep = [c for c in ("start",) if c in fit.columns]
+    return joined.select(*rows.columns, *keep, sum(z[1:], z[0]).alias("d2"))
 
 
-def _estimate(rows: DataFrame, ridge: list[float]) -> DataFrame:
-    """cell, m0.., l00..: mean and Cholesky factor of each cell's rows. Ridges keep constant statistics usable."""
-    p = range(len(STATS))
-    moments = [F.avg(s).alias(f"m{i}") for i, s in enumerate(STATS)]
-    moments += [F.covar_pop(STATS[i], STATS[j]).alias(f"c{i}{j}") for i in p for j in range(i + 1)]
-    fit = rows.groupBy("cell").agg(*moments)
-    for i in p:
+def _factor(fit: DataFrame, scatter, more: list[str]) -> DataFrame:
+    """The estimates with the Cholesky factor of ``scatter(i, j)`` and its log determinant."""
+    for i in _P:  # row by row, so that a row's values are made of columns of the rows before
+        row: list[Column] = []
         for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") + (ridge[i] ** 2 if i == j else 0.0)
+            rest = scatter(i, j)
             for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            fit = fit.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
-    return fit.select("cell", *(f"m{i}" for i in p), *(f"l{i}{j}" for i in p for j in range(i + 1)))
+                rest = rest - row[k] * (row[k] if i == j else F.col(f"l{j}{k}"))
+            row.append(F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
+        fit = fit.withColumns({f"l{i}{j}": x for j, x in enumerate(row)})
+    fit = fit.withColumn("logdet", sum((2 * F.log(f"l{i}{i}") for i in _P), F.lit(0.0)))
+    return fit.select(*more, *_NUMBERS)
+
+
+def _moments(of: list[Column], to: str) -> list[Column]:
+    return [F.covar_pop(of[i], of[j]).alias(f"{to}{i}{j}") for i in _P for j in range(i + 1)]
 
 
-def mcd_distances(rows: DataFrame, coverage: float = 0.5, steps: int = 4, ridge: tuple[float, ...] = (0.02, 0.05, 0.15, 0.15, 0.03)) -> DataFrame:
-    """``rows`` (a cell and the statistics) with ``d2`` from the cell's estimate, scaled to its median.
+def _estimate(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Mean and factored covariance of each group's rows."""
+    fit = rows.groupBy(*by).agg(*(F.avg(s).alias(f"m{i}") for i, s in enumerate(STATS)), *_moments([F.col(s) for s in STATS], "c"))
+    return _factor(fit, lambda i, j: F.col(f"c{i}{j}") + (_RIDGE[i] ** 2 if i == j else 0.0), by)
 
-    The scaling makes the median distance that of a chi-square variable, which also corrects for taking
+
+def _concentrate(rows: DataFrame, fit: DataFrame, accuracy: int) -> DataFrame:
+    """One step of every estimate: mean and covariance of the half nearest to it."""
+    by = ["cell", "start"] if "start" in fit.columns else ["cell"]
+    far = _distance(rows, fit)
+    limit = far.groupBy(*by).agg(F.percentile_approx("d2", 0.5, accuracy).alias("limit"))
+    return _estimate(far.join(limit, by).where("d2 <= limit"), by)
+
+
+def _starts(rows: DataFrame, accuracy: int) -> DataFrame:
+    """Four estimates a cell around the medians: median deviations, their correlation by tanh, by directions, and the inmost box."""
+    middle = materialize(rows.groupBy("cell").agg(*(F.percentile_approx(s, 0.5, accuracy).alias(f"m{i}") for i, s in enumerate(STATS))), "middle")
+    spread = rows.join(middle, "cell").groupBy("cell").agg(*(F.percentile_approx(F.abs(F.col(s) - F.col(f"m{i}")), 0.5, accuracy).alias(f"s{i}") for i, s in enumerate(STATS)))
+    middle = materialize(middle.join(spread, "cell").select("cell", *(f"m{i}" for i in _P), *((1.4826 * F.col(f"s{i}") + _RIDGE[i]).alias(f"s{i}") for i in _P)), "middle")
+    z = rows.join(middle, "cell").select("cell", *STATS, *(((F.col(s) - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i, s in enumerate(STATS)))
+    size = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in _P), F.lit(1e-12)))
+    box = F.greatest(*(F.abs(f"z{i}") for i in _P))
+    shapes = z.groupBy("cell").agg(*_moments([F.tanh(f"z{i}") for i in _P], "t"), *_moments([F.col(f"z{i}") / size for i in _P], "u"), F.percentile_approx(box, 0.5, accuracy).alias("limit"))
+    shapes = materialize(shapes.join(middle, "cell"), "shapes")
+    scaled = lambda x, i, j: x * F.col(f"s{i}") * F.col(f"s{j}")
+    same = lambda i, j: F.lit(1.0 if i == j else 0.0)
+    alike = lambda i, j: F.lit(1.0) if i == j else F.col(f"t{i}{j}") / F.sqrt((F.col(f"t{i}{i}") + 0.01) * (F.col(f"t{j}{j}") + 0.01))
+    kinds = (same, alike, lambda i, j: len(STATS) * F.col(f"u{i}{j}") + 0.01 * same(i, j))
+    each = [F.struct(F.lit(k).alias("start"), *(scaled(of(i, j), i, j).alias(f"c{i}{j}") for i in _P for j in range(i + 1))) for k, of in enumerate(kinds)]
+    found = shapes.select("cell", *(f"m{i}" for i in _P), F.inline(F.array(*each)))
+    found = _factor(found, lambda i, j: F.col(f"c{i}{j}"), ["cell", "start"])
+    inmost = z.withColumn("box", box).join(shapes.select("cell", "limit"), "cell").where("box <= limit")
+    inmost = _estimate(inmost, ["cell"]).select("cell", F.lit(len(kinds)).alias("start"), *_NUMBERS)
+    return materialize(found.unionByName(inmost), "starts")
+
+
+def mcd_estimates(rows: DataFrame, most_steps: int = 20, least_fall: float = 1e-3, accuracy: int = 10_000) -> DataFrame:
+    """cell, m0.., l00.., logdet: the estimate of each cell of ``rows`` (a cell and the statistics).
+
+    Steps go on until no cell's log determinant falls by ``least_fall``. The half is exact in cells of up to ``accuracy``
+    rows, and within a share of 1 / ``accuracy`` of the rows beyond.
+    """
+    fit = _starts(rows, accuracy)
+    fit = materialize(_concentrate(rows, fit, accuracy), "fit")
+    least = F.min(F.struct("logdet", "start", *_NUMBERS[:-1])).alias("best")
+    fit = _concentrate(rows, fit, accuracy).groupBy("cell").agg(least)
+    fit = materialize(fit.select("cell", *(F.col(f"best.{n}").alias(n) for n in _NUMBERS)), "fit")
+    for _ in range(most_steps):
+        new = _concentrate(rows, fit, accuracy).join(fit.select("cell", F.struct(*_NUMBERS).alias("old")), "cell")
+        fell = (F.col("old.logdet") - F.col("logdet")).alias("fell")
+        better = F.col("logdet") < F.col("old.logdet")
+        fit = materialize(new.select("cell", fell, *(F.when(better, F.col(n)).otherwise(F.col(f"old.{n}")).alias(n) for n in _NUMBERS)), "fit")
+        falls = not fit.where(F.col("fell") > least_fall).isEmpty()
+        fit = fit.drop("fell")
+        if not falls:
+            break
+    return fit
+
+
+def mcd_distances(rows: DataFrame, judged: DataFrame, most_steps: int = 20, least_fall: float = 1e-3, accuracy: int = 10_000) -> DataFrame:
+    """``judged`` with ``d2`` from the estimate that ``rows`` give of their cell, scaled to its median there.
+
+    The scaling makes the median distance that of a t vector, which also corrects for taking
     the covariance of the nearest rows only.
     """
-    p = range(len(STATS))
-    ridge = list(ridge)
-    middle = rows.groupBy("cell").agg(*(F.percentile_approx(s, 0.5, 2000).alias(f"m{i}") for i, s in enumerate(STATS)))
-    middle = materialize(middle, "middle")
-    spread = rows.join(middle, "cell").groupBy("cell").agg(*(F.percentile_approx(F.abs(F.col(s) - F.col(f"m{i}")), 0.5, 2000).alias(f"s{i}") for i, s in enumerate(STATS)))
-    start = spread.join(middle, "cell").select("cell", *(f"m{i}" for i in p), *((1.4826 * F.col(f"s{i}") + ridge[i] if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in p for j in range(i + 1)))
-    fit = materialize(start, "fit")
-    for _ in range(steps):
-        far = _distance(rows, fit)
-        limit = materialize(far.groupBy("cell").agg(F.percentile_approx("d2", coverage, 2000).alias("limit")), "limit")
-        near = far.join(limit, "cell").where("d2 <= limit")
-        fit = materialize(_estimate(near, ridge), "fit")
-    far = _distance(rows, fit)
-    scale = materialize(far.groupBy("cell").agg(F.percentile_approx("d2", 0.5, 2000).alias("median")), "scale")
-    scaled = F.when(F.col("median") > 0, F.col("d2") * F.lit(_MEDIAN_5) / F.greatest("median", F.lit(_MEDIAN_5 / 4))).otherwise(F.col("d2"))
-    return far.join(scale, "cell").withColumn("d2", scaled).drop("median")
+    fit = mcd_estimates(rows, most_steps, least_fall, accuracy)
+    scale = materialize(_distance(rows, fit).groupBy("cell").agg(F.percentile_approx("d2", 0.5, accuracy).alias("median")), "scale")
+    far = _distance(judged, fit).join(scale, "cell")
+    return far.withColumn("d2", F.col("d2") * F.lit(_MEDIAN) / F.greatest("median", F.lit(_MEDIAN / 4))).drop("median")
 
 
-def quality_rules(docs: DataFrame, least_rows: int = 200, cutoff: float = 3 * _TAIL_5, coverage: float = 0.5, steps: int = 4) -> DataFrame:
+def quality_rules(docs: DataFrame, least_rows: int = 40, cutoff: float = _TAIL, most_steps: int = 20) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
 
     base_failed: under 50 words, or more than half of them in repeated windows. Others are judged within
-    their language and source; cells of fewer than ``least_rows`` rows are pooled by language, then over
-    all, and a pool that is still smaller rejects nothing. A null language or source is a value of its own, a
-    null text has no words and fails. Repeated rows are rows of their own; an empty table gives an empty
-    result; further columns are ignored. ``cutoff`` is on the squared distance; three times the 1e-6 tail of
-    a normal vector's leaves heavy-tailed but ordinary texts alone.
+    their language and source; those of cells with fewer than ``least_rows`` rows, eight a statistic, by the estimate
+    of their language's rows, and if these are still fewer, by that of all rows. A corpus of fewer than two rows more than
+    twice the statistics rejects nothing. A null language or source is a value of its own, a
+    null text has no words and fails. Repeated rows are rows of their own; an empty table gives an
+    empty result; further columns are ignored. ``cutoff`` is on the squared distance, scaled to a t vector's.
     """
     stats = materialize(text_statistics(docs), "statistics")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = stats.withColumn("base_failed", failed)
     vectors = rows.where("not base_failed").select("tag", "lang", "source", *_vector(F.col("n_words")))
-    by_source = F.to_json(F.struct(F.lit("lang, source").alias("of"), "lang", "source"))
-    by_lang = F.to_json(F.struct(F.lit("lang").alias("of"), "lang"))
     sizes = materialize(vectors.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    sizes = sizes.withColumn("cell", F.when(F.col("n") >= least_rows, by_source))
-    rest = sizes.where("cell is null").groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    rest = rest.select(F.col("lang").alias("of_lang"), "n_lang")
-    cells = sizes.join(rest, sizes["lang"].eqNullSafe(rest["of_lang"]), "left")
-    cell = F.coalesce("cell", F.when(F.col("n_lang") >= least_rows, by_lang), F.lit("all"))
-    cells = materialize(cells.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "n", cell.alias("cell")), "cells")
-    alone = cells.where("cell = 'all'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] < least_rows
+    names = {"source": F.to_json(F.struct(F.lit("lang, source").alias("of"), "lang", "source")), "lang": F.to_json(F.struct(F.lit("lang").alias("of"), "lang")), "all": F.lit("all")}
+    of_lang = sizes.groupBy("lang").agg(F.sum("n").alias("n_lang")).select(F.col("lang").alias("of_lang"), "n_lang")
+    level = F.when(F.col("n") >= least_rows, "source").when(F.col("n_lang") >= least_rows, "lang").otherwise("all")
+    cells = sizes.join(of_lang, F.col("lang").eqNullSafe(F.col("of_lang"))).withColumn("level", level)
+    cell = F.when(F.col("level") == "source", names["source"]).when(F.col("level") == "lang", names["lang"]).otherwise(names["all"])
+    cells = materialize(cells.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "n", "level", cell.alias("cell")), "cells")
     placed = vectors.join(cells, vectors["lang"].eqNullSafe(cells["of_lang"]) & vectors["source"].eqNullSafe(cells["of_source"]))
-    placed = materialize(placed.select("tag", "cell", *STATS), "vectors")
-    far = mcd_distances(placed, coverage, steps).select("tag", F.when((F.col("cell") == "all") & F.lit(alone), None).otherwise(F.col("d2")).alias("distance"))
+    placed = materialize(placed.select("tag", "lang", "level", "cell", *STATS), "vectors")
+    levels = {r["level"] for r in cells.select("level").distinct().collect()}  # three at most
+    basis = placed.where("level = 'source'").select("cell", *STATS)
+    if "lang" in levels:
+        small = cells.where("level = 'lang'").select(F.col("of_lang"), F.col("cell").alias("lang_cell")).distinct()
+        basis = basis.unionByName(placed.drop("cell").join(small, F.col("lang").eqNullSafe(F.col("of_lang"))).select(F.col("lang_cell").alias("cell"), *STATS))
+    if "all" in levels:
+        basis = basis.unionByName(placed.withColumn("cell", names["all"]).select("cell", *STATS))
+    enough = (cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) >= 2 * (len(STATS) + 1)
+    far = mcd_distances(materialize(basis, "basis"), placed.select("tag", "cell", *STATS), most_steps).select("tag", F.col("d2").alias("distance")) if enough else placed.select("tag", F.lit(None).cast("double").alias("distance"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return rows.join(far, "tag", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
