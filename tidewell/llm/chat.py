@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import materialize, new_path
+from .store import materialize, new_path, scratch
 
 _ESCAPE = re.compile(r"[\\<>]")
 _UNESCAPE = re.compile(r"\\(.)", re.S)
@@ -58,8 +58,11 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
 
 def _grouped(conversations: DataFrame) -> DataFrame:
     turn = F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    whole = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    return whole.withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
+    named = F.col("conv_id").isNotNull()
+    whole = conversations.where(named).groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    lone = conversations.where(~named).select("conv_id", F.array(turn).alias("turns"))
+    conv = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.concat(F.lit("r"), F.monotonically_increasing_id().cast("string")))
+    return whole.unionByName(lone).withColumn("conv", conv)
 
 
 def _prefixes(whole: DataFrame) -> DataFrame:
@@ -118,18 +121,23 @@ def format_conversations(conversations: DataFrame, path: str | None = None) -> t
     stream: node, start, stop, position, text, attend (intervals of the ancestors, root first), loss (spans
     within the text); in stream order by start. index: conv_id, node (where the conversation ends).
     Turns are ordered by turn, then role and text, so ties and repeated rows have a defined order; a null
-    turn comes first, a null role or text is empty, rows without conv_id are one conversation. An empty
+    turn comes first, a null role or text is empty, a row without conv_id is a conversation of its own. An empty
     table gives two empty tables. Further columns are ignored.
     """
     spark = conversations.sparkSession
     path = path or new_path(spark, "chat")
-    whole = materialize(_grouped(conversations), "turns")
+    with scratch(spark):
+        _write(conversations, path)
+    return spark.read.parquet(f"{path}/stream"), spark.read.parquet(f"{path}/index")
+
+
+def _write(conversations: DataFrame, path: str) -> None:
+    whole = materialize(_grouped(conversations), "turns", compression="zstd")
     steps = materialize(_prefixes(whole), "prefixes")
     nodes = steps.groupBy("node").agg(F.count(F.lit(1)).alias("shared"), F.min("conv").alias("owner"))
     marks = steps.join(nodes, "node").groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("depth", "node", "shared", "owner"))).alias("marks"))
-    marked = materialize(whole.join(marks, "conv"), "marked")
-
-    order = _own_nodes(marked).repartitionByRange("path").sortWithinPartitions("path")
+    marks = materialize(marks, "marks")
+    order = _own_nodes(whole.join(marks, "conv")).repartitionByRange("path").sortWithinPartitions("path")
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
@@ -140,7 +148,7 @@ def format_conversations(conversations: DataFrame, path: str | None = None) -> t
                 at += len(text)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * batch.num_rows, pa.int32()), pa.array(starts, pa.int64())], names=[*batch.schema.names, "part", "local"])
 
-    laid = materialize(order.mapInArrow(lay_out, _NODES + ", part int, local long"), "laid")
+    laid = materialize(order.mapInArrow(lay_out, _NODES + ", part int, local long"), "laid", compression="zstd")
     laid = laid.withColumn("node", F.element_at("path", -1)).withColumn("chars", F.char_length("text").cast("long"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     parts = laid.groupBy("part").agg(F.sum("chars").alias("chars")).select("part", F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("offset"))
@@ -150,17 +158,19 @@ def format_conversations(conversations: DataFrame, path: str | None = None) -> t
     up = up.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("level", "start", "stop"))).alias("up"))
     attend = F.transform(F.coalesce("up", F.array().cast("array<struct<level:int,start:bigint,stop:bigint>>")), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
     stream = placed.join(up, "node", "left").select("node", "start", "stop", "position", "text", attend.alias("attend"), "loss")
-    stream.repartitionByRange("start").sortWithinPartitions("start").write.parquet(f"{path}/stream")
-    marked.select("conv_id", F.element_at("marks", -1)["node"].alias("node")).write.parquet(f"{path}/index")
-    return spark.read.parquet(f"{path}/stream"), spark.read.parquet(f"{path}/index")
+    stream.repartitionByRange("start").sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{path}/stream")
+    ends = marks.select("conv", F.element_at("marks", -1)["node"].alias("node"))
+    whole.select("conv", "conv_id").join(ends, "conv").select("conv_id", "node").write.parquet(f"{path}/index")
 
 
 def read_conversations(stream: DataFrame, index: DataFrame) -> DataFrame:
     """conv_id, formatted and loss (spans within it), put together from the attention intervals."""
+    index = index.withColumn("at_index", F.monotonically_increasing_id())
+    index = materialize(index, "index")  # so that the numbers stay
     ends = index.join(stream.select("node", "attend", "start", "stop"), "node")
-    seen = ends.select("conv_id", F.posexplode(F.concat("attend", F.array(F.struct("start", "stop")))).alias("level", "at")).select("conv_id", "level", "at.start")
+    seen = ends.select("at_index", "conv_id", F.posexplode(F.concat("attend", F.array(F.struct("start", "stop")))).alias("level", "at")).select("at_index", "conv_id", "level", "at.start")
     pieces = seen.join(stream.select("start", "position", "text", "loss"), "start")
-    whole = pieces.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("level", "position", "text", "loss"))).alias("pieces"))
+    whole = pieces.groupBy("at_index", "conv_id").agg(F.sort_array(F.collect_list(F.struct("level", "position", "text", "loss"))).alias("pieces"))
     spans = F.flatten(F.transform("pieces", lambda p: F.transform(p["loss"], lambda s: F.struct((s["start"] + p["position"]).alias("start"), (s["stop"] + p["position"]).alias("stop")))))
     return whole.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"), spans.alias("loss"))
 
