@@ -136,10 +136,43 @@ class TokenAutomaton:
         return b"".join(map(self.label.__getitem__, ids))
 
 
+#: What a vocabulary file may ask for; other settings would change ids, and are refused.
+_SUPPORTED = {
+    "normalizer": [None],
+    "pre_tokenizer.type": ["ByteLevel"],
+    "pre_tokenizer.add_prefix_space": [False],
+    "pre_tokenizer.use_regex": [True, None],
+    "model.type": ["BPE"],
+    "model.dropout": [None, 0.0],
+    "model.unk_token": [None],
+    "model.continuing_subword_prefix": [None, ""],
+    "model.end_of_word_suffix": [None, ""],
+    "model.byte_fallback": [False, None],
+    "model.ignore_merges": [False, None],
+    "decoder.type": ["ByteLevel"],
+}
+
+
+def read_vocabulary(path: str) -> dict:
+    """A ``tokenizers`` JSON file of the byte-level BPE kind; a ValueError names any setting that is not supported."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    for name, allowed in _SUPPORTED.items():
+        at = spec
+        for part in name.split("."):
+            at = at.get(part) if isinstance(at, dict) else None
+        if at not in allowed:
+            raise ValueError(f"{path}: {name} is {at!r}; supported: {allowed}")
+    for token in spec.get("added_tokens", []):
+        if odd := [k for k in ("single_word", "lstrip", "rstrip", "normalized") if token.get(k)]:
+            raise ValueError(f"{path}: the added token {token['content']!r} has {', '.join(odd)}, which are not supported")
+    return spec
+
+
 @lru_cache(maxsize=4)
 def load_automaton(path: str) -> TokenAutomaton:
     """Compile a ``tokenizers`` JSON file of the byte-level BPE kind; once per process."""
-    spec = json.load(open(path, encoding="utf-8"))
+    spec = read_vocabulary(path)
     model = spec["model"]
     merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
     special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import TextEncoder, byte_letters
+from .bpe import TextEncoder, byte_letters, read_vocabulary
 
 _MAGIC = b"TWWM"
 _BLOCK = 512  # bits between stored ranks
@@ -34,6 +34,8 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int = 16) -> WaveletMatrix:
+        if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < 1 << bits:
+            raise ValueError(f"ids from {ids.min()} to {ids.max()} don't fit in {bits} bits")
         kind = np.uint16 if bits <= 16 else np.uint32
         level, zeros, planes, ranks = ids.astype(kind), [], [], []
         for k in range(bits - 1, -1, -1):
@@ -147,27 +149,31 @@ def library_encoder(path: str) -> TextEncoder:
     """Ids by the ``tokenizers`` library's model, word by word behind the cache."""
     from tokenizers import Tokenizer
 
+    read_vocabulary(path)  # refuses what the pre-split does not follow
     tokenizer = Tokenizer.from_file(path)
     tokenize, letter = tokenizer.model.tokenize, [c for c, _ in sorted(byte_letters().items(), key=lambda x: x[1])]
     special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
     return TextEncoder(lambda word: [t.id for t in tokenize("".join([letter[b] for b in word.encode()]))], special)
 
 
-def write_token_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, shard_tokens: int = 1 << 20, bits: int = 16) -> None:
+def write_token_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, shard_tokens: int = 1 << 20, bits: int | None = None) -> None:
     """Encode every text, append the end id and write shard files in ascending doc_id order.
 
     Documents are range-partitioned by doc_id; each task writes shards of about ``shard_tokens`` ids. A null
     text counts as empty and gives the end id alone; a null doc_id comes first; rows with one doc_id are
-    ordered by their text. An empty table writes no shard. Memory holds one shard and one Arrow batch.
+    ordered by their text. An empty table writes no shard. Memory holds one shard and one Arrow batch. Planes are
+    as many as the vocabulary's largest id needs, or ``bits``; ids that don't fit are an error.
     """
+    spec = read_vocabulary(vocabulary)
+    largest = max([end_id, *spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))])
+    bits = bits or largest.bit_length()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = texts.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    kind = "<u2" if bits <= 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seq = library_encoder(vocabulary), TaskContext.get().partitionId(), 0
         docs, ends, ids, size = [], [], [], 0
-        end = np.array([end_id], kind)
+        end = np.array([end_id], "<u4")
 
         def shard() -> pa.RecordBatch:
             matrix = WaveletMatrix.build(np.concatenate(ids), bits).to_bytes()
@@ -180,7 +186,7 @@ def write_token_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = np.frombuffer(encode(text.as_py()), "<u4").astype(kind)
+                got = np.frombuffer(encode(text.as_py()), "<u4")
                 ids += [got, end]
                 size += len(got) + 1
                 docs.append(doc)
