@@ -266,7 +266,7 @@ def _spans_of(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return _found(uid=uid, since=since, until=until, bucket=[(u * 31 + s) & 0x7FFFFFFF for u, s in zip(uid, since, strict=True)])
 
 
-def _merge_buckets(found: DataFrame, at_once: int = 20_000) -> DataFrame:
+def _merge_buckets(found: DataFrame, buckets: int, at_once: int = 20_000) -> DataFrame:
     """Merge the runs of each bucket and settle its contexts; other rows pass."""
 
     def merged(pieces: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +304,7 @@ def _merge_buckets(found: DataFrame, at_once: int = 20_000) -> DataFrame:
         if pieces:
             yield from merged(pieces)
 
-    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _FOUND)
+    return found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _FOUND)
 
 
 def _extract(placed: DataFrame, most_held: int = 1 << 26) -> DataFrame:
@@ -377,7 +377,7 @@ def repeated_windows(texts: DataFrame, most_contexts: int = MOST_CONTEXTS, a_buc
     likely = found.join(often, "ahead_hash").select("uid", F.struct("pos", "back", "most", bucket.alias("bucket"), (F.col("n") > most_contexts).alias("many")).alias("context"))
     by_text = materialize(likely.groupBy("uid").agg(F.collect_list("context").alias("contexts")), "candidates")
     some = only(texts, "uid", decided(by_text, "uid", outlast=False))
-    done = materialize(_merge_buckets(_extract(some.join(by_text, "uid").select("uid", "text", "contexts"))), "repeats")
+    done = materialize(_merge_buckets(_extract(some.join(by_text, "uid").select("uid", "text", "contexts")), buckets), "repeats")
     windows = done.where("hash_a is not null")
     counted = windows.groupBy("hash_a", "hash_b").agg(F.sum("times").alias("all")).where(F.col("all") > 1)
     by_count = windows.where("times = 1").join(counted, ["hash_a", "hash_b"], "left_semi")
