@@ -38,11 +38,13 @@ def test_drift_report_against_lists(spark):
 def test_z_test(spark):
     rows = spark.createDataFrame([(50.0, 100.0, 70.0, 100.0), (60.0, 100.0, 60.0, 100.0), (0.0, 0.0, 5.0, 10.0), (10.0, 10.0, 20.0, 20.0)], "a double, n double, b double, m double")
     diff, z = abtest.z_test(F.col("a"), F.col("n"), F.col("b"), F.col("m"))
-    got = rows.select(diff.alias("d"), z.alias("z")).withColumn("p", abtest.two_sided_p("z")).collect()
+    got = rows.select(diff.alias("d"), z.alias("z")).withColumn("p", abtest.two_sided_p(F.col("z"))).collect()
     expected = 0.2 / math.sqrt(0.6 * 0.4 * 0.02)
     assert got[0].z == pytest.approx(expected) and got[0].p == pytest.approx(math.erfc(expected / math.sqrt(2))) and got[0].p < 0.05
     assert got[1].z == 0 and got[1].p == 1
     assert got[2].z is None and got[3].z is None and got[3].p is None
+    far = spark.createDataFrame([(x / 8,) for x in range(0, 90)], "x double").select("x", abtest.erfc(F.col("x")).alias("y")).collect()
+    assert all(abs(r.y - math.erfc(r.x)) < 1e-13 for r in far)
 
 
 def test_label_backfill(spark):
@@ -56,10 +58,11 @@ def test_label_backfill(spark):
     assert labels.label_coverage(log.limit(0)).first().coverage == 0.0
 
 
-def test_point_in_time(spark):
+@pytest.mark.parametrize("stretch", [2, 3, 1000])
+def test_point_in_time(spark, stretch):
     events = spark.createDataFrame([(1, 5), (1, 10), (2, 1), (None, 5)], "k long, t long")
     versions = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (1, 11, "c"), (2, 2, "d"), (None, 1, "e")], "k long, at long, f string")
-    got = lookup.point_in_time(events, versions, ["k"], "t", "at", ["f"])
+    got = lookup.point_in_time(events, versions, ["k"], "t", "at", ["f"], stretch)
     assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([(1, 5, "a"), (1, 10, "b"), (2, 1, None), (None, 5, None)], "k long, t long, f string").collect()))
     with pytest.raises(ValueError):
         lookup.point_in_time(events, versions, ["k"], "t", "at", ["t"])
@@ -86,6 +89,49 @@ def test_contracts(spark, tmp_path):
     assert checks == {"null customer_id": 0, "null as_of_date": 0, "duplicate keys": 1}
 
 
+def test_expressions_leave_quoted_text_alone(spark):
+    text = "count(case when t.note = 'a -- b  current_date() /* c */' then 1 end) -- current_date()"
+    assert contracts.clean_expression(text, {}) == "count(case when t.note = 'a -- b  current_date() /* c */' then 1 end)"
+    contract = contracts.Contract("t", [contracts.Feature("k", "int")], "d", [contracts.Feature("x", "string", "concat(max(t.note), ' current_date() ', current_date())")])
+    rows = spark.createDataFrame([(1, "n")], "k int, note string")
+    assert contracts.build_features(contract, rows, "2002-01-01").first().x == "n current_date() 2002-01-01"
+
+
+def test_publish_merges(spark, tmp_path):
+    make = lambda *names: contracts.Contract("t", [contracts.Feature("k", "bigint")], "d", [contracts.Feature(n, "int", "1") for n in names])
+    rows = lambda text, names: spark.createDataFrame(text, "k long, d string, " + names).withColumn("d", F.col("d").cast("date"))
+    path, stage = str(tmp_path / "t"), str(tmp_path / "s")
+    read = lambda: sorted((r.k, str(r.d), *(r[c] for c in ("x", "y") if c in r)) for r in spark.read.parquet(path).collect())
+    contracts.publish(make("x"), rows([(1, "2024-01-01", 1), (2, "2024-01-01", 2), (1, "2024-01-02", 3)], "x int"), path, stage)
+    contracts.publish(make("x"), rows([(2, "2024-01-01", 9)], "x int"), path, stage)
+    assert read() == [(1, "2024-01-01", 1), (1, "2024-01-02", 3), (2, "2024-01-01", 9)]
+    contracts.publish(make("x", "y"), rows([(1, "2024-01-02", 4, 5)], "x int, y int"), path, stage)
+    assert read() == [(1, "2024-01-01", 1, None), (1, "2024-01-02", 4, 5), (2, "2024-01-01", 9, None)]
+    for bad in ([(1, "2024-01-03", 1, 1)] * 2, [(None, "2024-01-03", 1, 1)]):
+        with pytest.raises(ValueError):
+            contracts.publish(make("x", "y"), rows(bad, "x int, y int"), path, stage)
+    assert len(read()) == 3
+
+
+def test_consecutive_drift_keeps_the_oldest_day(spark):
+    log = spark.range(400).select(F.timestamp_seconds(F.col("id") * 8640 + 1_704_067_200).alias("scored_at"), (F.col("id") % 13).cast("double").alias("x"))
+    edges = drift.quantile_edges(drift.unpivoted(log, ["x"]))
+    every = {r.day: r for r in drift.consecutive_drift(log, ["x"], edges, last_days=100).collect()}
+    assert len(every) == 39
+    last = {r.day: r for r in drift.consecutive_drift(log, ["x"], edges, last_days=30).collect()}
+    assert len(last) == 30 and all(every[d] == r for d, r in last.items())
+
+
+def test_profile_table_metrics(spark):
+    rows = [(1.0, 1.0, "a"), (1.0, 0.0, "a"), (0.0, 1.0, None), (0.0, None, "b")]
+    log = spark.createDataFrame(rows, "prediction double, ground_truth double, part string").withColumns({"scored_at": F.lit("2024-01-01 05:00:00").cast("timestamp"), "model_version": F.lit("v")})
+    got = {(r.model, r.slice): r for r in drift.profile_table_metrics(log, by="part").collect()}
+    assert set(got) == {(m, s) for m in ("v", "*") for s in ("a", "b", "unknown", "*")}
+    whole = got["*", "*"]
+    assert (whole.n, whole.n_labelled, whole.tp, whole.fp, whole.fn, whole.tn) == (4, 3, 1, 1, 1, 0) and whole.recall == 0.5
+    assert got["v", "b"].accuracy is None
+
+
 def test_tables(spark, tmp_path):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     new = spark.createDataFrame([(2, "c", 1), (3, "d", 2)], "k long, v string, w int")
@@ -134,6 +180,11 @@ def test_scoring(spark):
     found = {r.variant: r["count"] for r in arms.groupBy("variant").count().collect()}
     assert sum(found.values()) == 400 and 0.15 < found["B"] / 400 < 0.35
     assert arms.groupBy("variant").agg(F.count_distinct("model_version").alias("n")).agg(F.max("n")).first()[0] == 1
+    flat = scoring.train_classifier(rows.withColumn("f0", F.lit(1.0)), ["f0"], kind="logistic")
+    mixed = scoring.score_arms(rows, {"A": (model, "1"), "B": (flat, "2")}, ["f0"], "customer_id", "s", 25, "2024-01-01")
+    for arm, own in (("A", model), ("B", flat)):
+        alone = scoring.score_batch(rows, own, ["f0"], "x", "2024-01-01").select("customer_id", F.col("prediction_score").alias("own"))
+        assert mixed.where(F.col("variant") == arm).join(alone, "customer_id").where("abs(prediction_score - own) > 1e-12").count() == 0
     other = scoring.score_with(rows, lambda x: x["f0"] / 7, ["f0"], "p", "2024-01-01")
     assert other.where("prediction_score <> f0 / 7").count() == 0
 

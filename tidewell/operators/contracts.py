@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import tables
+
 #: The types a contract may give a feature.
 TYPES: dict[str, T.DataType] = {
     "int": T.IntegerType(),
@@ -72,15 +74,24 @@ def load_contract(folder: str) -> Contract:
     return Contract(raw["table"], [make(x) for x in raw["keys"]], raw["timestamp_key"], features, raw.get("timestamp_column", ""), raw.get("max_age_hours"), raw.get("sources", {}))
 
 
+#: Quoted text of SQL, in which nothing is replaced.
+_QUOTED = r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`"
+
+
+def _outside_quotes(text: str, pattern: str, put: str) -> str:
+    """``put`` for what matches the pattern outside quoted text."""
+    return re.sub(f"({_QUOTED})|{pattern}", lambda m: m[1] if m[1] is not None else put, text, flags=re.S | re.I)
+
+
 def clean_expression(text: str, values: dict[str, str]) -> str:
-    """SQL without comments, with ${names} filled in; a name without a value is an error."""
-    text = re.sub(r"--[^\n]*|/\*.*?\*/", " ", text, flags=re.S)
+    """SQL without comments, with ${names} filled in; a name without a value is an error. Quoted text keeps its comments and spaces."""
+    text = _outside_quotes(text, r"--[^\n]*|/\*.*?\*/", " ")
     text = re.sub(r"\$\{(\w+)\}", lambda m: values.get(m[1], m[0]), text)
     if m := re.search(r"\$\{\w+\}", text):
         raise ValueError(f"no value for {m[0]}")
     if not text.strip():
         raise ValueError("a feature needs an expression")
-    return " ".join(text.split())
+    return _outside_quotes(text, r"\s+", " ").strip()
 
 
 def problems(contract: Contract) -> list[str]:
@@ -116,7 +127,7 @@ def build_features(contract: Contract, source: DataFrame, as_of: str, spine: Dat
         rows = rows.where(F.col(contract.timestamp_column) < F.lit(as_of).cast("timestamp"))
     if spine is not None:
         rows = spine.select(*keys).distinct().join(rows, keys, "left")
-    made = [F.expr(re.sub(r"(?i)\bcurrent_date\(\)", date, clean_expression(f.expression, contract.sources))).cast(f.type()).alias(f.name) for f in contract.features]
+    made = [F.expr(_outside_quotes(clean_expression(f.expression, contract.sources), r"\bcurrent_date\(\)", date)).cast(f.type()).alias(f.name) for f in contract.features]
     table = rows.alias("t").groupBy(*(F.col(f"t.{k.name}").cast(k.type()).alias(k.name) for k in contract.keys)).agg(*made)
     return table.withColumn(contract.timestamp_key, F.lit(as_of).cast("date")).select(*contract.key_names(), *(f.name for f in contract.features))
 
@@ -132,15 +143,27 @@ def analysis_error(contract: Contract, source: DataFrame, as_of: str) -> str | N
     return None
 
 
+def publish(contract: Contract, built: DataFrame, path: str, staging: str) -> None:
+    """Merge ``built`` into the contract's table: rows with the same keys and as-of date are replaced, all others stay.
+
+    Nothing is written if a key is null or occurs twice. A table of an earlier form of the contract gets the
+    contract's columns first: new ones null, dropped ones gone.
+    """
+    wrong = {r["check"]: r["n"] for r in key_problems(built, contract).collect() if r["n"]}
+    if wrong:
+        raise ValueError(f"{contract.table}: " + "; ".join(f"{k}: {n}" for k, n in wrong.items()))
+    tables.publish_upsert(built.sparkSession, path, built, contract.schema(), contract.key_names(), contract.timestamp_key, staging)
+
+
 def publish_all(spark: SparkSession, contracts: list[Contract], sources: dict[str, DataFrame], as_of: str, root: str) -> dict[str, str]:
-    """Build every contract's table under ``root``; all are checked before the first is written."""
+    """Build and merge every contract's table under ``root``; all contracts are checked before the first is written."""
     bad = {c.table: e for c in contracts if (e := "; ".join(problems(c)) or analysis_error(c, sources[c.table], as_of))}
     if bad:
         raise ValueError("; ".join(f"{k}: {v}" for k, v in bad.items()))
     paths = {}
     for c in contracts:
         paths[c.table] = f"{root}/{c.table}"
-        build_features(c, sources[c.table], as_of).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(c.timestamp_key).parquet(paths[c.table])
+        publish(c, build_features(c, sources[c.table], as_of), paths[c.table], f"{root}/.staging/{c.table}")
     return paths
 
 

@@ -103,14 +103,39 @@ def newest_first(history: DataFrame, checked_at: str = "checked_at") -> DataFram
     return history.orderBy(F.desc(checked_at), "feature")
 
 
+def _profiled(log: DataFrame, scored_at: str, model: str, by: str | None, window: str) -> list[Column]:
+    """window_start, model and slice of a row; unknown ones have a name."""
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+    return [F.window(scored_at, window).start.alias("window_start"), named(model).alias("model"), (named(by) if by else F.lit("all")).alias("slice")]
+
+
+def _over_sets(rows: DataFrame, keys: list[str], metrics: list[Column]) -> DataFrame:
+    """The metrics by the keys and, for model and slice, over all of them, which '*' stands for."""
+    sets = [[*(F.col(k) for k in keys), *map(F.col, more)] for more in (["model", "slice"], ["model"], ["slice"], [])]
+    every = [F.col(c) for c in [*keys, "model", "slice"]]
+    whole = [F.when(F.grouping(c) == 1, "*").otherwise(F.col(c)).alias(f"of_{c}") for c in ("model", "slice")]
+    return rows.groupingSets(sets, *every).agg(*whole, *metrics).drop("model", "slice").withColumnsRenamed({"of_model": "model", "of_slice": "slice"})
+
+
 def profile_metrics(log: DataFrame, columns: list[str], scored_at: str = "scored_at", model: str = "model_version", by: str | None = None, window: str = "1 day") -> DataFrame:
     """Counts, nulls, mean, deviation and range per column, day, model version and slice; '*' is all of them."""
-    rows = log.select(F.window(scored_at, window).start.alias("window_start"), F.coalesce(F.col(model).cast("string"), F.lit("unknown")).alias("model"), (F.coalesce(F.col(by).cast("string"), F.lit("unknown")) if by else F.lit("all")).alias("slice"), F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns))))
-    rows.createOrReplaceTempView("__profile_rows")
-    return log.sparkSession.sql("""
-        select window_start, column, if(grouping(model) = 1, '*', model) as model, if(grouping(slice) = 1, '*', slice) as slice,
-            count(*) as n, count_if(value is null) as n_null, avg(value) as mean, stddev_samp(value) as deviation, min(value) as low, max(value) as high
-        from __profile_rows group by grouping sets ((window_start, column, model, slice), (window_start, column, model), (window_start, column, slice), (window_start, column))""")
+    values = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns))
+    rows = log.select(*_profiled(log, scored_at, model, by, window), F.inline(values))
+    v = F.col("value")
+    metrics = [F.count(F.lit(1)).alias("n"), F.count_if(v.isNull()).alias("n_null"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("deviation"), F.min(v).alias("low"), F.max(v).alias("high")]
+    return _over_sets(rows, ["window_start", "column"], metrics).select("window_start", "column", "model", "slice", "n", "n_null", "mean", "deviation", "low", "high")
+
+
+def profile_table_metrics(log: DataFrame, prediction: str = "prediction", label: str = "ground_truth", scored_at: str = "scored_at", model: str = "model_version", by: str | None = None, window: str = "1 day") -> DataFrame:
+    """Rows, labelled rows, confusion counts, accuracy, precision and recall per day, model version and slice; '*' is all of them."""
+    p, y = F.col(prediction) == 1, F.col(label) == 1
+    seen = F.col(label).isNotNull() & F.col(prediction).isNotNull()
+    kinds = {"tp": p & y, "fp": p & ~y, "fn": ~p & y, "tn": ~p & ~y}
+    rows = log.select(*_profiled(log, scored_at, model, by, window), *((seen & k).alias(n) for n, k in kinds.items()))
+    out = _over_sets(rows, ["window_start"], [F.count(F.lit(1)).alias("n"), *(F.count_if(n).alias(n) for n in kinds)])
+    tp, fp, fn, tn = (F.col(n) for n in kinds)
+    shares = {"accuracy": F.try_divide(tp + tn, tp + fp + fn + tn), "precision": F.try_divide(tp, tp + fp), "recall": F.try_divide(tp, tp + fn)}
+    return out.select("window_start", "model", "slice", "n", (tp + fp + fn + tn).alias("n_labelled"), *kinds, *(c.alias(n) for n, c in shares.items()))
 
 
 def distances(shares: DataFrame, by: list[str]) -> DataFrame:
@@ -129,14 +154,15 @@ def distances(shares: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def cdf_distances(before: DataFrame, now: DataFrame) -> DataFrame:
-    """feature, ks, wasserstein of two (feature, value) tables, from their distinct values in order."""
-    side = lambda df, e, a: df.where(~F.isnan("value")).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")).select("feature", "value", (F.col("n") * e).alias("n_e"), (F.col("n") * a).alias("n_a"))
-    steps = side(before, 1, 0).unionByName(side(now, 0, 1)).groupBy("feature", "value").agg(F.sum("n_e").alias("n_e"), F.sum("n_a").alias("n_a"))
-    upto = cumulative(steps, ["feature"], "value", ["n_e", "n_a"])
-    totals = steps.groupBy("feature").agg(F.sum("n_e").alias("all_e"), F.sum("n_a").alias("all_a"))
-    gaps = upto.join(totals, "feature").withColumn("gap", F.abs(F.try_divide("cum_n_e", "all_e") - F.try_divide("cum_n_a", "all_a")))
-    return gaps.groupBy("feature").agg(F.max("gap").alias("ks"), F.sum(F.col("gap") * F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))).alias("wasserstein"))
+def cdf_distances(before: DataFrame, now: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """feature (or what is named), ks, wasserstein of two tables of values, from their distinct values in order."""
+    by = by or ["feature"]
+    side = lambda df, e, a: df.where(~F.isnan("value")).groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n")).select(*by, "value", (F.col("n") * e).alias("n_e"), (F.col("n") * a).alias("n_a"))
+    steps = side(before, 1, 0).unionByName(side(now, 0, 1)).groupBy(*by, "value").agg(F.sum("n_e").alias("n_e"), F.sum("n_a").alias("n_a"))
+    upto = cumulative(steps, by, "value", ["n_e", "n_a"])
+    totals = steps.groupBy(*by).agg(F.sum("n_e").alias("all_e"), F.sum("n_a").alias("all_a"))
+    gaps = upto.join(totals, by).withColumn("gap", F.abs(F.try_divide("cum_n_e", "all_e") - F.try_divide("cum_n_a", "all_a")))
+    return gaps.groupBy(*by).agg(F.max("gap").alias("ks"), F.sum(F.col("gap") * F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))).alias("wasserstein"))
 
 
 def drift_metrics(baseline: DataFrame, live: DataFrame, columns: list[str], buckets: int = 10, accuracy: int = 1_000_000) -> DataFrame:
@@ -148,12 +174,16 @@ def drift_metrics(baseline: DataFrame, live: DataFrame, columns: list[str], buck
 
 
 def consecutive_drift(log: DataFrame, columns: list[str], edges: DataFrame, scored_at: str = "scored_at", last_days: int = 30) -> DataFrame:
-    """feature, day, psi of each day against the day before it that has rows; the newest ``last_days`` days."""
+    """feature, day, psi, js, chi2, tv, linf, ks, wasserstein of each day against the day before it that has rows.
+
+    The newest ``last_days`` days are reported, the oldest of them too if an earlier day has rows.
+    """
     rows = unpivoted(log.withColumn("day", F.to_date(scored_at)), columns, ["day"])
-    newest = rows.groupBy("feature").agg(F.max("day").alias("newest"))
     counts = bucket_counts(rows, edges, ["day"])
-    days = counts.select("feature", "day").distinct().join(newest, "feature").where(F.col("day") > F.date_sub("newest", last_days))
-    pairs = days.withColumn("before", F.lag("day").over(Window.partitionBy("feature").orderBy("day"))).where("before is not null")
+    by_day = Window.partitionBy("feature").orderBy("day")  # one row a day
+    days = counts.select("feature", "day").distinct().withColumn("before", F.lag("day").over(by_day))
+    newest = days.groupBy("feature").agg(F.max("day").alias("newest"))
+    pairs = days.join(newest, "feature").where((F.col("day") > F.date_sub("newest", last_days)) & F.col("before").isNotNull()).drop("newest")
     spine = pairs.join(F.broadcast(edges), "feature").select("feature", "day", "before", F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bucket"))
     now = counts.withColumnRenamed("n", "n_a")
     then = counts.select("feature", F.col("day").alias("before"), "bucket", F.col("n").alias("n_e"))
@@ -161,4 +191,6 @@ def consecutive_drift(log: DataFrame, columns: list[str], edges: DataFrame, scor
     whole = Window.partitionBy("feature", "day")
     shares = both.select("feature", "day", "bucket", F.sum("n_e").over(whole).alias("all_e"), F.sum("n_a").over(whole).alias("all_a"), "n_e", "n_a")
     shares = shares.withColumns({"e": F.coalesce(F.try_divide("n_e", "all_e"), F.lit(0.0)), "a": F.coalesce(F.try_divide("n_a", "all_a"), F.lit(0.0))})
-    return psi_of(shares, ["feature", "day"])
+    before = rows.withColumnRenamed("day", "before").join(pairs, ["feature", "before"]).select("feature", "day", "value")
+    by_value = cdf_distances(before, rows.join(pairs.select("feature", "day"), ["feature", "day"]), ["feature", "day"])
+    return distances(shares, ["feature", "day"]).join(by_value, ["feature", "day"])

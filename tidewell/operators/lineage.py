@@ -73,13 +73,17 @@ def pin_warnings(pins: DataFrame, catalog: DataFrame) -> DataFrame:
     return both.select(F.col("pin_table").alias("table"), F.col("pin_feature").alias("feature"), said.alias("warning")).where("warning is not null")
 
 
-def upstream(lineage: DataFrame, schema: str, table: str) -> DataFrame:
-    """Sources that the table was built from, newest first."""
-    rows = lineage.where((F.col("target_table_schema") == schema) & (F.col("target_table_name") == table) & F.col("source_table_full_name").isNotNull())
-    return rows.select(F.col("source_table_full_name").alias("upstream"), "entity_type", "event_time").distinct().orderBy(F.desc("event_time"))
-
-
-def downstream(lineage: DataFrame, schema: str, table: str) -> DataFrame:
-    """Tables and runs that read the table, newest first."""
-    rows = lineage.where((F.col("source_table_schema") == schema) & (F.col("source_table_name") == table))
-    return rows.select(F.col("target_table_full_name").alias("downstream"), "entity_type", "entity_run_id", "event_time").distinct().orderBy(F.desc("event_time"))
+def upstream(lineage: DataFrame, schema: str, table: str | None = None) -> DataFrame:
+    """Sources that the table (or each table of the schema) was built from, newest first."""
+    rows = lineage.where((F.col("target_table_schema") == schema) & F.col("source_table_full_name").isNotNull())
+    rows = rows if table is None else rows.where(F.col("target_table_name") == table)
+    own = [F.col("target_table_name").alias("table")] * (table is None)
+    return rows.select(*own, F.col("source_table_full_name").alias("upstream"), "entity_type", "event_time").distinct().orderBy(F.desc("event_time"))
+
+
+def downstream(lineage: DataFrame, schema: str, table: str | None = None) -> DataFrame:
+    """Tables and runs that read the table (or each table of the schema), newest first."""
+    rows = lineage.where(F.col("source_table_schema") == schema)
+    rows = rows if table is None else rows.where(F.col("source_table_name") == table)
+    own = [F.col("source_table_name").alias("table")] * (table is None)
+    return rows.select(*own, F.col("target_table_full_name").alias("downstream"), "entity_type", "entity_run_id", "event_time").distinct().orderBy(F.desc("event_time"))

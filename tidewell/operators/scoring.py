@@ -31,16 +31,16 @@ def stratified_split(df: DataFrame, label: str, key: str, test_percent: int = 20
     return df.withColumn("split", F.when(draw < test_percent * 100, "test").otherwise("train"))
 
 
-def train_classifier(train: DataFrame, features: list[str], label: str = "class", kind: str = "gbt", rounds: int = 20, rate: float = 0.05, seed: int = 42) -> PipelineModel:
+def train_classifier(train: DataFrame, features: list[str], label: str = "class", kind: str = "gbt", rounds: int = 200, rate: float = 0.05, seed: int = 42, key: str = "application_id") -> PipelineModel:
     """Medians for missing values, then boosted trees (or ``kind="logistic"``), all in Spark.
 
-    A tenth of the rows, by hash, stops the boosting early.
+    A tenth of the rows, by a hash of ``key``, stops the boosting when it gains no more there; ``rounds`` is the most.
     """
     filled = [f"__{c}" for c in features]
     stages = [Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="__features", handleInvalid="keep")]
     rows = train.drop("prediction", "probability", "rawPrediction").withColumns({c: F.col(c).cast("double") for c in features}).withColumn("__label", F.col(label).cast("double"))
     if kind == "gbt":
-        rows = rows.withColumn("__held_out", F.pmod(F.xxhash64(*features, F.lit(seed)), F.lit(10)) == 0)
+        rows = rows.withColumn("__held_out", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10)) == 0)
         model = GBTClassifier(featuresCol="__features", labelCol="__label", maxIter=rounds, stepSize=rate, maxDepth=5, seed=seed, validationIndicatorCol="__held_out")
     else:
         model = LogisticRegression(featuresCol="__features", labelCol="__label", maxIter=50, standardization=True)

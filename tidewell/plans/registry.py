@@ -6,6 +6,8 @@ so both sides round them alike.
 
 from __future__ import annotations
 
+import dataclasses
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,8 +67,8 @@ CUSTOMER_FEATURES = contracts.Contract(
 
 
 def _even(built: DataFrame) -> DataFrame:
-    """Amounts to 4 places; averages are lifted off the ties, which engines round by the noise of their sums."""
-    return built.withColumns({"txn_amount_sum": F.round("txn_amount_sum", 4), "txn_amount_avg": F.round(F.col("txn_amount_avg") + 1e-7, 4)})
+    """Sums to 4 places, which all amounts have, and averages to whole amounts: coarser than the noise of sums in another order."""
+    return built.withColumns({"txn_amount_sum": F.round("txn_amount_sum", 4), "txn_amount_avg": F.round("txn_amount_avg", 0)})
 
 
 def _features_at(spark: SparkSession, sf_dir: str, as_of: str, **options) -> DataFrame:
@@ -78,7 +80,7 @@ _FEATURES_SQL = """
     select customer_id, date '{as_of}' as as_of_date, cast(count(txn_id) as int) as txn_count,
         round(coalesce(sum(amount), 0), 4) as txn_amount_sum,
         cast(coalesce(datediff('day', max(cast(txn_ts as date)), date '{as_of}'), 999) as int) as days_since_last_txn,
-        cast(count(case when not is_refund then txn_id end) as int) as purchase_count, round(avg(amount) + 1e-7, 4) as txn_amount_avg
+        cast(count(case when not is_refund then txn_id end) as int) as purchase_count, round(avg(amount), 0) as txn_amount_avg
     from transactions {where} group by customer_id"""
 
 
@@ -105,18 +107,64 @@ def features_on_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _UPSERT_SQL = f"""
-    with old as ({_FEATURES_SQL.format(as_of=AS_OF, where="where customer_id % 2 = 0")}),
-    new as ({_FEATURES_SQL.format(as_of=AS_OF, where="where customer_id % 3 = 0 and txn_ts < timestamp '1998-06-01'")})
+    with old as ({_FEATURES_SQL.format(as_of=AS_OF, where="where txn_ts < timestamp '1998-06-01'")}),
+    new as (select * from ({_FEATURES_SQL.format(as_of=AS_OF, where="")}) where days_since_last_txn < 400)
     select * from new union all select * from old where customer_id not in (select customer_id from new)"""
 
 
+def _two_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A first table from all customers' older transactions, and a later one of those who bought lately."""
+    rows = shape(spark, sf_dir, "transactions")
+    old = contracts.build_features(CUSTOMER_FEATURES, rows.where("txn_ts < timestamp '1998-06-01'"), AS_OF)
+    return old, contracts.build_features(CUSTOMER_FEATURES, rows, AS_OF).where("days_since_last_txn < 400")
+
+
 @query(_UPSERT_SQL, "transactions")
 def feature_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _even(tables.upsert(*_two_runs(spark, sf_dir), CUSTOMER_FEATURES.key_names()))
+
+
+@query(_UPSERT_SQL, "transactions")
+def publish_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by two publications; the second has fewer customers, and the first table lacks a column."""
+    path = tables.shared_path(spark, "customer_features")
+    old, new = _two_runs(spark, sf_dir)
+    first = dataclasses.replace(CUSTOMER_FEATURES, features=CUSTOMER_FEATURES.features[:-1])
+    contracts.publish(first, old.drop("txn_amount_avg"), path, f"{path}.staging")
+    contracts.publish(CUSTOMER_FEATURES, new, path, f"{path}.staging")  # adds the column
+    contracts.publish(CUSTOMER_FEATURES, old.join(new, "customer_id", "left_anti"), path, f"{path}.staging")
+    return _even(spark.read.parquet(path))
+
+
+@query(
+    """select o_custkey as customer_id, o_orderkey as txn_count, cast(null as double) as score from orders where o_orderdate < timestamp '1998-01-01'
+    union all select o_custkey, o_orderkey, o_totalprice from orders where o_orderdate >= timestamp '1998-01-01'"""
+)
+def append_with_new_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tables.shared_path(spark, "appended")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("customer_id"), F.col("o_orderkey").alias("txn_count"), "o_totalprice", "o_orderdate")
+    before = F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp")
+    tables.overwrite(rows.where(before).select("customer_id", "txn_count"), path)
+    tables.append(rows.where(~before).select("customer_id", "txn_count", F.col("o_totalprice").alias("score")), path)
+    return tables.read_table(spark, path, merge_schema=True)
+
+
+@query("select c_custkey as customer_id, c_acctbal as balance, cast(2 as int) as snapshot_version from customer")
+def snapshot_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second of two numbered snapshots, read by its number; the first has other rows."""
+    root = tables.shared_path(spark, "snapshots")
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("customer_id"), F.col("c_acctbal").alias("balance"))
+    tables.write_version(rows.where("balance > 0"), root, 1)
+    return tables.read_table(spark, tables.write_version(rows, root, 2))
+
+
+@query("select 'good' as contract, true as passes, count(*) as source_rows from transactions union all select 'wrong column', false, count(*) from transactions", "transactions")
+def contract_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the analyser says of two contracts before anything is built."""
     rows = shape(spark, sf_dir, "transactions")
-    build = lambda df: contracts.build_features(CUSTOMER_FEATURES, df, AS_OF)
-    old = build(rows.where("customer_id % 2 = 0"))
-    new = build(rows.where("customer_id % 3 = 0 and txn_ts < timestamp '1998-06-01'"))
-    return _even(tables.upsert(old, new, ["customer_id", "as_of_date"]))
+    wrong = dataclasses.replace(CUSTOMER_FEATURES, features=[contracts.Feature("n", "int", "count(t.no_such_column)")])
+    said = [(n, contracts.analysis_error(c, rows, AS_OF) is None) for n, c in (("good", CUSTOMER_FEATURES), ("wrong column", wrong))]
+    return spark.createDataFrame(said, "contract string, passes boolean").join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("source_rows"))))
 
 
 @query("select o_custkey as customer_id, o_orderkey as txn_count, cast(null as double) as score from orders")
@@ -219,7 +267,17 @@ def rejection_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.rejection_reasons(_decided(spark, sf_dir))
 
 
-@query()
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text in SQL: eight shifts a byte."""
+    bits = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda k, z: xor(k >> 1, 3988292384 * (k & 1)))"
+    own = f"list_transform(range(1, length({text}) + 1), lambda i: cast(ascii(substr({text}, i, 1)) as bigint))"
+    return f"xor(list_reduce(list_prepend(cast(4294967295 as bigint), {own}), lambda c, b: {bits}), cast(4294967295 as bigint))"
+
+
+_COHORT_SQL = "select {key}, cast({crc} % 100 as int) as bucket, case when {crc} % 100 < 25 then 'B' else 'A' end as variant from {table}"
+
+
+@query(_COHORT_SQL.format(key="c_custkey as customer_id", crc=_crc32_sql("('exp1:' || c_custkey)"), table="customer"))
 def cohort_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("customer_id"))
     return rows.select("customer_id", cohorts.cohort_bucket("customer_id", "exp1").alias("bucket"), cohorts.cohort("customer_id", "exp1", 25).alias("variant"))
@@ -231,13 +289,13 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("class").withColumn("batch_date", F.lit(AS_OF).cast("date"))
 
 
-_LOG_SQL = """select customer_id, duration, credit_amount, age, installment_commitment, cast(case when prediction >= 0.30 then 1 else 0 end as double) as prediction,
-    prediction as prediction_score, 'v1' as model_version, cast(null as double) as ground_truth from applicants"""
+_LOG_SQL = f"""select customer_id, duration, credit_amount, age, installment_commitment, monthly_instalment, credit_to_age_ratio, cast(case when prediction >= 0.30 then 1 else 0 end as double) as prediction,
+    prediction as prediction_score, 'v1' as model_version, cast(null as double) as ground_truth from applicants join ({_CREDIT_SQL}) using (application_id)"""
 
 
 @query(_LOG_SQL, "applicants")
 def inference_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = shape(spark, sf_dir, "applicants").withColumns({"model_version": F.lit("v1"), "scored_at": F.lit(SCORED_AT).cast("timestamp")})
+    scored = features.compute_features(shape(spark, sf_dir, "applicants")).withColumns({"model_version": F.lit("v1"), "scored_at": F.lit(SCORED_AT).cast("timestamp")})
     return scoring.inference_log(scored, features.MONITORED).drop("scored_at")
 
 
@@ -273,11 +331,13 @@ def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape(spark, sf_dir, "outcomes")
 
 
-_DRIFT = ["duration", "credit_amount", "age", "installment_commitment"]
+_DRIFT = features.MONITORED
+_ENRICHED = f"""enriched as (select a.*, monthly_instalment, credit_to_age_ratio from applicants a join ({_CREDIT_SQL}) using (application_id))"""
 
 
 def _sides(spark: SparkSession, sf_dir: str, factor: float = 1.0) -> tuple[DataFrame, DataFrame]:
     rows = shape(spark, sf_dir, "applicants")
+    rows = features.compute_features(rows)
     before, live = rows.where(F.col("applied_at") < DRIFT_FROM), rows.where(F.col("applied_at") >= DRIFT_FROM)
     if factor != 1.0:
         live = drift.inject_skew(live, {"credit_amount": factor, "age": factor}, "customer_id", F.col("customer_id") % 5 < 2)
@@ -287,7 +347,7 @@ def _sides(spark: SparkSession, sf_dir: str, factor: float = 1.0) -> tuple[DataF
 def _drift_sql(live: str, tail: str) -> str:
     stack = " union all ".join(f"select '{c}' as feature, cast({c} as double) as value from {{0}} where {c} is not null" for c in _DRIFT)
     return f"""
-        with base_rows as (select * from applicants where applied_at < timestamp '{DRIFT_FROM}'), live_rows as ({live}),
+        with {_ENRICHED}, base_rows as (select * from enriched where applied_at < timestamp '{DRIFT_FROM}'), live_rows as ({live}),
         b as ({stack.format("base_rows")}), l as ({stack.format("live_rows")}),
         q as (select feature, list_sort(list_distinct(quantile_disc(value, [{", ".join(f"{i / 10}" for i in range(1, 10))}]))) as edges from b group by feature),
         spine as (select feature, unnest(range(0, len(edges) + 1)) as bucket from q),
@@ -301,9 +361,9 @@ def _drift_sql(live: str, tail: str) -> str:
         r as (select feature, psi, case when psi >= 0.25 then 'RETRAIN' when psi >= 0.10 then 'WARN' else 'STABLE' end as verdict from p) {tail}"""
 
 
-_LIVE = f"select * from applicants where applied_at >= timestamp '{DRIFT_FROM}'"
-_SKEWED = f"""select duration, credit_amount, age, installment_commitment from applicants where applied_at >= timestamp '{DRIFT_FROM}'
-    union all select duration, credit_amount * 3, age * 3, installment_commitment from applicants where applied_at >= timestamp '{DRIFT_FROM}' and customer_id % 5 < 2"""
+_LIVE = f"select * from enriched where applied_at >= timestamp '{DRIFT_FROM}'"
+_SKEWED = f"""select {", ".join(_DRIFT)} from enriched where applied_at >= timestamp '{DRIFT_FROM}'
+    union all select {", ".join(c + " * 3" * (c in ("credit_amount", "age")) for c in _DRIFT)} from enriched where applied_at >= timestamp '{DRIFT_FROM}' and customer_id % 5 < 2"""
 
 
 @query(_drift_sql(_LIVE, "select feature, round(psi, 6) as psi, verdict, 'now' as checked_at from r"), "applicants")
@@ -350,18 +410,29 @@ def drift_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """with q as (select list_sort(list_distinct(quantile_disc(amount, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) as edges from scored_log where scored_at < timestamp '2024-01-08'),
-    c as (select cast(scored_at as date) as day, len(list_filter(edges, lambda e: amount > e)) as bucket, count(*) as n from scored_log, q group by all),
-    d as (select day, lag(day) over (order by day) as before from (select distinct day from c)),
+    r as (select cast(scored_at as date) as day, amount as value from scored_log where amount is not null),
+    c as (select day, len(list_filter(edges, lambda e: value > e)) as bucket, count(*) as n from r, q group by all),
+    d as (select day, before from (select day, lag(day) over (order by day) as before, max(day) over () as newest from (select distinct day from c)) where before is not null and day > newest - interval 10 day),
     s as (select d.day, k.bucket, coalesce(x.n, 0) as n_a, coalesce(y.n, 0) as n_e from d, (select unnest(range(0, len(edges) + 1)) as bucket from q) k
-        left join c x on x.day = d.day and x.bucket = k.bucket left join c y on y.day = d.before and y.bucket = k.bucket where d.before is not null),
-    h as (select day, greatest(n_a / sum(n_a) over (partition by day), 1e-4) as a, greatest(n_e / sum(n_e) over (partition by day), 1e-4) as e from s)
-    select 'amount' as feature, day, round(sum((a - e) * ln(a / e)), 6) as psi from h group by day""",
+        left join c x on x.day = d.day and x.bucket = k.bucket left join c y on y.day = d.before and y.bucket = k.bucket),
+    h as (select *, n_a / sum(n_a) over (partition by day) as a, n_e / sum(n_e) over (partition by day) as e, sum(n_a) over (partition by day) as all_a from s),
+    p as (select day, sum((greatest(a, 1e-4) - greatest(e, 1e-4)) * ln(greatest(a, 1e-4) / greatest(e, 1e-4))) as psi,
+        sqrt(greatest(sum(case when e > 0 then e * log2(e / ((e + a) / 2)) else 0 end + case when a > 0 then a * log2(a / ((e + a) / 2)) else 0 end) / 2, 0)) as js,
+        sum(case when e > 0 then (n_a - e * all_a) * (n_a - e * all_a) / (e * all_a) else 0 end) as chi2, sum(abs(a - e)) / 2 as tv, max(abs(a - e)) as linf from h group by day),
+    w as (select day, value, sum(x) as x, sum(y) as y from (select d.day, value, 1 as x, 0 as y from d join r on r.day = d.before union all select d.day, value, 0, 1 from d join r on r.day = d.day) group by day, value),
+    g as (select day, value, lead(value) over (partition by day order by value) as next,
+        abs(sum(x) over (partition by day order by value) / sum(x) over (partition by day) - sum(y) over (partition by day order by value) / sum(y) over (partition by day)) as gap from w),
+    k as (select day, max(gap) as ks, sum(gap * coalesce(next - value, 0)) as wasserstein from g group by day)
+    select 'amount' as feature, day, round(psi, 6) as psi, round(js, 6) as js, round(chi2, 4) as chi2, round(tv, 6) as tv, round(linf, 6) as linf, round(ks, 6) as ks, round(wasserstein, 4) as wasserstein
+    from p join k using (day)""",
     "scored_log",
 )
 def consecutive_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest ten days, the oldest of them against a day before them."""
     log = shape(spark, sf_dir, "scored_log")
     edges = drift.quantile_edges(drift.unpivoted(log.where("scored_at < timestamp '2024-01-08'"), ["amount"]))
-    return _rounded(drift.consecutive_drift(log, ["amount"], edges))
+    out = drift.consecutive_drift(log, ["amount"], edges, last_days=10)
+    return out.select("feature", "day", *(F.round(c, 4 if c in ("chi2", "wasserstein") else 6).alias(c) for c in out.columns[2:]))
 
 
 @query(
@@ -376,6 +447,19 @@ def profile_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(drift.profile_metrics(shape(spark, sf_dir, "scored_log"), ["amount", "prediction_score"], by="event_type"))
 
 
+@query(
+    f"""with {_LABELLED}, r as (select date_trunc('day', scored_at) as window_start, model_version as model, event_type as slice, prediction as p, ground_truth as y from labelled),
+    m as (select window_start, coalesce(model, '*') as model, coalesce(slice, '*') as slice, count(*) as n, count(*) filter (where p = 1 and y = 1) as tp, count(*) filter (where p = 1 and y = 0) as fp,
+        count(*) filter (where p = 0 and y = 1) as fn, count(*) filter (where p = 0 and y = 0) as tn
+        from r group by grouping sets ((window_start, model, slice), (window_start, model), (window_start, slice), (window_start)))
+    select cast(window_start as timestamp) as window_start, model, slice, n, tp + fp + fn + tn as n_labelled, tp, fp, fn, tn,
+        round((tp + tn) / nullif(tp + fp + fn + tn, 0), 6) as accuracy, round(tp / nullif(tp + fp, 0), 6) as precision, round(tp / nullif(tp + fn, 0), 6) as recall from m""",
+    "scored_log outcomes",
+)
+def profile_table_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(drift.profile_table_metrics(_labelled(spark, sf_dir), by="event_type"))
+
+
 _CONFUSION_SQL = """select variant, count(*) filter (where p = 1 and y = 1) as tp, count(*) filter (where p = 1 and y = 0) as fp,
     count(*) filter (where p = 0 and y = 1) as fn, count(*) filter (where p = 0 and y = 0) as tn from (select variant, prediction as p, ground_truth as y from labelled) group by variant"""
 
@@ -389,30 +473,44 @@ def arm_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(abtest.confusion(_labelled(spark, sf_dir), ["variant"]))
 
 
-_AB_SQL = f"""
-    with {_LABELLED}, m as ({_CONFUSION_SQL}),
-    arms as (select variant, count(*) as n, avg(prediction) as positive_pred_rate, string_agg(distinct model_version, ',' order by model_version) as model_version from scored_log group by variant),
-    q as (select list_sort(list_distinct(quantile_disc(prediction_score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) as edges from scored_log where variant = 'A'),
+#: The chance of a standard normal value beyond z on either side: 1 - erf, by the series with gamma functions.
+_P_SQL = "1 - exp(-z * z / 2) * list_sum(list_transform(range(0, 200), lambda n: exp((2 * n + 1) * ln(greatest(abs(z), 1e-300) / sqrt(2)) - lgamma(n + 1.5))))"
+_SCORE_PSI_SQL = """q as (select list_sort(list_distinct(quantile_disc(prediction_score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) as edges from scored_log where variant = 'A'),
     c as (select variant, len(list_filter(edges, lambda e: prediction_score > e)) as bucket, count(*) as n from scored_log, q group by all),
     s as (select v.variant, k.bucket, coalesce(x.n, 0) as n_a, coalesce(y.n, 0) as n_e from (select variant from arms) v, (select unnest(range(0, len(edges) + 1)) as bucket from q) k
         left join c x on x.variant = v.variant and x.bucket = k.bucket left join c y on y.variant = 'A' and y.bucket = k.bucket),
     h as (select variant, greatest(n_a / sum(n_a) over (partition by variant), 1e-4) as a, greatest(n_e / sum(n_e) over (partition by variant), 1e-4) as e from s),
-    psi as (select variant, sum((a - e) * ln(a / e)) as psi from h group by variant),
+    psi as (select variant, sum((a - e) * ln(a / e)) as psi from h group by variant)"""
+_ARMS_SQL = "arms as (select variant, count(*) as n, avg(prediction) as positive_pred_rate, string_agg(distinct model_version, ',' order by model_version) as model_version from scored_log group by variant)"
+_AB_SQL = f"""
+    with {_LABELLED}, m as ({_CONFUSION_SQL}),
+    {_ARMS_SQL}, {_SCORE_PSI_SQL},
     t as (select max(tp + tn) filter (where variant = 'A') as sa, max(tp + fp + fn + tn) filter (where variant = 'A') as na,
         max(tp + tn) filter (where variant = 'B') as sb, max(tp + fp + fn + tn) filter (where variant = 'B') as nb from m),
     z as (select (sb / nb - sa / na) / sqrt((sa + sb) / (na + nb) * (1 - (sa + sb) / (na + nb)) * (1.0 / na + 1.0 / nb)) as z from t)
     select arms.variant, model_version, n, cast(null as double) as approval_rate, round(positive_pred_rate, 6) as positive_pred_rate,
         round((tp + tn) / nullif(tp + fp + fn + tn, 0), 6) as accuracy, round(tp / nullif(tp + fp, 0), 6) as precision, round(tp / nullif(tp + fn, 0), 6) as recall,
-        round(psi, 6) as psi, 'accuracy' as primary_metric, round(z, 6) as z, 'batch' as serving_mode, 'now' as checked_at
+        round(psi, 6) as psi, 'accuracy' as primary_metric, round(z, 6) as z, round({_P_SQL}, 6) as p_value, 'batch' as serving_mode, 'now' as checked_at
     from arms join m using (variant) join psi using (variant), z"""
 
 
 @query(_AB_SQL, "scored_log outcomes")
 def ab_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(abtest.compare_arms(_labelled(spark, sf_dir), None, "now", p_values=False))
+    return _rounded(abtest.compare_arms(_labelled(spark, sf_dir), None, "now"))
 
 
-@query()
+@query(
+    f"""with {_ARMS_SQL}, {_SCORE_PSI_SQL},
+    r as (select variant, avg(cast(prediction_score <= 0.5 as double)) as approval_rate, count(*) as n_decided, count(*) filter (where prediction_score <= 0.5) as n_approved from scored_log group by variant),
+    t as (select max(n_approved) filter (where variant = 'A') as sa, max(n_decided) filter (where variant = 'A') as na,
+        max(n_approved) filter (where variant = 'B') as sb, max(n_decided) filter (where variant = 'B') as nb from r),
+    z as (select (sb / nb - sa / na) / sqrt((sa + sb) / (na + nb) * (1 - (sa + sb) / (na + nb)) * (1.0 / na + 1.0 / nb)) as z from t)
+    select arms.variant, model_version, n, round(approval_rate, 6) as approval_rate, round(positive_pred_rate, 6) as positive_pred_rate,
+        cast(null as double) as accuracy, cast(null as double) as precision, cast(null as double) as recall,
+        round(psi, 6) as psi, 'approval_rate' as primary_metric, round(z, 6) as z, round({_P_SQL}, 6) as p_value, 'batch' as serving_mode, 'now' as checked_at
+    from arms join r using (variant) join psi using (variant), z""",
+    "scored_log",
+)
 def ab_comparison_with_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = shape(spark, sf_dir, "scored_log")
     decided = log.select("variant", (F.col("prediction_score") <= 0.5).alias("is_eligible"))
@@ -504,16 +602,16 @@ def pin_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.pin_warnings(pins, catalog.distinct())
 
 
-@query("""select 'src.t' || cast(entity_id % 3 as varchar) as upstream, entity_type, event_time from reads where source_column_name = 'c1' group by all""", "reads")
+@query("""select source_column_name as "table", 'src.t' || cast(entity_id % 3 as varchar) as upstream, entity_type, event_time from reads group by all""", "reads")
 def lineage_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shape(spark, sf_dir, "reads").select("entity_type", "event_time", F.concat(F.lit("src.t"), (F.col("entity_id") % 3).cast("string")).alias("source_table_full_name"), F.lit("gold").alias("target_table_schema"), F.col("source_column_name").alias("target_table_name"))
-    return lineage.upstream(rows, "gold", "c1")
+    return lineage.upstream(rows, "gold")
 
 
-@query("""select 'gold.t' || cast(entity_id % 3 as varchar) as downstream, entity_type, entity_run_id, event_time from reads where source_column_name = 'c1' group by all""", "reads")
+@query("""select source_column_name as "table", 'gold.t' || cast(entity_id % 3 as varchar) as downstream, entity_type, entity_run_id, event_time from reads group by all""", "reads")
 def lineage_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shape(spark, sf_dir, "reads").select("entity_type", "entity_run_id", "event_time", F.concat(F.lit("gold.t"), (F.col("entity_id") % 3).cast("string")).alias("target_table_full_name"), F.lit("raw").alias("source_table_schema"), F.col("source_column_name").alias("source_table_name"))
-    return lineage.downstream(rows, "raw", "c1")
+    return lineage.downstream(rows, "raw")
 
 
 @query(f"""with f as ({_FEATURES_SQL.format(as_of=AS_OF, where="")}) select 'null customer_id' as "check", count(*) filter (where customer_id is null) as n from f
@@ -551,28 +649,44 @@ def audit_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.audit_row(spark, {"model_name": "credit", "decision": "REPORTED"}, found, SCORED_AT)
 
 
-def _trained(spark: SparkSession, sf_dir: str, kind: str) -> tuple[DataFrame, scoring.PipelineModel, list[str]]:
+def _trained(spark: SparkSession, sf_dir: str, *kinds: str) -> tuple[DataFrame, list[scoring.PipelineModel], list[str]]:
     rows = features.compute_features(shape(spark, sf_dir, "applicants").drop("prediction"))
     names = [*features.MONITORED, *features.DERIVED[2:], "num_dependents", "residence_since", "existing_credits"]
     parts = scoring.stratified_split(rows, "class", "application_id")
-    return parts, scoring.train_classifier(parts.where("split = 'train'"), names, kind=kind, rounds=10), names
+    return parts, [scoring.train_classifier(parts.where("split = 'train'"), names, kind=k) for k in kinds], names
 
 
 @query()
 def train_and_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts, model, names = _trained(spark, sf_dir, "gbt")
+    parts, (model,), names = _trained(spark, sf_dir, "gbt")
     scored = scoring.score_batch(parts.where("split = 'test'"), model, names, "v1", SCORED_AT)
     return quality.gate(quality.quality_metrics(scored, "prediction_score", "class"))
 
 
 @query()
 def baseline_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts, model, names = _trained(spark, sf_dir, "logistic")
+    parts, (model,), names = _trained(spark, sf_dir, "logistic")
     return scoring.baseline_snapshot(scoring.score_batch(parts.where("split = 'train'"), model, names, "v1", SCORED_AT), features.MONITORED)
 
 
 @query()
 def score_two_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts, model, names = _trained(spark, sf_dir, "logistic")
-    scored = scoring.score_arms(parts.where("split = 'test'"), {"A": (model, "v1"), "B": (model, "v2")}, names, "customer_id", "exp1", 25, SCORED_AT)
+    """All applicants, each by its arm's model: a logistic one and boosted trees, both fitted on the train split."""
+    parts, (champion, challenger), names = _trained(spark, sf_dir, "logistic", "gbt")
+    scored = scoring.score_arms(parts, {"A": (champion, "v1"), "B": (challenger, "v2")}, names, "customer_id", "exp1", 25, SCORED_AT)
     return scored.select("application_id", "customer_id", "variant", "model_version", "prediction_score", "scored_at")
+
+
+@query(
+    f"""with s as (select application_id, 1 / (1 + exp(-(credit_amount / 400000 + coalesce(duration, 0) / 100 - age / 50))) as prediction_score from applicants)
+    select application_id, round(prediction_score, 6) as prediction_score, 'plain' as model_version, timestamp '{SCORED_AT}' as scored_at from s""",
+    "applicants",
+)
+def score_with_plain_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that is any Python function of a batch of feature columns."""
+
+    def predict(rows):
+        return 1 / (1 + (-(rows["credit_amount"] / 400_000 + rows["duration"].fillna(0) / 100 - rows["age"] / 50)).map(math.exp))
+
+    out = scoring.score_with(shape(spark, sf_dir, "applicants"), predict, ["credit_amount", "duration", "age"], "plain", SCORED_AT)
+    return _rounded(out.select("application_id", "prediction_score", "model_version", "scored_at"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +18,16 @@ def read_table(spark: SparkSession, name: str, merge_schema: bool = False) -> Da
     return spark.table(name)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; only a single-machine session without one gets a local folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by driver and executors")
+        base = "file://" + tempfile.mkdtemp(prefix="tidewell-")
+    return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}/{name}"
+
+
 def overwrite(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Replace the table, schema and all. The path must not be one that ``df`` reads."""
     df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
@@ -50,6 +64,25 @@ def upsert_partitions(spark: SparkSession, path: str, source: DataFrame, keys: l
     spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
+def publish_upsert(spark: SparkSession, path: str, source: DataFrame, wanted: T.StructType, keys: list[str], partition: str, staging: str) -> None:
+    """Upsert into a table that may not exist yet or have other columns than ``wanted``.
+
+    Only the partitions that ``source`` touches are rewritten, unless the columns change: then all are.
+    """
+    source = sync_schema(source, wanted, keys)
+    try:
+        have = spark.read.parquet(path)
+    except AnalysisException:
+        source.write.partitionBy(partition).parquet(path)
+        return
+    columns = lambda fields: {(f.name.lower(), f.dataType.simpleString()) for f in fields if f.name.lower() != partition.lower()}
+    if columns(have.schema) == columns(wanted):
+        upsert_partitions(spark, path, source, keys, partition, staging)
+        return
+    upsert(sync_schema(have, wanted, keys), source, keys).write.mode("overwrite").parquet(staging)
+    spark.read.parquet(staging).write.mode("overwrite").partitionBy(partition).parquet(path)
+
+
 def sync_schema(df: DataFrame, wanted: T.StructType, keys: list[str]) -> DataFrame:
     """``df`` with the wanted columns in order: new ones null, dropped ones gone, keys always kept.
 
