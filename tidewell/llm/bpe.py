@@ -96,20 +96,22 @@ class TokenAutomaton:
         return True
 
     def encode_word(self, word: bytes) -> list[int]:
-        """The only accepted path over one pre-split word."""
+        """The only accepted path over one pre-split word.
+
+        Longer tokens are tried first; a place that a token leads to without a way on is not entered by it again,
+        so the work is bounded by the word's length times the tokens that match there.
+        """
         known, goes, arcs, n, longest = self.known, self.state, self._arcs, len(word), self.longest
-        whole = known.get(word)
-        if whole is not None:
-            return [whole]
         path: list[int] = []
         ends = [0]
         tries = [min(n, longest)]
+        dead: set[tuple[int, int]] = set()
         while ends[-1] < n:
             start, stop = ends[-1], tries[-1]
             state = goes[path[-1]] if path else 0
             while stop > start:
                 token = known.get(word[start:stop])
-                if token is not None:
+                if token is not None and (not dead or (stop, token) not in dead):
                     key = state << 17 | token
                     ok = arcs.get(key)
                     if ok is None:
@@ -127,7 +129,7 @@ class TokenAutomaton:
             else:  # no arc fits here: back to the last choice
                 if not path:
                     raise ValueError(f"the vocabulary has no bytes for {word!r}")
-                path.pop()
+                dead.add((start, path.pop()))
                 ends.pop()
                 tries.pop()
         return path
