@@ -75,13 +75,15 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, levels: int = 3, rou
     Grades of which the sample has none keep a threshold beside their neighbour's; an empty sample gives the
     model without weights.
     """
-    weights = np.zeros(1 << BITS)
+    whole = np.zeros(1 << BITS)
     shares = np.array([np.sum(grades <= k) + 1.0 for k in range(levels - 1)]) / (len(grades) + levels)
     cuts = np.log(shares / (1 - shares))
     gaps = np.log(np.maximum(np.diff(cuts), 1e-3))
     if not len(rows):
-        return OrdinalModel(weights, cuts)
-    flat = np.concatenate(rows)
+        return OrdinalModel(whole, cuts)
+    # Only buckets that the sample has move; the others stay 0.
+    used, flat = np.unique(np.concatenate(rows), return_inverse=True)
+    weights = np.zeros(len(used))
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     n, first = len(rows), cuts[:1].copy()
     state = [weights, first, gaps]
@@ -106,7 +108,8 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, levels: int = 3, rou
             m += 0.1 * (g - m)
             s += 0.001 * (g * g - s)
             x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-    return OrdinalModel(weights, np.concatenate([first, first + np.cumsum(np.exp(gaps))]))
+    whole[used] = weights
+    return OrdinalModel(whole, np.concatenate([first, first + np.cumsum(np.exp(gaps))]))
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, **options) -> OrdinalModel:
