@@ -275,6 +275,13 @@ def test_bpe(docs, none, rows):
         want.append((r[0], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
     same([tuple(r) for r in bpe.encode_documents(docs, vocabulary()).collect()], want)
     assert bpe.encode_documents(none, vocabulary()).count() == 0
+    auto, rng = bpe.load_automaton(vocabulary()), random.Random(1)
+    for letters in ("a", "ab", "theinrs", "0123", "-=_"):  # long words without a space, where ways end blindly
+        for n in (1, 7, 400, 20_000):
+            word = "".join(rng.choice(letters) for _ in range(n))
+            ids = auto.encode_word(word.encode())
+            assert ids == [t.id for t in library.model.tokenize(word)]
+            assert auto.decode(ids) == word.encode()
     with pytest.raises(ValueError):
         bpe.TokenAutomaton({"a": 0, "b": 1, "ab": 2}, [("a", "b")]).encode_word(b"abc")
 
