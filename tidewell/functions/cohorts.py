@@ -27,4 +27,4 @@ def cohort_of(value: object, salt: str, split_percent: int) -> str:
 
 def sampled(key: str, fraction: float, seed: int = 42) -> Column:
     """True for about this fraction of the keys, whatever the partitioning."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < F.lit(int(fraction * 1_000_000))
+    return cohort_bucket(key, f"sample {seed}", 1_000_000) < F.lit(int(fraction * 1_000_000))

@@ -283,7 +283,7 @@ def cohort_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("customer_id", cohorts.cohort_bucket("customer_id", "exp1").alias("bucket"), cohorts.cohort("customer_id", "exp1", 25).alias("variant"))
 
 
-@query()
+@query(f"select * exclude (class), date '{AS_OF}' as batch_date from applicants where {_crc32_sql("('sample 42:' || application_id)")} % 1000000 < 200000", "applicants")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shape(spark, sf_dir, "applicants").where(cohorts.sampled("application_id", 0.2))
     return rows.drop("class").withColumn("batch_date", F.lit(AS_OF).cast("date"))
