@@ -144,7 +144,8 @@ def _concentrate(rows: DataFrame, fit: DataFrame, accuracy: int) -> DataFrame:
     """One step of every estimate: mean and covariance of the half nearest to it."""
     by = ["cell", "start"] if "start" in fit.columns else ["cell"]
     far = _distance(rows, fit)
-    limit = far.groupBy(*by).agg(F.percentile_approx("d2", 0.5, accuracy).alias("limit"))
+    # Written, so that Spark sees how small it is and need not deal the rows by cell.
+    limit = materialize(far.groupBy(*by).agg(F.percentile_approx("d2", 0.5, accuracy).alias("limit")), "limit")
     return _estimate(far.join(limit, by).where("d2 <= limit"), by)
 
 
