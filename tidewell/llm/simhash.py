@@ -421,7 +421,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, blo
     roots = components(verified_links(families, texts, similarity, width, family_block)).withColumnRenamed("node", "id")
     placed = distinct.select("mark", "id", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     placed = materialize(placed.select("mark", "least", "root"), "placed")
-    lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written, so that the join has exchanges of its own, whose large partitions Spark can split.
+    lowest = materialize(placed.groupBy("root").agg(F.min("least").alias("component_id")), "lowest")
     named = placed.join(lowest, "root").select("mark", "component_id", "root")
     return marks.join(named, "mark").select("doc_id", "component_id", F.col("root").alias("component"), *([F.col("tag").alias(tag)] if tag else []))
 
