@@ -617,24 +617,25 @@ def test_ordinal_likelihood_and_scores(spark):
         assert got[i].p_good == pytest.approx(tails[1], abs=1e-4) and got[i].expected_grade == pytest.approx(sum(tails), abs=2e-4) and got[i].kept == (got[i].p_good >= 0.5)
 
 
-def test_stages_with_awkward_rows(spark, docs, none):
+def test_stages_with_awkward_rows(spark, docs, none, tmp_path):
     """Nulls, empty and long texts, repeated rows, names that the stages use inside, and no rows at all."""
     import corpus_pipeline
 
     clash = ["fp", "root", "uid", "lane", "cell", "node", "mark", "size", "keys", "key", "id", "slot", "start", "words", "page", "bits", "__row", "__page", "grade", "rated_id", "best"]
-    more = docs.withColumns({c: F.lit(c) for c in clash})
+    rows = docs.withColumns({c: F.lit(c) for c in clash})
     folder = "/root/testdata/sf0.001"
-    kept = more
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, more, folder)
-        assert out.columns == more.columns and 0 < out.count()
-        assert name == "mixing" or out.exceptAll(more).isEmpty()
+        empty = stage(spark, none, folder)
+        assert empty.columns == none.columns and empty.isEmpty()
+        stage(spark, rows, folder).write.parquet(f"{tmp_path}/{name}")
+        out = spark.read.parquet(f"{tmp_path}/{name}")
+        assert out.columns == rows.columns and 0 < out.count()
+        assert name == "mixing" or out.exceptAll(rows).isEmpty()
         assert out.where(" or ".join(f"{c} <> '{c}'" for c in clash)).isEmpty()
-        assert stage(spark, none, folder).columns == none.columns and stage(spark, none, folder).isEmpty()
-        kept = stage(spark, kept, folder)
+        rows = out
     encode = corpus_pipeline.STAGES[-1][1]
-    assert encode(spark, more, folder).count() == more.count() and encode(spark, none, folder).isEmpty()
-    assert kept.groupBy("text").count().where("count > 3").isEmpty()
+    assert encode(spark, rows, folder).count() == rows.count() and encode(spark, none, folder).isEmpty()
+    assert rows.groupBy("text").count().where("count > 3").isEmpty()
 
 
 def test_pipeline(spark):
