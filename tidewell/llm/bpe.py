@@ -115,7 +115,7 @@ class TokenAutomaton:
                     key = state << 17 | token
                     ok = arcs.get(key)
                     if ok is None:
-                        if len(arcs) > 500_000:
+                        if len(arcs) > 200_000:
                             arcs.clear()
                         ok = arcs[key] = self.arc(state, token)
                     if ok:
@@ -222,7 +222,7 @@ class TextEncoder:
 @lru_cache(maxsize=4)
 def automaton_encoder(path: str) -> TextEncoder:
     auto = load_automaton(path)
-    return TextEncoder(lambda word: auto.encode_word(word.encode()), auto.special)
+    return TextEncoder(lambda word: auto.encode_word(word.encode()), auto.special, most_words=300_000)
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
