@@ -267,7 +267,7 @@ def rejection_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.rejection_reasons(_decided(spark, sf_dir))
 
 
-def _crc32_sql(text: str) -> str:
+def crc32_sql(text: str) -> str:
     """CRC-32 of an ASCII text in SQL: eight shifts a byte."""
     bits = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda k, z: xor(k >> 1, 3988292384 * (k & 1)))"
     own = f"list_transform(range(1, length({text}) + 1), lambda i: cast(ascii(substr({text}, i, 1)) as bigint))"
@@ -277,13 +277,13 @@ def _crc32_sql(text: str) -> str:
 _COHORT_SQL = "select {key}, cast({crc} % 100 as int) as bucket, case when {crc} % 100 < 25 then 'B' else 'A' end as variant from {table}"
 
 
-@query(_COHORT_SQL.format(key="c_custkey as customer_id", crc=_crc32_sql("('exp1:' || c_custkey)"), table="customer"))
+@query(_COHORT_SQL.format(key="c_custkey as customer_id", crc=crc32_sql("('exp1:' || c_custkey)"), table="customer"))
 def cohort_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("customer_id"))
     return rows.select("customer_id", cohorts.cohort_bucket("customer_id", "exp1").alias("bucket"), cohorts.cohort("customer_id", "exp1", 25).alias("variant"))
 
 
-@query(f"select * exclude (class), date '{AS_OF}' as batch_date from applicants where {_crc32_sql("('sample 42:' || application_id)")} % 1000000 < 200000", "applicants")
+@query(f"select * exclude (class), date '{AS_OF}' as batch_date from applicants where {crc32_sql("('sample 42:' || application_id)")} % 1000000 < 200000", "applicants")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shape(spark, sf_dir, "applicants").where(cohorts.sampled("application_id", 0.2))
     return rows.drop("class").withColumn("batch_date", F.lit(AS_OF).cast("date"))
