@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, kdshard, mixing, ordinal, outliers, simhash, suffix, wavelet
+from ..plans.registry import crc32_sql
+from . import bpe, chat, exact, kdshard, merkle, mixing, ordinal, outliers, simhash, suffix, wavelet
 from .store import new_path
 
 
@@ -67,13 +68,27 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.grade_documents(docs, ordinal.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    claim = merkle.tampered_digest({"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))})
+    return merkle.check_proofs(merkle.write_manifest(_table(spark, sf_dir, "documents"), new_path(spark, "manifest"), claim=claim))
+
+
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_chat_format, op3_kd_shards, op4_bpe, op5_wavelet_shards, op6_suffix_dedup, op7_mixing, op8_robust_outliers, op9_exact_dedup, op10_ordinal_quality)
+    for f in (op1_simhash, op2_chat_format, op3_kd_shards, op4_bpe, op5_wavelet_shards, op6_suffix_dedup, op7_mixing, op8_robust_outliers, op9_exact_dedup, op10_ordinal_quality, op13_merkle)
 }
 
 _ESCAPES = "(length({0}) - length(replace({0}, '\\', '')) + length({0}) - length(replace({0}, '<', '')) + length({0}) - length(replace({0}, '>', '')))"
 
+def _leaf_sql(n_chars: str) -> str:
+    said = lambda c: f"coalesce(strlen(cast({c} as varchar)) || ':' || {c}, '-')"
+    return "sha256(" + " || ".join(map(said, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+_TREE_SQL = """{0} as (select tree, 0 as level, pos, node, n from {1}
+        union all select tree, level + 1, pos // 2, sha256(string_agg(node, '' order by pos)), (n + 1) // 2 from {0} where n > 1 group by tree, level, pos // 2, n)"""
+
 ORACLES: dict[str, str] = {
     "op2_chat_format": f"""
         with turns as (
@@ -91,4 +106,20 @@ ORACLES: dict[str, str] = {
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
             doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
         from documents window same as (partition by coalesce(text, ''))""",
+    "op13_merkle": f"""
+        with recursive leaves as (select coalesce('=' || lang, '-') as tree, row_number() over (partition by lang order by doc_id) - 1 as pos, doc_id, {_leaf_sql("n_chars")} as node,
+            count(*) over (partition by lang) as n, case when {crc32_sql("cast(doc_id as varchar)")} % 7 = 0 then {_leaf_sql("(n_chars + 1)")} else {_leaf_sql("n_chars")} end as claim from documents),
+        {_TREE_SQL.format("own", "leaves")},
+        roots as (select '' as tree, row_number() over (order by tree) - 1 as pos, node, count(*) over () as n, tree as name from own where n = 1),
+        {_TREE_SQL.format("whole", "roots")},
+        heights as (select tree, max(level) as height from own group by tree),
+        ways as (select l.doc_id, l.tree, 0 as part, unnest(range(0, h.height)) as level, l.pos from leaves l join heights h using (tree)
+            union all select l.doc_id, '', 1, unnest(range(0, (select max(level) from whole))), r.pos from leaves l join roots r on r.name = l.tree),
+        steps as (select w.doc_id, w.part, w.level, s.node as sibling, case when s.node is null then 'N' when (w.pos >> w.level) % 2 = 1 then 'L' else 'R' end as side
+            from ways w left join (select 0 as part, * from own union all select 1, * from whole) s on s.part = w.part and s.tree = w.tree and s.level = w.level and s.pos = xor(w.pos >> w.level, 1)),
+        proofs as (select doc_id, list(side || coalesce(sibling, '') order by part, level) as steps, sha256(coalesce(string_agg(sibling, '' order by part, level), '')) as proof_sha256 from steps group by doc_id),
+        folded as (select l.doc_id, l.node as leaf, r.node as subroot, (select node from whole where n = 1) as root, coalesce(p.proof_sha256, sha256('')) as proof_sha256,
+            list_reduce(list_prepend(l.claim, coalesce(p.steps, [])), lambda x, s: sha256(case s[1] when 'L' then s[2:] || x when 'R' then x || s[2:] else x end)) as folded_root
+            from leaves l join roots r on r.name = l.tree left join proofs p using (doc_id))
+        select *, folded_root = root as verified from folded""",
 }
