@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import crc32_sql
-from . import bpe, chat, exact, kdshard, merkle, mixing, ordinal, outliers, simhash, suffix, wavelet
+from . import bpe, chat, exact, kdshard, merkle, mixing, ordinal, outliers, secrets, simhash, suffix, wavelet
 from .store import new_path
 
 
@@ -68,6 +68,10 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.grade_documents(docs, ordinal.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.span_digests(secrets.find_secrets(_table(spark, sf_dir, "documents")))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
     claim = merkle.tampered_digest({"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))})
@@ -76,7 +80,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_chat_format, op3_kd_shards, op4_bpe, op5_wavelet_shards, op6_suffix_dedup, op7_mixing, op8_robust_outliers, op9_exact_dedup, op10_ordinal_quality, op13_merkle)
+    for f in (op1_simhash, op2_chat_format, op3_kd_shards, op4_bpe, op5_wavelet_shards, op6_suffix_dedup, op7_mixing, op8_robust_outliers, op9_exact_dedup, op10_ordinal_quality, op12_secrets, op13_merkle)
 }
 
 _ESCAPES = "(length({0}) - length(replace({0}, '\\', '')) + length({0}) - length(replace({0}, '<', '')) + length({0}) - length(replace({0}, '>', '')))"
