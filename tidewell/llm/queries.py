@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import crc32_sql
-from . import bpe, chat, exact, kdshard, merkle, mixing, ordinal, outliers, secrets, simhash, suffix, wavelet
+from . import bpe, chat, exact, kdshard, merkle, mixing, ordinal, outliers, rtree, secrets, simhash, suffix, wavelet
 from .store import new_path
 
 
@@ -68,6 +68,12 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.grade_documents(docs, ordinal.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return rtree.mine_hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_digests(secrets.find_secrets(_table(spark, sf_dir, "documents")))
 
@@ -80,7 +86,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_chat_format, op3_kd_shards, op4_bpe, op5_wavelet_shards, op6_suffix_dedup, op7_mixing, op8_robust_outliers, op9_exact_dedup, op10_ordinal_quality, op12_secrets, op13_merkle)
+    for f in (op1_simhash, op2_chat_format, op3_kd_shards, op4_bpe, op5_wavelet_shards, op6_suffix_dedup, op7_mixing, op8_robust_outliers, op9_exact_dedup, op10_ordinal_quality, op11_hard_negatives, op12_secrets, op13_merkle)
 }
 
 _ESCAPES = "(length({0}) - length(replace({0}, '\\', '')) + length({0}) - length(replace({0}, '<', '')) + length({0}) - length(replace({0}, '>', '')))"
@@ -110,6 +116,14 @@ ORACLES: dict[str, str] = {
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
             doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
         from documents window same as (partition by coalesce(text, ''))""",
+    "op11_hard_negatives": """
+        with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q
+            from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, cast(list_dot_product(a.q, b.q) as bigint) as score from v a, v b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+        p as (select anchor_id, other as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other) <= 5),
+        n as (select p.*, other as negative_id, score as negative_score, row_number() over (partition by anchor_id, positive_id order by score desc, other) as rank
+            from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+        select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 10""",
     "op13_merkle": f"""
         with recursive leaves as (select coalesce('=' || lang, '-') as tree, row_number() over (partition by lang order by doc_id) - 1 as pos, doc_id, {_leaf_sql("n_chars")} as node,
             count(*) over (partition by lang) as n, case when {crc32_sql("cast(doc_id as varchar)")} % 7 = 0 then {_leaf_sql("(n_chars + 1)")} else {_leaf_sql("n_chars")} end as claim from documents),
