@@ -2,20 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_STEP = 16
+#: Values of a group from which its cuts are taken.
+_SAMPLE = 4096
 
-def cumulative(df: DataFrame, group: list[str], order: str, values: list[str], blocks: int = 1024) -> DataFrame:
-    """``df`` with cum_<value> (inclusive) and next_<order>, by group along ``order``, which must be distinct there.
 
-    Blocks of the range of ``order`` are totalled first; their sums precede the running sums inside.
+def _block(order: Column) -> Column:
+    """How many of the sorted cuts lie below: first among every 16th, then among the 16 from there on."""
+    heads = F.size(F.filter("__heads", lambda c: c < order))
+    start = F.greatest(heads - 1, F.lit(0)) * _STEP
+    within = F.size(F.filter(F.slice("__cuts", start + 1, F.lit(_STEP)), lambda c: c < order))
+    return F.when(F.col("__cuts").isNull(), 0).otherwise(start + within)
+
+
+def blocked(df: DataFrame, group: list[str], order: str, blocks: int = 256, name: str = "__block") -> DataFrame:
+    """``df`` with the block of each row: stretches of near equal row counts along ``order``, however its values are spread.
+
+    Cuts come from the values whose hash says so, some 4,096 a group. That is the same choice whenever it is evaluated, as it
+    has to be where blocks are joined with each other; a sketch's draws are not.
+    """
+    at = F.col(order).cast("double")
+    sizes = df.groupBy(*group).agg(F.greatest(F.lit(1), F.floor(F.count(order) / _SAMPLE)).alias("__every"))
+    some = df.join(sizes, group).where(F.pmod(F.xxhash64(at), F.col("__every")) == 0).groupBy(*group).agg(F.array_sort(F.collect_list(at)).alias("__some"))
+    step = F.size("__some") / F.lit(blocks)
+    cuts = some.select(*group, F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(blocks - 1)), lambda i: F.get("__some", F.floor(i * step).cast("int")))).alias("__cuts"))
+    heads = F.filter("__cuts", lambda c, i: i % _STEP == 0)
+    return df.join(cuts.withColumn("__heads", heads), group, "left").withColumn(name, _block(at)).drop("__cuts", "__heads")
+
+
+def cumulative(df: DataFrame, group: list[str], order: str, values: list[str], blocks: int = 256) -> DataFrame:
+    """``df`` with cum_<value> (inclusive) and next_<order>, by group along ``order``, which must be distinct there and not null.
+
+    Blocks of near equal counts along ``order`` are totalled first; their sums precede the running sums inside.
     """
     if not group:
         return cumulative(df.withColumn("__all", F.lit(0)), ["__all"], order, values, blocks).drop("__all")
-    span = df.groupBy(*group).agg(F.min(order).alias("__low"), F.max(order).alias("__high"))
-    at = F.coalesce(F.try_divide(F.col(order) - F.col("__low"), F.col("__high") - F.col("__low")), F.lit(0.0))
-    placed = df.join(span, group).withColumn("__block", F.least(F.lit(blocks - 1), F.floor(at * blocks).cast("int"))).drop("__low", "__high")
+    placed = blocked(df, group, order, blocks)
     before, after = Window.partitionBy(*group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*group).orderBy("__block")
     sums = placed.groupBy(*group, "__block").agg(*(F.sum(v).alias(f"__sum_{v}") for v in values), F.min(order).alias("__first"))
     sums = sums.select(*group, "__block", F.lead("__first").over(after).alias("__then"), *(F.coalesce(F.sum(f"__sum_{v}").over(before), F.lit(0)).alias(f"__sum_{v}") for v in values))
