@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .drift import bucket_counts, bucket_shares, psi_of, quantile_edges
+from .significance import erfc
 
 
 def ratio(top: Column, bottom: Column, zero_division: float | None = None) -> Column:
@@ -71,18 +72,6 @@ def z_test(s_a: Column, n_a: Column, s_b: Column, n_b: Column) -> tuple[Column,
     return diff, F.when(error > 0, F.try_divide(diff, error))
 
 
-def erfc(x: Column, terms: int = 400) -> Column:
-    """The complementary error function of a number, not null, from 0 on, by the series of erf, whose terms are all positive.
-
-    ``terms`` reach 1e-15 up to 10; beyond it is below 1e-44 and comes out as 0.
-    """
-    x = F.least(x, F.lit(10.0))
-    first = F.struct(x.alias("term"), x.alias("sum"))
-    step = lambda a, n: F.struct((a["term"] * 2 * x * x / (2 * n + 1)).alias("term"), (a["sum"] + a["term"] * 2 * x * x / (2 * n + 1)).alias("sum"))
-    erf = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), first, step, lambda a: a["sum"] * F.exp(-x * x) * F.lit(2 / math.sqrt(math.pi)))
-    return F.greatest(F.lit(0.0), 1 - erf)
-
-
 def two_sided_p(z: Column) -> Column:
     """The chance of a standard normal value as far from 0 as ``z``; null for null or NaN."""
     return F.when(z.isNotNull() & ~F.isnan(z), erfc(F.abs(z) / math.sqrt(2)))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .categories import as_text, category_counts, heavy_values, named_buckets, split_columns
 from .quantiles import exact_quantiles
 from .running import cumulative
+from .significance import chi2_tail, ks_p_value
 
 FLOOR = 1e-4
 
@@ -125,14 +129,35 @@ def _over_sets(rows: DataFrame, keys: list[str], metrics: list[Column]) -> DataF
 
 
 def profile_metrics(log: DataFrame, columns: list[str], scored_at: str = "scored_at", model: str = "model_version", by: str | None = None, window: str = "1 day") -> DataFrame:
-    """Counts, nulls, mean, deviation and range per column, day, model version and slice; '*' is all of them."""
-    values = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns))
+    """Counts, nulls, mean, deviation and range per column, day, model version and slice; '*' is all of them.
+
+    Columns that are no numbers have counts and nulls only; ``category_profile`` has their values.
+    """
+    numeric, _ = split_columns(log, columns)
+    number = lambda c: F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")
+    values = F.array(*(F.struct(F.lit(c).alias("column"), number(c).alias("value"), F.col(c).isNull().alias("missing")) for c in columns))
     rows = log.select(*_profiled(log, scored_at, model, by, window), F.inline(values))
     v = F.col("value")
-    metrics = [F.count(F.lit(1)).alias("n"), F.count_if(v.isNull()).alias("n_null"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("deviation"), F.min(v).alias("low"), F.max(v).alias("high")]
+    metrics = [F.count(F.lit(1)).alias("n"), F.count_if("missing").alias("n_null"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("deviation"), F.min(v).alias("low"), F.max(v).alias("high")]
     return _over_sets(rows, ["window_start", "column"], metrics).select("window_start", "column", "model", "slice", "n", "n_null", "mean", "deviation", "low", "high")
 
 
+def category_profile(log: DataFrame, columns: list[str], scored_at: str = "scored_at", model: str = "model_version", by: str | None = None, window: str = "1 day", heavy: DataFrame | None = None) -> DataFrame:
+    """window_start, column, model, slice, value, n, share of the categories of each column; '*' is all models or slices.
+
+    Values are those that are heavy in the whole log (or in ``heavy``), null stands for all others together; rows without
+    a value don't count. Any type of column has categories; one whose values are all rare has only the null row.
+    """
+    keys = ["window_start", "model", "slice"]
+    kept = log.select(*_profiled(log, scored_at, model, by, window), *columns)
+    rows = as_text(kept, columns, keys)
+    heavy = heavy_values(as_text(log, columns)) if heavy is None else heavy
+    cells = named_buckets(category_counts(rows, heavy, keys), heavy).withColumnRenamed("feature", "column")
+    out = _over_sets(cells, ["window_start", "column", "value"], [F.sum("n").alias("n")])
+    whole = Window.partitionBy("window_start", "column", "model", "slice")  # at most 1 / min_share values
+    return out.select("window_start", "column", "model", "slice", "value", "n", (F.col("n") / F.sum("n").over(whole)).alias("share"))
+
+
 def profile_table_metrics(log: DataFrame, prediction: str = "prediction", label: str = "ground_truth", scored_at: str = "scored_at", model: str = "model_version", by: str | None = None, window: str = "1 day") -> DataFrame:
     """Rows, labelled rows, confusion counts, accuracy, precision and recall per day, model version and slice; '*' is all of them."""
     p, y = F.col(prediction) == 1, F.col(label) == 1
@@ -172,32 +197,90 @@ def cdf_distances(before: DataFrame, now: DataFrame, by: list[str] | None = None
     return gaps.groupBy(*by).agg(F.max("gap").alias("ks"), F.sum(F.col("gap") * F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))).alias("wasserstein"))
 
 
+def _sides_by_bucket(baseline: DataFrame, live: DataFrame, columns: list[str], buckets: int, accuracy: int | None) -> list[tuple[DataFrame, DataFrame | None]]:
+    """(shares, distances of the distribution functions) of the numeric columns, and of the categories, which have no order."""
+    numeric, texts = split_columns(baseline, columns)
+    out: list[tuple[DataFrame, DataFrame | None]] = []
+    if numeric:
+        before, now = unpivoted(baseline, numeric), unpivoted(live, numeric)
+        edges = quantile_edges(before, buckets, accuracy)
+        out.append((bucket_shares(bucket_counts(before, edges), bucket_counts(now, edges), edges), cdf_distances(before, now)))
+    if texts:
+        before, now = as_text(baseline, texts), as_text(live, texts)
+        heavy = heavy_values(before)
+        out.append((bucket_shares(category_counts(before, heavy), category_counts(now, heavy), heavy), None))
+    return out
+
+
 def drift_metrics(baseline: DataFrame, live: DataFrame, columns: list[str], buckets: int = 10, accuracy: int | None = None) -> DataFrame:
-    """feature, psi, js, chi2, tv, linf, ks, wasserstein of live against baseline."""
-    before, now = unpivoted(baseline, columns), unpivoted(live, columns)
-    edges = quantile_edges(before, buckets, accuracy)
-    shares = bucket_shares(bucket_counts(before, edges), bucket_counts(now, edges), edges)
-    return distances(shares, ["feature"]).join(cdf_distances(before, now), "feature")
+    """feature, psi, js, chi2, tv, linf, ks, wasserstein of live against baseline.
 
+    Columns that are no numbers are compared by the values that are heavy in the baseline and all others together; they have
+    no ks and no wasserstein. A column that the baseline has no values of is skipped.
+    """
+    parts = []
+    for shares, by_value in _sides_by_bucket(baseline, live, columns, buckets, accuracy):
+        found = distances(shares, ["feature"])
+        none = [F.lit(None).cast("double").alias(c) for c in ("ks", "wasserstein")]
+        parts.append(found.join(by_value, "feature") if by_value is not None else found.select("*", *none))
+    return reduce(DataFrame.unionByName, parts)
 
-def consecutive_drift(log: DataFrame, columns: list[str], edges: DataFrame, scored_at: str = "scored_at", last_days: int = 30) -> DataFrame:
-    """feature, day, psi, js, chi2, tv, linf, ks, wasserstein of each day against the day before it that has rows.
 
-    The newest ``last_days`` days are reported, the oldest of them too if an earlier day has rows.
+def drift_tests(baseline: DataFrame, live: DataFrame, columns: list[str], buckets: int = 10, accuracy: int | None = None) -> DataFrame:
+    """feature, n_e, n_a, chi2, degrees, chi2_p_value, ks, ks_p_value of live against baseline.
+
+    The chi-squared test holds live's counts against baseline's shares, over the buckets (or categories) that the baseline has rows
+    in; the Kolmogorov-Smirnov test, for numbers only, is the asymptotic one of two samples. A side without rows has no p-values.
     """
-    rows = unpivoted(log.withColumn("day", F.to_date(scored_at)), columns, ["day"])
-    counts = bucket_counts(rows, edges, ["day"])
+    parts = []
+    for shares, by_value in _sides_by_bucket(baseline, live, columns, buckets, accuracy):
+        sizes = shares.groupBy("feature").agg(F.max("all_e").alias("n_e"), F.max("all_a").alias("n_a"), (F.count_if(F.col("e") > 0) - 1).alias("degrees"))
+        found = distances(shares, ["feature"]).select("feature", "chi2").join(sizes, "feature")
+        ks = found.join(by_value.select("feature", "ks"), "feature", "left") if by_value is not None else found.withColumn("ks", F.lit(None).cast("double"))
+        parts.append(ks)
+    both = reduce(DataFrame.unionByName, parts)
+    chi2_p = F.when(F.col("n_a") > 0, chi2_tail(F.col("chi2"), F.col("degrees")))
+    return both.select("feature", "n_e", "n_a", "chi2", "degrees", chi2_p.alias("chi2_p_value"), "ks", ks_p_value(F.col("ks"), F.col("n_e"), F.col("n_a")).alias("ks_p_value"))
+
+
+def _day_pairs(counts: DataFrame, last_days: int) -> DataFrame:
+    """feature, day, before: the newest days, and of each the day before it that has rows."""
     by_day = Window.partitionBy("feature").orderBy("day")  # one row a day
     days = counts.select("feature", "day").distinct().withColumn("before", F.lag("day").over(by_day))
     newest = days.groupBy("feature").agg(F.max("day").alias("newest"))
-    pairs = days.join(newest, "feature").where((F.col("day") > F.date_sub("newest", last_days)) & F.col("before").isNotNull()).drop("newest")
+    return days.join(newest, "feature").where((F.col("day") > F.date_sub("newest", last_days)) & F.col("before").isNotNull()).drop("newest")
+
+
+def _shares_by_day(counts: DataFrame, pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """feature, day, bucket, n_e, n_a, e, a, all_e, all_a of each day (a) against the one before it (e)."""
     spine = pairs.join(F.broadcast(edges), "feature").select("feature", "day", "before", F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bucket"))
     now = counts.withColumnRenamed("n", "n_a")
     then = counts.select("feature", F.col("day").alias("before"), "bucket", F.col("n").alias("n_e"))
     both = spine.join(now, ["feature", "day", "bucket"], "left").join(then, ["feature", "before", "bucket"], "left").fillna(0, ["n_a", "n_e"])
     whole = Window.partitionBy("feature", "day")
     shares = both.select("feature", "day", "bucket", F.sum("n_e").over(whole).alias("all_e"), F.sum("n_a").over(whole).alias("all_a"), "n_e", "n_a")
-    shares = shares.withColumns({"e": F.coalesce(F.try_divide("n_e", "all_e"), F.lit(0.0)), "a": F.coalesce(F.try_divide("n_a", "all_a"), F.lit(0.0))})
+    return shares.withColumns({"e": F.coalesce(F.try_divide("n_e", "all_e"), F.lit(0.0)), "a": F.coalesce(F.try_divide("n_a", "all_a"), F.lit(0.0))})
+
+
+def consecutive_drift(log: DataFrame, columns: list[str], edges: DataFrame, scored_at: str = "scored_at", last_days: int = 30) -> DataFrame:
+    """feature, day, psi, js, chi2, tv, linf, ks, wasserstein of each day against the day before it that has rows.
+
+    The newest ``last_days`` days are reported, the oldest of them too if an earlier day has rows.
+    """
+    rows = unpivoted(log.withColumn("day", F.to_date(scored_at)), columns, ["day"])
+    counts = bucket_counts(rows, edges, ["day"])
+    pairs = _day_pairs(counts, last_days)
     before = rows.withColumnRenamed("day", "before").join(pairs, ["feature", "before"]).select("feature", "day", "value")
     by_value = cdf_distances(before, rows.join(pairs.select("feature", "day"), ["feature", "day"]), ["feature", "day"])
-    return distances(shares, ["feature", "day"]).join(by_value, ["feature", "day"])
+    return distances(_shares_by_day(counts, pairs, edges), ["feature", "day"]).join(by_value, ["feature", "day"])
+
+
+def consecutive_category_drift(log: DataFrame, columns: list[str], heavy: DataFrame | None = None, scored_at: str = "scored_at", last_days: int = 30) -> DataFrame:
+    """feature, day, psi, js, chi2, tv, linf of each day's categories against those of the day before it that has rows.
+
+    Categories are the values that are heavy in the whole log, or in ``heavy``; days are chosen as in ``consecutive_drift``.
+    """
+    rows = as_text(log.withColumn("day", F.to_date(scored_at)), columns, ["day"])
+    heavy = heavy_values(rows.select("feature", "value")) if heavy is None else heavy
+    counts = category_counts(rows, heavy, ["day"])
+    return distances(_shares_by_day(counts, _day_pairs(counts, last_days), heavy), ["feature", "day"])

@@ -408,6 +408,104 @@ def drift_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("feature", *(F.round(c, 4 if c in ("chi2", "wasserstein") else 6).alias(c) for c in out.columns[1:]))
 
 
+_CATEGORIES = ["channel", "kyc_status", "reference"]
+_CATEGORY_SQL = f"""all_rows as (select *, 'a' || cast(application_id as varchar) as reference from applicants),
+    b as ({" union all ".join(f"select '{c}' as feature, {c} as value from all_rows where {c} is not null and applied_at < timestamp '{DRIFT_FROM}'" for c in _CATEGORIES)}),
+    l as ({" union all ".join(f"select '{c}' as feature, {c} as value from all_rows where {c} is not null and applied_at >= timestamp '{DRIFT_FROM}'" for c in _CATEGORIES)}),
+    t as (select feature, value, count(*) as n, sum(count(*)) over (partition by feature) as total from b group by feature, value),
+    heavy as (select feature, value, row_number() over (partition by feature order by value) - 1 as bucket from t where n >= 0.001::double * total),
+    m as (select f.feature, count(h.value) as rest from (select distinct feature from b) f left join heavy h on h.feature = f.feature group by f.feature),
+    spine as (select feature, unnest(range(0, rest + 1)) as bucket from m),
+    cb as (select b.feature, coalesce(h.bucket, m.rest) as bucket, count(*) as n from b join m on m.feature = b.feature left join heavy h on h.feature = b.feature and h.value = b.value group by all),
+    cl as (select l.feature, coalesce(h.bucket, m.rest) as bucket, count(*) as n from l join m on m.feature = l.feature left join heavy h on h.feature = l.feature and h.value = l.value group by all),
+    s as (select spine.feature, spine.bucket, coalesce(cb.n, 0) as n_e, coalesce(cl.n, 0) as n_a,
+        coalesce(cb.n, 0) / sum(coalesce(cb.n, 0)) over w as e, coalesce(cl.n, 0) / sum(coalesce(cl.n, 0)) over w as a, sum(coalesce(cl.n, 0)) over w as all_a, sum(coalesce(cb.n, 0)) over w as all_e
+        from spine left join cb on spine.feature = cb.feature and spine.bucket = cb.bucket left join cl on spine.feature = cl.feature and spine.bucket = cl.bucket
+        window w as (partition by spine.feature))"""
+_DISTANCES_SQL = """sum((greatest(a, 1e-4) - greatest(e, 1e-4)) * ln(greatest(a, 1e-4) / greatest(e, 1e-4))) as psi,
+    sqrt(greatest(sum(case when e > 0 then e * log2(e / ((e + a) / 2)) else 0 end + case when a > 0 then a * log2(a / ((e + a) / 2)) else 0 end) / 2, 0)) as js,
+    sum(case when e > 0 then (n_a - e * all_a) * (n_a - e * all_a) / (e * all_a) else 0 end) as chi2, sum(abs(a - e)) / 2 as tv, max(abs(a - e)) as linf"""
+
+
+def _category_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two columns of few values and one that has another value in each row."""
+    rows = shape(spark, sf_dir, "applicants").withColumn("reference", F.concat(F.lit("a"), F.col("application_id").cast("string")))
+    return rows.where(F.col("applied_at") < DRIFT_FROM), rows.where(F.col("applied_at") >= DRIFT_FROM)
+
+
+@query(
+    f"""with {_CATEGORY_SQL}, d as (select feature, {_DISTANCES_SQL} from s group by feature)
+    select feature, round(psi, 6) as psi, round(js, 6) as js, round(chi2, 4) as chi2, round(tv, 6) as tv, round(linf, 6) as linf, cast(null as double) as ks, cast(null as double) as wasserstein from d""",
+    "applicants",
+)
+def category_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drift.drift_metrics(*_category_sides(spark, sf_dir), _CATEGORIES)
+    return out.select("feature", *(F.round(c, 4 if c == "chi2" else 6).alias(c) for c in out.columns[1:]))
+
+
+@query(
+    """with r as (select cast(scored_at as date) as day, event_type as value from scored_log where event_type is not null),
+    heavy as (select value, row_number() over (order by value) - 1 as bucket from (select value, count(*) as n, sum(count(*)) over () as total from r group by value) where n >= 0.001::double * total),
+    c as (select day, coalesce(bucket, (select count(*) from heavy)) as bucket, count(*) as n from r left join heavy using (value) group by all),
+    d as (select day, before from (select day, lag(day) over (order by day) as before, max(day) over () as newest from (select distinct day from c)) where before is not null and day > newest - interval 10 day),
+    s as (select d.day, k.bucket, coalesce(x.n, 0) as n_a, coalesce(y.n, 0) as n_e from d, (select unnest(range(0, (select count(*) from heavy) + 1)) as bucket) k
+        left join c x on x.day = d.day and x.bucket = k.bucket left join c y on y.day = d.before and y.bucket = k.bucket),
+    h as (select *, n_a / sum(n_a) over (partition by day) as a, n_e / sum(n_e) over (partition by day) as e, sum(n_a) over (partition by day) as all_a from s)
+    select 'event_type' as feature, day, round(psi, 6) as psi, round(js, 6) as js, round(chi2, 4) as chi2, round(tv, 6) as tv, round(linf, 6) as linf from (select day, """
+    + _DISTANCES_SQL
+    + " from h group by day)",
+    "scored_log",
+)
+def consecutive_category_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drift.consecutive_category_drift(shape(spark, sf_dir, "scored_log"), ["event_type"], last_days=10)
+    return out.select("feature", "day", *(F.round(c, 4 if c == "chi2" else 6).alias(c) for c in out.columns[2:]))
+
+
+@query(
+    """with r as (select date_trunc('day', scored_at) as window_start, model_version as model, variant as slice, event_type, 'e' || cast(event_id as varchar) as event_key from scored_log),
+    v as (select window_start, model, slice, 'event_type' as "column", event_type as value from r where event_type is not null union all select window_start, model, slice, 'event_key', event_key from r where event_key is not null),
+    t as (select "column", value, count(*) as n, sum(count(*)) over (partition by "column") as total from v group by "column", value),
+    g as (select window_start, v."column", model, slice, t.value from v left join t on t."column" = v."column" and t.value = v.value and t.n >= 0.001::double * t.total),
+    c as (select window_start, "column", model, slice, value, count(*) as n from g group by grouping sets ((window_start, "column", value, model, slice), (window_start, "column", value, model), (window_start, "column", value, slice), (window_start, "column", value)))
+    select cast(window_start as timestamp) as window_start, "column", coalesce(model, '*') as model, coalesce(slice, '*') as slice, value, n, round(n / sum(n) over (partition by window_start, "column", model, slice), 6) as share from c""",
+    "scored_log",
+)
+def category_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = shape(spark, sf_dir, "scored_log").withColumn("event_key", F.concat(F.lit("e"), F.col("event_id").cast("string")))
+    return _rounded(drift.category_profile(log, ["event_type", "event_key"], by="variant"))
+
+
+#: Tails of the test statistics by the series of the lower incomplete gamma function and of Kolmogorov's distribution.
+_CHI2_P_SQL = "case when chi2 <= 0 then 1 else greatest(0, 1 - list_sum(list_transform(range(0, cast(chi2 + 200 as bigint)), lambda i: exp((degrees / 2 + i) * ln(greatest(chi2, 1e-300) / 2) - chi2 / 2 - lgamma(degrees / 2 + i + 1))))) end"
+_KS_P_SQL = "least(1, greatest(0, 2 * list_sum(list_transform(range(1, 400), lambda k: (case when k % 2 = 1 then 1 else -1 end) * exp(-2 * k * k * ks * ks * (n_e * n_a / (n_e + n_a)))))))"
+
+
+@query(
+    _drift_sql(
+        _LIVE,
+        f""", d as (select feature, sum(case when e > 0 then (n_a - e * all_a) * (n_a - e * all_a) / (e * all_a) else 0 end) as chi2, sum(n_e) as n_e, sum(n_a) as n_a, count(*) filter (where e > 0) - 1 as degrees from s group by feature),
+        v as (select feature, value, sum(x) as x, sum(y) as y from (select feature, value, 1 as x, 0 as y from b union all select feature, value, 0, 1 from l) group by feature, value),
+        c as (select feature, value, abs(sum(x) over (partition by feature order by value) / sum(x) over (partition by feature) - sum(y) over (partition by feature order by value) / sum(y) over (partition by feature)) as gap from v),
+        k as (select feature, max(gap) as ks from c group by feature)
+        select feature, cast(n_e as bigint) as n_e, cast(n_a as bigint) as n_a, round(chi2, 4) as chi2, degrees, round({_CHI2_P_SQL}, 6) as chi2_p_value, round(ks, 6) as ks, round({_KS_P_SQL}, 6) as ks_p_value from d join k using (feature)""",
+    ),
+    "applicants",
+)
+def drift_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drift.drift_tests(*_sides(spark, sf_dir), _DRIFT)
+    return out.select("feature", "n_e", "n_a", F.round("chi2", 4).alias("chi2"), "degrees", *(F.round(c, 6).alias(c) for c in ("chi2_p_value", "ks", "ks_p_value")))
+
+
+@query(
+    f"""with {_CATEGORY_SQL}, d as (select feature, sum(case when e > 0 then (n_a - e * all_a) * (n_a - e * all_a) / (e * all_a) else 0 end) as chi2, sum(n_e) as n_e, sum(n_a) as n_a, count(*) filter (where e > 0) - 1 as degrees from s group by feature)
+    select feature, cast(n_e as bigint) as n_e, cast(n_a as bigint) as n_a, round(chi2, 4) as chi2, degrees, case when degrees > 0 then round({_CHI2_P_SQL}, 6) end as chi2_p_value from d""",
+    "applicants",
+)
+def category_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drift.drift_tests(*_category_sides(spark, sf_dir), _CATEGORIES)
+    return out.select("feature", "n_e", "n_a", F.round("chi2", 4).alias("chi2"), "degrees", F.round("chi2_p_value", 6).alias("chi2_p_value"))
+
+
 @query(
     """with q as (select list_sort(list_distinct(quantile_disc(amount, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) as edges from scored_log where scored_at < timestamp '2024-01-08'),
     r as (select cast(scored_at as date) as day, amount as value from scored_log where amount is not null),
