@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import commits
+
 
 def backfill_labels(log: DataFrame, outcomes: DataFrame, key: str = "customer_id", label: str = "ground_truth", outcome: str = "is_default", scored_at: str | None = None, outcome_at: str | None = None) -> DataFrame:
     """``log`` with null labels filled from ``outcomes``; set labels stay and no row is added.
@@ -21,6 +23,25 @@ def backfill_labels(log: DataFrame, outcomes: DataFrame, key: str = "customer_id
     return joined.withColumn(label, filled).select(*log.columns)
 
 
+def backfill_stored(spark: SparkSession, path: str, outcomes: DataFrame, partition: str, keys: list[str] | None = None, key: str = "customer_id", label: str = "ground_truth", outcome: str = "is_default", scored_at: str | None = None, outcome_at: str | None = None) -> list[str]:
+    """Fill the null labels of a stored log in place; the values of ``partition`` that were rewritten, as text.
+
+    Only partitions with an open label that an outcome fills are read whole and rewritten; all other files stay as they are, and a
+    second run with the same outcomes rewrites none. The rewrite is a commit: a loss midway is mended by the next
+    run. With ``keys`` of the log its change set is kept. The list of partitions is what comes to the driver.
+    """
+    commits.recover(spark, path, partition)
+    log = spark.read.parquet(path)
+    filled = backfill_labels(log.where(F.col(label).isNull()), outcomes, key, label, outcome, scored_at, outcome_at)
+    touched = [r[0] for r in filled.where(F.col(label).isNotNull()).select(partition).distinct().orderBy(partition).collect()]
+    if not touched:
+        return []
+    known = [v for v in touched if v is not None]
+    inside = F.col(partition).isin(known) if None not in touched else F.col(partition).isNull() | F.col(partition).isin(known)
+    commits.commit(backfill_labels(log.where(inside), outcomes, key, label, outcome, scored_at, outcome_at), path, partition, keys)
+    return [str(v) for v in touched]
+
+
 def label_coverage(log: DataFrame, label: str = "ground_truth") -> DataFrame:
     """total, labelled, unlabelled, coverage (4 places, 0 for an empty log)."""
     counts = log.agg(F.count(F.lit(1)).alias("total"), F.count(label).alias("labelled"))

@@ -6,11 +6,12 @@ the distinct ones. States of disjoint rows merge into the state of all of them,
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources import tables
+from ..sources import files, tables
 from .categories import split_columns
 from .drift import _profiled
 from .quantiles import sketch_quantiles
@@ -41,19 +42,19 @@ def profile_states(log: DataFrame, columns: list[str], scored_at: str = "scored_
     )
 
 
-def merged(states: DataFrame, by: list[str | Column]) -> DataFrame:
-    """One state for each ``by``, of states of disjoint rows."""
-    n = F.col("n_number")
-    total = F.sum(n)
-    mean = F.try_divide(F.sum(F.col("mean") * n), total)
+def merged(states: DataFrame, by: dict[str, Column]) -> DataFrame:
+    """One state for each combination of ``by`` (names and what they are), of states of disjoint rows."""
+    n, whole = F.col("n_number"), Window.partitionBy(*by)  # one row a day, model and slice
+    named = states.select(*(c.alias(k) for k, c in by.items()), *(c for c in states.columns if c not in KEYS and c not in by))
     # Deviations from the whole mean: those from each part's mean, and the parts' means' own.
-    spread = F.sum("m2") + F.sum(n * F.col("mean") * F.col("mean")) - total * mean * mean
-    return states.groupBy(*by).agg(
+    off = F.col("mean") - F.col("__mean")
+    held = named.withColumn("__mean", F.try_divide(F.sum(F.col("mean") * n).over(whole), F.sum(n).over(whole)))
+    return held.groupBy(*by).agg(
         F.sum("n").alias("n"),
         F.sum("n_known").alias("n_known"),
-        total.alias("n_number"),
-        mean.alias("mean"),
-        F.greatest(spread, F.lit(0.0)).alias("m2"),
+        F.sum(n).alias("n_number"),
+        F.max("__mean").alias("mean"),
+        F.sum(F.col("m2") + n * off * off).alias("m2"),
         F.min("low").alias("low"),
         F.max("high").alias("high"),
         F.kll_merge_agg_double("kll", KLL_K).alias("kll"),
@@ -63,12 +64,10 @@ def merged(states: DataFrame, by: list[str | Column]) -> DataFrame:
 
 def windows(states: DataFrame, window: str = "7 days") -> DataFrame:
     """States of longer windows, by window_start instead of day, for each model and slice and for all of them ('*')."""
-    at = F.window(F.col("day").cast("timestamp"), window).start
+    at = F.window(F.col("day").cast("timestamp_ntz"), window).start
     every = [states.withColumns({c: F.lit("*") for c in more}) for more in ([], ["model"], ["slice"], ["model", "slice"])]
-    both = every[0]
-    for other in every[1:]:
-        both = both.unionByName(other)
-    return merged(both, [at.alias("window_start"), "column", "model", "slice"])
+    both = reduce(DataFrame.unionByName, every).withColumn("window_start", at)
+    return merged(both, {c: F.col(c) for c in ("window_start", "column", "model", "slice")})
 
 
 def read_profile(states: DataFrame, points: list[float] | None = None) -> DataFrame:
@@ -95,11 +94,7 @@ def refresh_profile(path: str, log: DataFrame, columns: list[str], changed: Data
     the log's partitions' size apart: their list, one entry a day, is all that comes to the driver.
     """
     spark = log.sparkSession
-    try:
-        spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not files.exists(spark, path):
         changed = None
     at = F.to_date(scored_at)
     source = changed if changed is not None else log

@@ -31,6 +31,39 @@ def stratified_split(df: DataFrame, label: str, key: str, test_percent: int = 20
     return df.withColumn("split", F.when(draw < test_percent * 100, "test").otherwise("train"))
 
 
+def exact_split(df: DataFrame, label: str, key: str, test_percent: int = 20, seed: int = 42) -> DataFrame:
+    """``df`` with split 'train' or 'test', each class's test rows being exactly its percentage, rounded half up.
+
+    The rows of a class with the smallest CRC-32 of seed and key are its test rows, ties by the key. The boundary is found by two
+    histograms of the hash, of its upper and of its lower half, and among the few rows with just that hash by the key, so
+    nothing is sorted in one task. Rows of a class with one key come out on different sides only if the boundary runs through them.
+    """
+    draw = F.crc32(F.concat(F.lit(f"split {seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
+    rows = df.withColumns({"__class": F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("-")), "__draw": draw})
+    high, low = F.shiftright("__draw", 16), F.col("__draw").bitwiseAND(F.lit(0xFFFF))
+
+    def crossed(counts: DataFrame, bin_: str) -> DataFrame:
+        """__class, the bin in which the running count passes what is wanted, and what is wanted of that bin."""
+        upto = F.sum("n").over(Window.partitionBy("__class").orderBy(bin_).rowsBetween(Window.unboundedPreceding, 0))  # at most 65,536 bins
+        placed = counts.withColumn("upto", upto).where((F.col("want") <= F.col("upto")) & (F.col("want") > F.col("upto") - F.col("n")))
+        return placed.select("__class", bin_, (F.col("want") - F.col("upto") + F.col("n")).alias("want"))
+
+    sizes = rows.groupBy("__class").agg(F.floor((F.count(F.lit(1)) * test_percent + 50) / 100).cast("long").alias("want"))
+    top = rows.groupBy("__class", high.alias("__high")).agg(F.count(F.lit(1)).alias("n")).join(sizes, "__class")
+    first = crossed(top, "__high")
+    inside = rows.join(first, (rows["__class"] == first["__class"]) & (high == first["__high"]), "left_semi")
+    fine = inside.groupBy("__class", low.alias("__low")).agg(F.count(F.lit(1)).alias("n")).join(first.select("__class", "want"), "__class")
+    second = crossed(fine, "__low")
+    ends = first.drop("want").join(second, "__class").select("__class", (F.shiftleft("__high", 16) + F.col("__low")).alias("__end"), F.col("want").alias("__want"))
+    marked = rows.join(ends, "__class", "left")
+    # Only rows at the boundary have a place among each other; a class of n rows has some n / 2**32 of them.
+    at_end = F.coalesce(F.col("__draw") == F.col("__end"), F.lit(False))
+    place = F.row_number().over(Window.partitionBy("__class").orderBy(key))
+    rest = marked.where(~at_end).withColumn("__test", F.coalesce(F.col("__draw") < F.col("__end"), F.lit(False)))
+    both = rest.unionByName(marked.where(at_end).withColumn("__test", place <= F.col("__want")))
+    return both.withColumn("split", F.when(F.col("__test"), "test").otherwise("train")).select(*df.columns, "split")
+
+
 def train_classifier(train: DataFrame, features: list[str], label: str = "class", kind: str = "gbt", rounds: int = 200, rate: float = 0.05, seed: int = 42, key: str = "application_id") -> PipelineModel:
     """Medians for missing values, then boosted trees (or ``kind="logistic"``), all in Spark.
 

@@ -36,7 +36,7 @@ def chi2_tail(x: Column, df: Column) -> Column:
     terms = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: k.cast("double"))).otherwise(F.array().cast("array<double>"))
     total = F.aggregate(terms, start, step, lambda acc: acc["sum"])
     tail = total + F.when(odd == 1, erfc(F.sqrt(h))).otherwise(0.0)
-    return F.when(df >= 1, F.when(h <= 0, 1.0).otherwise(F.least(F.lit(1.0), tail)))
+    return F.when((df >= 1) & x.isNotNull(), F.when(h <= 0, 1.0).otherwise(F.least(F.lit(1.0), tail)))
 
 
 def kolmogorov_tail(x: Column, terms: int = 20) -> Column:
@@ -45,7 +45,7 @@ def kolmogorov_tail(x: Column, terms: int = 20) -> Column:
     summed = lambda f: F.aggregate(F.transform(k, f), F.lit(0.0), lambda a, b: a + b)
     high = 2 * summed(lambda i: F.when(i % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * i * i * x * x))
     low = 1 - math.sqrt(2 * math.pi) / x * summed(lambda i: F.exp(-F.pow(2 * i - 1, F.lit(2)) * math.pi**2 / (8.0 * x * x)))
-    return F.when(x <= 0.04, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(x < 1, low).otherwise(high))))
+    return F.when(x <= 0.04, 1.0).when(x > 0.04, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(x < 1, low).otherwise(high))))
 
 
 def ks_p_value(distance: Column, n: Column, m: Column) -> Column:

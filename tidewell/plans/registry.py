@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cohorts, features, policy
-from ..operators import abtest, contracts, decisions, drift, labels, lineage, lookup, quality, scoring
-from ..sources import tables
+from ..operators import abtest, contracts, decisions, drift, labels, lineage, lookup, profile_state, quality, scoring
+from ..sources import commits, tables
 from ..sources.adapters import shape, shape_sql
 
 AS_OF = "2002-01-01"
@@ -130,12 +130,84 @@ def publish_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tables.shared_path(spark, "customer_features")
     old, new = _two_runs(spark, sf_dir)
     first = dataclasses.replace(CUSTOMER_FEATURES, features=CUSTOMER_FEATURES.features[:-1])
-    contracts.publish(first, old.drop("txn_amount_avg"), path, f"{path}.staging")
-    contracts.publish(CUSTOMER_FEATURES, new, path, f"{path}.staging")  # adds the column
-    contracts.publish(CUSTOMER_FEATURES, old.join(new, "customer_id", "left_anti"), path, f"{path}.staging")
+    contracts.publish(first, old.drop("txn_amount_avg"), path)
+    contracts.publish(CUSTOMER_FEATURES, new, path)  # adds the column
+    contracts.publish(CUSTOMER_FEATURES, old.join(new, "customer_id", "left_anti"), path)
     return _even(spark.read.parquet(path))
 
 
+def _published(spark: SparkSession, sf_dir: str) -> str:
+    """The path of a table after two publications."""
+    path = tables.shared_path(spark, "customer_features")
+    for rows in _two_runs(spark, sf_dir):
+        contracts.publish(CUSTOMER_FEATURES, rows, path)
+    return path
+
+
+@query(
+    f"""with old as ({_FEATURES_SQL.format(as_of=AS_OF, where="where txn_ts < timestamp '1998-06-01'")}),
+    new as (select * from ({_FEATURES_SQL.format(as_of=AS_OF, where="")}) where days_since_last_txn < 400)
+    select *, 'insert' as _change_type, cast(1 as bigint) as _version from old
+    union all select *, 'insert', 2 from new where customer_id not in (select customer_id from old)
+    union all select *, 'update_preimage', 2 from old where customer_id in (select customer_id from new)
+    union all select *, 'update_postimage', 2 from new where customer_id in (select customer_id from old)""",
+    "transactions",
+)
+def feature_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two publications changed, row by row."""
+    return _even(commits.read_changes(spark, _published(spark, sf_dir)))
+
+
+@query(_UPSERT_SQL, "transactions")
+def replayed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table again, from its changes alone."""
+    return _even(commits.replay(commits.read_changes(spark, _published(spark, sf_dir)), CUSTOMER_FEATURES.key_names()))
+
+
+SEGMENT_FEATURES = contracts.Contract(
+    table="customer_segments",
+    keys=[contracts.Feature("customer_id", "bigint")],
+    timestamp_key="as_of_date",
+    features=[
+        contracts.Feature("txn_count", "int", "count(t.txn_id) -- 0 for customers without any"),
+        contracts.Feature("refund_share", "double", "round(avg(CASE WHEN t.is_refund THEN 1D ELSE 0D END), 6)"),
+        contracts.Feature("segment", "string", "max(c.c_mktsegment)"),
+        contracts.Feature("days_since_last_txn", "int", "datediff(current_date(), max(to_date(t.txn_ts)))"),
+    ],
+    sources={"least_balance": "0"},
+    skeleton="""
+        -- every customer above a balance, with or without transactions; /* ${features} is one row a customer */
+        SELECT c.c_custkey AS customer_id, current_date() AS as_of_date, ${features}
+        FROM ${customers} c LEFT JOIN ${transactions} t ON t.customer_id = c.c_custkey
+        WHERE c.c_acctbal > ${least_balance} GROUP BY c.c_custkey""",
+)
+
+
+@query(
+    f"""select c_custkey as customer_id, date '{AS_OF}' as as_of_date, cast(count(txn_id) as int) as txn_count, round(avg(case when is_refund then 1.0 else 0.0 end), 6) as refund_share,
+        max(c_mktsegment) as segment, cast(datediff('day', max(cast(txn_ts as date)), date '{AS_OF}') as int) as days_since_last_txn
+    from customer left join transactions on customer_id = c_custkey where c_acctbal > 0 group by c_custkey""",
+    "transactions",
+)
+def skeleton_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A contract whose query joins two tables and filters."""
+    frames = {"transactions": shape(spark, sf_dir, "transactions"), "customers": spark.read.parquet(f"{sf_dir}/customer.parquet")}
+    return contracts.build_from_skeleton(SEGMENT_FEATURES, frames, AS_OF)
+
+
+@query(
+    f"""with a as ({_FEATURES_SQL.format(as_of=AS_OF, where="")}), b as (select customer_id, round(max(amount), 4) as largest, cast(count(*) filter (where is_refund) as int) as refunds from transactions group by customer_id)
+    select a.*, largest, refunds from a join b using (customer_id)""",
+    "transactions",
+)
+def publish_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two contracts over one source, published side by side from one aggregation."""
+    more = dataclasses.replace(CUSTOMER_FEATURES, table="customer_extremes", features=[contracts.Feature("largest", "double", "round(max(t.amount), 4)"), contracts.Feature("refunds", "int", "count(CASE WHEN t.is_refund THEN 1 END)")])
+    rows = shape(spark, sf_dir, "transactions")
+    paths = contracts.publish_all(spark, [CUSTOMER_FEATURES, more], {"customer_features": rows, "customer_extremes": rows}, AS_OF, tables.shared_path(spark, "published"))
+    return _even(spark.read.parquet(paths["customer_features"])).join(spark.read.parquet(paths["customer_extremes"]), ["customer_id", "as_of_date"])
+
+
 @query(
     """select o_custkey as customer_id, o_orderkey as txn_count, cast(null as double) as score from orders where o_orderdate < timestamp '1998-01-01'
     union all select o_custkey, o_orderkey, o_totalprice from orders where o_orderdate >= timestamp '1998-01-01'"""
@@ -326,6 +398,29 @@ def log_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.log_health(_labelled(spark, sf_dir))
 
 
+@query(f"with {_LABELLED} select event_id, customer_id, prediction, ground_truth, cast(scored_at as date) as scored_on from labelled", "scored_log outcomes")
+def stored_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored log after its labels came in two loads, read back from disk; days whose labels are all set are left alone."""
+    path = tables.shared_path(spark, "inference_log")
+    log = shape(spark, sf_dir, "scored_log").select("event_id", "customer_id", "prediction", "ground_truth", F.to_date("scored_at").alias("scored_on"))
+    tables.overwrite(log, path, ["scored_on"])
+    outcomes = shape(spark, sf_dir, "outcomes")
+    labels.backfill_stored(spark, path, outcomes.where("is_default = 1"), "scored_on", ["event_id"])
+    labels.backfill_stored(spark, path, outcomes, "scored_on", ["event_id"])
+    return spark.read.parquet(path)
+
+
+@query("select event_id, prediction_score, case when scored_at < timestamp '2024-01-15' then 'first' else 'second' end as batch_id from scored_log", "scored_log")
+def repeated_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches appended to a log, the first of them twice."""
+    path = tables.shared_path(spark, "batches")
+    log = shape(spark, sf_dir, "scored_log").select("event_id", "scored_at", "prediction_score")
+    early = F.col("scored_at") < F.lit("2024-01-15").cast("timestamp")
+    for batch, rows in (("first", log.where(early)), ("second", log.where(~early)), ("first", log.where(early))):
+        tables.append_batch(rows.drop("scored_at"), path, batch)
+    return tables.read_table(spark, path, merge_schema=True)
+
+
 @query("select distinct customer_id, is_default from outcomes", "outcomes")
 def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape(spark, sf_dir, "outcomes")
@@ -475,6 +570,51 @@ def category_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(drift.category_profile(log, ["event_type", "event_key"], by="variant"))
 
 
+_STATE_SQL = """
+    with r as (select {at} as moment, model_version as model, variant as slice, amount, prediction_score, event_type from {log}),
+    v as (select moment, model, slice, 'amount' as "column", amount as x, cast(amount as varchar) as text from r union all select moment, model, slice, 'prediction_score', prediction_score, cast(prediction_score as varchar) from r
+        union all select moment, model, slice, 'event_type', null, event_type from r)
+    select moment as {name}, "column", {keys}, count(*) as n, count(*) - count(text) as n_null, round(avg(x), 6) as mean, round(stddev_samp(x), 6) as deviation, round(min(x), 6) as low, round(max(x), 6) as high
+    from v group by {group}"""
+_PROFILED = ["amount", "prediction_score", "event_type"]
+
+
+@query(
+    _STATE_SQL.format(
+        at="cast(make_timestamp(epoch_us(scored_at) // (7 * 86400000000) * (7 * 86400000000)) as timestamp)",
+        log="scored_log",
+        name="window_start",
+        keys="coalesce(model, '*') as model, coalesce(slice, '*') as slice",
+        group='grouping sets ((moment, "column", model, slice), (moment, "column", model), (moment, "column", slice), (moment, "column"))',
+    ),
+    "scored_log",
+)
+def profile_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weeks, merged from days; the sketched columns are tested against their stated errors elsewhere."""
+    states = profile_state.profile_states(shape(spark, sf_dir, "scored_log"), _PROFILED, by="variant")
+    return _rounded(profile_state.read_profile(profile_state.windows(states, "7 days")).drop("quantiles", "distinct"))
+
+
+@query(
+    _STATE_SQL.format(at="cast(scored_at as date)", log="scored_log", name="day", keys="model, slice", group='moment, "column", model, slice')
+    .replace("amount, prediction_score, event_type from", "amount, prediction_score, event_type, ground_truth from")
+    .replace("union all select moment, model, slice, 'event_type', null", "union all select moment, model, slice, 'ground_truth', ground_truth, cast(ground_truth as varchar) from r union all select moment, model, slice, 'event_type', null")
+    .replace("from scored_log)", "from labelled)")
+    .replace("\n    with r", f"\n    with {_LABELLED}, r", 1),
+    "scored_log outcomes",
+)
+def incremental_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored profile after three refreshes: the first rows, the later rows, then labels that came late."""
+    path, names = tables.shared_path(spark, "profile"), [*_PROFILED, "ground_truth"]
+    log, late = shape(spark, sf_dir, "scored_log"), F.col("scored_at") >= F.lit("2024-01-15").cast("timestamp")
+    refresh = lambda rows, changed: profile_state.refresh_profile(path, rows, names, changed, by="variant")
+    refresh(log.where(~late), None)
+    refresh(log, log.where(late))
+    labelled = _labelled(spark, sf_dir)
+    refresh(labelled, labelled.where("ground_truth is not null"))
+    return _rounded(profile_state.read_profile(spark.read.parquet(path)).drop("quantiles", "distinct"))
+
+
 #: Tails of the test statistics by the series of the lower incomplete gamma function and of Kolmogorov's distribution.
 _CHI2_P_SQL = "case when chi2 <= 0 then 1 else greatest(0, 1 - list_sum(list_transform(range(0, cast(chi2 + 200 as bigint)), lambda i: exp((degrees / 2 + i) * ln(greatest(chi2, 1e-300) / 2) - chi2 / 2 - lgamma(degrees / 2 + i + 1))))) end"
 _KS_P_SQL = "least(1, greatest(0, 2 * list_sum(list_transform(range(1, 400), lambda k: (case when k % 2 = 1 then 1 else -1 end) * exp(-2 * k * k * ks * ks * (n_e * n_a / (n_e + n_a)))))))"
@@ -754,6 +894,15 @@ def _trained(spark: SparkSession, sf_dir: str, *kinds: str) -> tuple[DataFrame,
     return parts, [scoring.train_classifier(parts.where("split = 'train'"), names, kind=k) for k in kinds], names
 
 
+@query(
+    f"""with a as (select application_id, class, {crc32_sql("('split 42:' || application_id)")} as draw from applicants)
+    select application_id, class, case when row_number() over (partition by class order by draw, application_id) <= (count(*) over (partition by class) * 20 + 50) // 100 then 'test' else 'train' end as split from a""",
+    "applicants",
+)
+def exact_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.exact_split(shape(spark, sf_dir, "applicants").select("application_id", "class"), "class", "application_id")
+
+
 @query()
 def train_and_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts, (model,), names = _trained(spark, sf_dir, "gbt")

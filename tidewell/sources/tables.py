@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import commits, files
+
+
+_local: dict[str, str] = {}
+
 
 def read_table(spark: SparkSession, name: str, merge_schema: bool = False) -> DataFrame:
     """A Parquet path, or a table of the session's catalog."""
@@ -22,9 +27,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share; only a single-machine session without one gets a local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder shared by driver and executors")
-        base = "file://" + tempfile.mkdtemp(prefix="tidewell-")
+        base = _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tidewell-"))
     return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}/{name}"
 
 
@@ -54,33 +60,52 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     return source.unionByName(target.join(source.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True)
 
 
-def upsert_partitions(spark: SparkSession, path: str, source: DataFrame, keys: list[str], partition: str, staging: str) -> None:
-    """Upsert into a partitioned table, rewriting only the partitions that ``source`` touches.
+def replace_partitions(df: DataFrame, path: str, partition: str) -> None:
+    """Overwrite those partitions that ``df`` has rows for, which must not be read from them."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def append_batch(df: DataFrame, path: str, batch: str, column: str = "batch_id") -> None:
+    """Add a batch to a log, once: the batch is a partition of its own, which a second run of it overwrites.
+
+    Columns may be new, as with ``append``. A batch without rows leaves the log as it is.
+    """
+    replace_partitions(df.withColumn(column, F.lit(batch)), path, column)
+
+
+def batch_sink(path: str, name: str, column: str = "batch_id") -> Callable[[DataFrame, int], None]:
+    """For ``writeStream.foreachBatch``: every micro-batch goes to the log once, however often it is tried."""
+    return lambda df, number: append_batch(df, path, f"{name}-{number}", column)
+
+
+def upsert_partitions(spark: SparkSession, path: str, source: DataFrame, keys: list[str], partition: str, staging: str | None = None) -> int:
+    """Upsert into a partitioned table, rewriting only the partitions that ``source`` touches; the version it becomes.
 
-    The result is staged first, since a path can't be overwritten while it is read.
+    ``source`` is used twice: with ``staging`` it is written there first, otherwise it should read a written table.
     """
+    if staging:
+        source.write.mode("overwrite").parquet(staging)
+        source = spark.read.schema(source.schema).parquet(staging)
     touched = spark.read.parquet(path).join(source.select(partition).distinct(), partition, "left_semi")
-    upsert(touched, source, keys).write.mode("overwrite").parquet(staging)
-    spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    return commits.commit(upsert(touched, source, keys), path, partition, keys)
 
 
-def publish_upsert(spark: SparkSession, path: str, source: DataFrame, wanted: T.StructType, keys: list[str], partition: str, staging: str) -> None:
-    """Upsert into a table that may not exist yet or have other columns than ``wanted``.
+def publish_upsert(spark: SparkSession, path: str, source: DataFrame, wanted: T.StructType, keys: list[str], partition: str) -> int:
+    """Upsert into a table that may not exist yet or have other columns than ``wanted``; the version it becomes.
 
-    Only the partitions that ``source`` touches are rewritten, unless the columns change: then all are.
+    Only the partitions that ``source`` touches are rewritten, unless the columns change: then all are. Either way the new rows
+    are staged first, so that a loss midway is mended by the next publication (or ``commits.recover``), and the
+    change set is kept. ``source`` should read a written table, as it is used twice.
     """
     source = sync_schema(source, wanted, keys)
-    try:
-        have = spark.read.parquet(path)
-    except AnalysisException:
-        source.write.partitionBy(partition).parquet(path)
-        return
+    commits.recover(spark, path, partition)
+    if not any(n[0] not in "._" for n in files.children(spark, path)):  # no table yet, or one without rows
+        return commits.commit(source, path, partition, keys, whole=True)
+    have = spark.read.parquet(path)
     columns = lambda fields: {(f.name.lower(), f.dataType.simpleString()) for f in fields if f.name.lower() != partition.lower()}
-    if columns(have.schema) == columns(wanted):
-        upsert_partitions(spark, path, source, keys, partition, staging)
-        return
-    upsert(sync_schema(have, wanted, keys), source, keys).write.mode("overwrite").parquet(staging)
-    spark.read.parquet(staging).write.mode("overwrite").partitionBy(partition).parquet(path)
+    if columns(have.schema) != columns(wanted):
+        return commits.commit(upsert(sync_schema(have, wanted, keys), source, keys), path, partition, keys, whole=True)
+    return upsert_partitions(spark, path, source, keys, partition)
 
 
 def sync_schema(df: DataFrame, wanted: T.StructType, keys: list[str]) -> DataFrame:
