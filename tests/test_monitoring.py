@@ -18,10 +18,10 @@ def values(spark):
     return rows, spark.createDataFrame(rows, "feature string, value double").repartition(6)
 
 
-@pytest.mark.parametrize("k", [8, 200, 4096])
-def test_exact_quantiles(values, k):
+@pytest.mark.parametrize(("k", "one_task"), [(8, 0), (200, 900), (4096, 0), (200, 10**6)])
+def test_exact_quantiles(values, k, one_task):
     rows, df = values
-    got = quantiles.exact_quantiles(df.where("value is not null"), 10, k)
+    got = quantiles.exact_quantiles(df.where("value is not null"), 10, k, one_task)
     assert got.keys() == {"a", "b", "c"}
     for f, q in got.items():
         v = sorted(x for g, x in rows if g == f and x is not None and not math.isnan(x))
@@ -33,7 +33,7 @@ def test_brackets_that_miss(values, monkeypatch):
     rows, df = values
     monkeypatch.setattr(quantiles, "rank_error", lambda k: 1e-9)
     v = sorted(x for g, x in rows if g == "a" and x is not None and not math.isnan(x))
-    assert quantiles.exact_quantiles(df.where("value is not null"), 10, 8)["a"] == [v[-(-i * len(v) // 10) - 1] for i in range(1, 10)]
+    assert quantiles.exact_quantiles(df.where("value is not null"), 10, 8, 0)["a"] == [v[-(-i * len(v) // 10) - 1] for i in range(1, 10)]
 
 
 def test_blocks_are_even_whatever_the_values(values):

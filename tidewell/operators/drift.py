@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .categories import as_text, category_counts, heavy_values, named_buckets, split_columns
 from .quantiles import exact_quantiles
-from .running import cumulative
+from .running import cumulative, cut_points
 from .significance import chi2_tail, ks_p_value
 
 FLOOR = 1e-4
@@ -191,9 +191,10 @@ def cdf_distances(before: DataFrame, now: DataFrame, by: list[str] | None = None
     by = by or ["feature"]
     side = lambda df, e, a: df.where(~F.isnan("value")).groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n")).select(*by, "value", (F.col("n") * e).alias("n_e"), (F.col("n") * a).alias("n_a"))
     steps = side(before, 1, 0).unionByName(side(now, 0, 1)).groupBy(*by, "value").agg(F.sum("n_e").alias("n_e"), F.sum("n_a").alias("n_a"))
-    upto = cumulative(steps, by, "value", ["n_e", "n_a"])
+    every = before.select(*by, "value").unionByName(now.select(*by, "value"))
+    upto = cumulative(steps, by, "value", ["n_e", "n_a"], cuts=cut_points(every, by, "value"))
     totals = steps.groupBy(*by).agg(F.sum("n_e").alias("all_e"), F.sum("n_a").alias("all_a"))
-    gaps = upto.join(totals, by).withColumn("gap", F.abs(F.try_divide("cum_n_e", "all_e") - F.try_divide("cum_n_a", "all_a")))
+    gaps = upto.join(F.broadcast(totals), by).withColumn("gap", F.abs(F.try_divide("cum_n_e", "all_e") - F.try_divide("cum_n_a", "all_a")))
     return gaps.groupBy(*by).agg(F.max("gap").alias("ks"), F.sum(F.col("gap") * F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))).alias("wasserstein"))
 
 
