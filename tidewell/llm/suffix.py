@@ -15,8 +15,13 @@ have, stands for all windows that name it: their context.
    which share enough bytes from the anchor on, and classes of equal bytes before it, refined byte by byte, which
    share enough before; windows for which another context shares both repeat.
 
-All equality is that of bytes. First bytes that more than ``MOST_CONTEXTS`` anchors share, after which one task would
-hold too much, are settled by counts of 128-bit hashes of their windows instead, which add up on the map side.
+All equality is that of bytes. Contexts whose first bytes more than ``MOST_CONTEXTS`` anchors share go through the same merge in
+parts: each part has the windows that begin ``WIDTH`` neighbouring distances before the anchor, and lies in a bucket of the bytes that
+all of these have, which are all but ``WIDTH`` - 1 of the ``LENGTH``.
+
+Texts that repeat themselves at short distances would name an anchor at every byte. So an 8-byte word that comes again
+within ``NEAR`` bytes names none if another word can, and in a stretch of a period of up to ``PERIOD`` bytes, whose windows all
+equal one a period away, only the first period's windows keep their anchors, for other texts to meet.
 """
 
 from __future__ import annotations
@@ -36,21 +41,75 @@ from .store import decided, kept, materialize, only, scratch, tagged
 LENGTH, SPAN, KMER = 400, 256, 8
 AHEAD = LENGTH - SPAN + 1
 MOST_CONTEXTS = 200_000
+WIDTH, NEAR, PERIOD = 16, 16, 64
 _LOW = (1 << 24) - 1
 _CHUNK = 1 << 20
 
 
+def _words(piece: bytes, windows: int) -> np.ndarray:
+    """The smaller comes first: hashes of the 8 bytes at each place, with the place; those that come again nearby after all others."""
+    count = windows + SPAN - 1
+    words = np.ndarray((count,), "<u8", piece, strides=(1,))
+    mixed = words * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(32)
+    # All of these bytes lie in every window that the place can be the anchor of: SPAN + NEAR + KMER <= LENGTH.
+    later = np.ndarray((count + NEAR,), "<u8", piece, strides=(1,))
+    again = np.zeros(count, bool)
+    for step in range(1, NEAR + 1):
+        again |= words == later[step : step + count]
+    mixed >>= np.uint64(1)
+    mixed |= again.astype(np.uint64) << np.uint64(63)
+    return (mixed & np.uint64(~_LOW & (2**64 - 1))) | np.arange(count, dtype=np.uint64)
+
+
+def _period_end(data: np.ndarray, at: int, p: int) -> int:
+    """The first place from ``at`` on whose byte is not the one ``p`` before it."""
+    while at < len(data):
+        end = min(len(data), at + (1 << 16))
+        off = np.flatnonzero(data[at:end] != data[at - p : end - p])
+        if len(off):
+            return at + int(off[0])
+        at = end
+    return at
+
+
+def periodic(piece: bytes, at: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first window, last window, period) of stretches of the piece in which windows equal those a period away.
+
+    ``at``: the anchors' places in order. They lie densely in such a stretch, which is itself found by its bytes.
+    """
+    data, out, done, k = np.frombuffer(piece, np.uint8), [], 0, 0
+    near = np.concatenate([np.diff(at) <= PERIOD, [False]])
+    # Of anchors that the next one follows closely, those that are so over some hundred bytes.
+    begins = np.flatnonzero(near & ~np.concatenate([[False], near[:-1]]))
+    for i, j in zip(begins.tolist(), np.flatnonzero(~near)[np.searchsorted(np.flatnonzero(~near), begins)].tolist(), strict=True):
+        k = max(i, k)
+        while k < j and at[j] - at[k] > PERIOD:
+            low = int(at[k])
+            second = piece.find(piece[low : low + 128], low + 1, low + PERIOD + 128)
+            if second < 0:
+                k += 1
+                continue
+            p = second - low
+            high = _period_end(data, second + 128, p)
+            while low > done and data[low - 1] == data[low - 1 + p]:
+                low -= 1
+            if high - LENGTH - low >= p:  # so that there are windows with another one a period away
+                out.append((low, high - LENGTH, p))
+                done = high - LENGTH + 1
+            k = max(k + 1, int(np.searchsorted(at, high - LENGTH + 1)))
+    return out
+
+
 def anchors(data: bytes) -> Iterator[tuple[int, int, int]]:
-    """(position, first window, last window) of every anchor; windows are named by their first byte."""
+    """(position, first window, last window) of every anchor; windows are named by their first byte. Windows that
+    ``settled_windows`` tells of have one in the first period of their stretch only."""
     for base in range(0, len(data) - LENGTH + 1, _CHUNK):
         piece = data[base : base + _CHUNK + LENGTH - 1]
         windows = len(piece) - LENGTH + 1
-        words = np.ndarray((windows + SPAN - 1,), "<u8", piece, strides=(1,))
-        mixed = words * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(32)
-        least = (mixed & np.uint64(~_LOW & (2**64 - 1))) | np.arange(len(mixed), dtype=np.uint64)
+        least = _words(piece, windows)
         step = 1
         while step < SPAN:
             least = np.minimum(least[:-step], least[step:])
@@ -58,12 +117,27 @@ def anchors(data: bytes) -> Iterator[tuple[int, int, int]]:
         at = (least & np.uint64(_LOW)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         last = np.concatenate([first[1:], [windows]]) - 1
-        for p, a, b in zip(at[first].tolist(), first.tolist(), last.tolist(), strict=True):
+        places = at[first]
+        stretches = periodic(piece, places)
+        for low, high, p in stretches:
+            yield -1, base + low, base + high - p
+            yield -1, base + low + p, base + high
+        if stretches:
+            keep = np.ones(windows, bool)
+            for low, high, p in stretches:
+                keep[low + p : high + 1] = False
+            # Windows that are left are numbered in rows of the same anchor without a gap.
+            left = np.flatnonzero(keep)
+            cut = np.concatenate([[True], (at[left[1:]] != at[left[:-1]]) | (left[1:] != left[:-1] + 1)]) if len(left) else np.zeros(0, bool)
+            first = left[cut]
+            last = np.concatenate([left[np.flatnonzero(cut)[1:] - 1], left[-1:]])
+            places = at[first]
+        for p, a, b in zip(places.tolist(), first.tolist(), last.tolist(), strict=True):
             yield base + p, base + a, base + b
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """uid, pos, back, most, ahead_hash; windows start at pos - most ... pos - back."""
+    """uid, pos, back, most, ahead_hash; windows start at pos - most ... pos - back. Without a hash: windows that repeat where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
@@ -75,11 +149,14 @@ def _scan(docs: DataFrame) -> DataFrame:
                     data = (text.as_py() or "").encode()
                     view = memoryview(data)
                     for p, a, b in anchors(data):
-                        out.append((p, p - b, p - a, digest(view[p : p + AHEAD])))
+                        if p < 0:
+                            out.append((b, 0, b - a, 0, True))
+                        else:
+                            out.append((p, p - b, p - a, digest(view[p : p + AHEAD]), False))
                         uid.append(tag)
-                rows = np.array(out, np.uint64).reshape(-1, 4)
+                rows = np.array([r[:4] for r in out], np.uint64).reshape(-1, 4)
                 ints = [rows[:, i].astype(np.int32) for i in range(3)]
-                ahead = pa.array(rows[:, 3].copy().view(np.int64))
+                ahead = pa.array(rows[:, 3].copy().view(np.int64), mask=np.array([r[4] for r in out], bool))
                 yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), *map(pa.array, ints), ahead], names=["uid", "pos", "back", "most", "ahead_hash"])
 
     return docs.select("uid", "text").mapInArrow(run, "uid long, pos int, back int, most int, ahead_hash long")
@@ -251,8 +328,8 @@ def settle(contexts: list[bytes], shared: np.ndarray, back: np.ndarray, times: n
     return found + list(zip(left[lows // (width + 2)].tolist(), (lows % (width + 2)).tolist(), (highs % (width + 2)).tolist(), strict=True))
 
 
-_FOUND = "bucket int, run binary, hash_a long, hash_b long, uid long, since int, until int, times int"
-_FOUND_ARROW = pa.schema([("bucket", pa.int32()), ("run", pa.binary()), ("hash_a", pa.int64()), ("hash_b", pa.int64()), ("uid", pa.int64()), ("since", pa.int32()), ("until", pa.int32()), ("times", pa.int32())])
+_FOUND = "bucket int, run binary, uid long, since int, until int"
+_FOUND_ARROW = pa.schema([("bucket", pa.int32()), ("run", pa.binary()), ("uid", pa.int64()), ("since", pa.int32()), ("until", pa.int32())])
 
 
 def _found(**columns: list) -> pa.RecordBatch:
@@ -307,60 +384,67 @@ def _merge_buckets(found: DataFrame, buckets: int, at_once: int = 20_000) -> Dat
     return found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _FOUND)
 
 
-def _extract(placed: DataFrame, most_held: int = 1 << 26) -> DataFrame:
+def _parts(data: bytes, p: int, back: int, most: int, bucket: int, many: bool, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, back, most) under which the context of an anchor is merged: itself, or its parts if its first bytes are those of many."""
+    if not many:
+        yield bucket, back, most
+        return
+    for near in range(back - back % WIDTH, most + 1, WIDTH):
+        far = near + WIDTH - 1
+        # What the windows of this part have in common, whichever text they are in.
+        same = data[p - near : p + LENGTH - far]
+        yield xxhash.xxh64_intdigest(same, near) % buckets, max(back, near), min(most, far)
+
+
+def _extract(placed: DataFrame, buckets: int, most_held: int = 1 << 26) -> DataFrame:
     """Sorted runs of the contexts of many texts by bucket, and what equal contexts among them settle at once.
 
-    Contexts marked ``many`` give the hashes of their windows instead of an entry of a run.
+    Contexts marked ``many`` come in parts, each in the bucket of the bytes that its windows share.
     """
-    digest = xxhash.xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bool], dict[bytes, tuple[int, int, int]]] = {}
-        twice: set[tuple[int, int]] = set()
+        held: dict[int, dict[bytes, tuple[int, int, int]]] = {}
+        twice: set[tuple[int, int, int]] = set()
         size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            buckets, runs, windows = [], [], []
-            for (bucket, many), own in sorted(held.items()):
-                entries = sorted((c[2:], (uid, pos, back, 2 if (uid, pos) in twice else 1)) for c, (uid, pos, back) in own.items())
-                if not many:
-                    buckets.append(bucket)
-                    runs.append(front_code(entries))
-                    continue
-                for c, (uid, pos, back, times) in entries:
-                    ahead = LENGTH - back
-                    data = c[ahead:][::-1] + c[:ahead]  # the bytes in their order
-                    windows += [(digest(data[s : s + LENGTH]), digest(data[s : s + LENGTH], 1), uid, pos - (len(data) - ahead) + s, times) for s in range(len(data) - LENGTH + 1)]
-            yield _found(bucket=buckets, run=runs)
-            for at in range(0, len(windows), 100_000):
-                a, b, uid, since, times = zip(*windows[at : at + 100_000], strict=True)
-                signed = [np.array(x, np.uint64).view(np.int64) for x in (a, b)]
-                yield _found(hash_a=signed[0], hash_b=signed[1], uid=uid, since=since, until=since, times=times, bucket=[int(x) & 0x7FFFFFFF for x in signed[0]])
+        def flush() -> pa.RecordBatch:
+            names, runs = [], []
+            for bucket, own in sorted(held.items()):
+                names.append(bucket)
+                runs.append(front_code(sorted((c[2:], (*entry, 2 if entry in twice else 1)) for c, entry in own.items())))
             held.clear()
             twice.clear()
+            return _found(bucket=names, run=runs)
 
         for batch in batches:
             settled: list[tuple[int, int, int]] = []
-            for uid, text, contexts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data = (text.as_py() or "").encode()
-                for c in contexts:
-                    p, back, most = c["pos"], c["back"], c["most"]
-                    # The length from the anchor on leads, so that equal keys are equal contexts.
-                    key = struct.pack(">H", LENGTH - back) + data[p : p + LENGTH - back] + data[p - most : p][::-1]
-                    first = held.setdefault((c["bucket"], c["many"]), {}).setdefault(key, (uid, p, back))
-                    if first[:2] == (uid, p):
-                        size += len(key) + 150
-                        continue
-                    settled.append((uid, p - most, p - back))
-                    if first[:2] not in twice:
-                        twice.add(first[:2])
-                        settled.append((first[0], first[1] - most, first[1] - back))
+            ends, fields = batch.column(2).offsets.to_pylist(), batch.column(2).values
+            columns = [fields.field(c) for c in ("pos", "back", "most", "bucket", "many")]
+            for i, uid in enumerate(batch.column(0).to_pylist()):
+                data = (batch.column(1)[i].as_py() or "").encode()
+                for low in range(ends[i], ends[i + 1], 4096):  # a long text's contexts in slices
+                    high = min(low + 4096, ends[i + 1])
+                    for p, *context in zip(*(c.slice(low, high - low).to_pylist() for c in columns), strict=True):
+                        for bucket, back, most in _parts(data, p, *context, buckets):
+                            # The length from the anchor on leads, so that equal keys are equal contexts.
+                            key = struct.pack(">H", LENGTH - back) + data[p : p + LENGTH - back] + data[p - most : p][::-1]
+                            first = held.setdefault(bucket, {}).setdefault(key, (uid, p, back))
+                            if first == (uid, p, back):
+                                size += len(key) + 150
+                                continue
+                            settled.append((uid, p - most, p - back))
+                            if first not in twice:
+                                twice.add(first)
+                                settled.append((first[0], first[1] - most, first[1] - back))
+                    if len(settled) > 100_000:
+                        yield _spans_of(settled)
+                        settled = []
+                    if size > most_held:
+                        yield flush()
+                        size = 0
             if settled:
                 yield _spans_of(settled)
-            if size > most_held:
-                yield from flush()
-                size = 0
-        yield from flush()
+        yield flush()
 
     return placed.mapInArrow(run, _FOUND)
 
@@ -369,20 +453,19 @@ def repeated_windows(texts: DataFrame, most_contexts: int = MOST_CONTEXTS, a_buc
     """(uid, since, until of first bytes of windows that repeat in ``texts`` (uid, text); uid, n_shared of texts with candidates)."""
     found = materialize(_scan(texts), "anchors")
     # Written, so that the join below has exchanges of its own, whose large partitions Spark can split.
-    often = materialize(found.groupBy("ahead_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
-    total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = materialize(found.where("ahead_hash is not null").groupBy("ahead_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
+    parts = F.when(F.col("n") > most_contexts, SPAN // WIDTH).otherwise(1)
+    total = often.agg(F.coalesce(F.sum(F.col("n") * parts), F.lit(0))).first()[0]
     # A bucket of first bytes has about a_bucket contexts, so their number grows with the corpus.
     buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // a_bucket)
     bucket = F.pmod("ahead_hash", F.lit(buckets)).cast("int")
     likely = found.join(often, "ahead_hash").select("uid", F.struct("pos", "back", "most", bucket.alias("bucket"), (F.col("n") > most_contexts).alias("many")).alias("context"))
     by_text = materialize(likely.groupBy("uid").agg(F.collect_list("context").alias("contexts")), "candidates")
     some = only(texts, "uid", decided(by_text, "uid", outlast=False))
-    done = materialize(_merge_buckets(_extract(some.join(by_text, "uid").select("uid", "text", "contexts")), buckets), "repeats")
-    windows = done.where("hash_a is not null")
-    counted = windows.groupBy("hash_a", "hash_b").agg(F.sum("times").alias("all")).where(F.col("all") > 1)
-    by_count = windows.where("times = 1").join(counted, ["hash_a", "hash_b"], "left_semi")
-    spans = done.where("hash_a is null").select("uid", "since", "until").unionByName(by_count.select("uid", "since", "until"))
-    return spans, by_text.select("uid", F.size("contexts").cast("long").alias("n_shared"))
+    done = materialize(_merge_buckets(_extract(some.join(by_text, "uid").select("uid", "text", "contexts"), buckets), buckets), "repeats")
+    alone = found.where("ahead_hash is null").select("uid", (F.col("pos") - F.col("most")).alias("since"), F.col("pos").alias("until"))
+    shared = by_text.select("uid", F.size("contexts").cast("long").alias("n_shared")).unionByName(alone.select("uid", F.lit(1).cast("long").alias("n_shared")))
+    return done.select("uid", "since", "until").unionByName(alone), shared.groupBy("uid").agg(F.sum("n_shared").alias("n_shared"))
 
 
 def _cut(data: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
@@ -405,7 +488,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, most_contexts: int
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared (and kept, the bytes left, if asked).
 
     ``n_shared`` counts the anchors, one in about 128 bytes, whose next ``AHEAD`` bytes follow another anchor too: over 0 for
-    nearly every text with a passage of some 350 bytes that occurs elsewhere, though repeats under LENGTH bytes stay.
+    nearly every text with a passage of some 350 bytes that occurs elsewhere, though repeats under LENGTH bytes stay. A
+    stretch that repeats itself counts as one.
 
     A null text counts as empty; texts under LENGTH bytes have no windows and stay whole. Matches never cross
     rows; repeated rows are copies of each other and lose all they share. Rows are known by tags that are the same
