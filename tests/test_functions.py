@@ -59,6 +59,16 @@ def test_policy(spark, score, age, kyc, band, reason):
         assert (got.risk_band, got.rejection_reason, got.eligible) == (band, reason, reason == "NONE")
 
 
+def test_policy_functions_in_the_catalog(spark):
+    policy.register_policy_functions(spark, "kept_eligibility", "kept_limit", schema="default")
+    other = spark.newSession()
+    (row,) = other.sql("select default.kept_eligibility(0.2D, 40, 'verified') as v, default.kept_limit('BAND_C_HIGH_RISK', 50000D) as x").collect()
+    assert (row.v.risk_band, row.x) == ("BAND_B_MEDIUM_RISK", 25_000.0)
+    for name in ("kept_eligibility", "kept_limit"):
+        assert "by score" in str(other.sql(f"describe function extended default.{name}").collect()) or name == "kept_limit"
+        other.sql(f"drop function default.{name}")
+
+
 def test_limits(spark):
     rows = spark.createDataFrame([("BAND_A_LOW_RISK", 99999999.0), ("BAND_C_HIGH_RISK", 50000.0), ("REJECTED", 50000.0), ("BAND_A_LOW_RISK", None)], "risk_band string, credit_amount double")
     assert [r.x for r in rows.select(policy.credit_limit().alias("x")).collect()] == [1_000_000.0, 25_000.0, 0.0, 0.0]

@@ -44,17 +44,23 @@ def credit_limit(risk_band: Column | str = "risk_band", credit_amount: Column |
     return out.otherwise(F.lit(0.0))
 
 
-def register_policy_functions(spark: SparkSession, eligibility_name: str = "credit_eligibility", limit_name: str = "credit_limit") -> None:
-    """The policy for SQL users: two temporary functions that Spark inlines into the caller's plan."""
+def register_policy_functions(spark: SparkSession, eligibility_name: str = "credit_eligibility", limit_name: str = "credit_limit", schema: str | None = None) -> None:
+    """The policy for SQL users: two functions that Spark inlines into the caller's plan.
+
+    They are temporary, or kept in the catalog's ``schema``, for all sessions and with a comment, if one is named.
+    """
+    kind = "FUNCTION" if schema else "TEMPORARY FUNCTION"
+    eligibility_name, limit_name = (f"{schema}.{n}" if schema else n for n in (eligibility_name, limit_name))
+    told = lambda text: f"COMMENT '{text}'" if schema else ""
     verdict = lambda ok, band, why: f"named_struct('eligible', {ok}, 'risk_band', '{band}', 'rejection_reason', '{why}')"
     in_band = " ".join(f"WHEN pd_score <= {v[0]}D THEN {verdict('true', k, 'NONE')}" for k, v in BANDS.items())
     limits = " ".join(f"WHEN risk_band = '{k}' THEN LEAST(amount * {v[1]}D, {v[2]}D)" for k, v in BANDS.items())
     spark.sql(f"""
-        CREATE OR REPLACE TEMPORARY FUNCTION {eligibility_name}(pd_score DOUBLE, age INT, kyc_status STRING)
-        RETURNS STRUCT<eligible: BOOLEAN, risk_band: STRING, rejection_reason: STRING> RETURN CASE
+        CREATE OR REPLACE {kind} {eligibility_name}(pd_score DOUBLE, age INT, kyc_status STRING)
+        RETURNS STRUCT<eligible: BOOLEAN, risk_band: STRING, rejection_reason: STRING> {told("eligibility, band and reason of an applicant by score, age and identity check")} RETURN CASE
         WHEN kyc_status IS NULL OR upper(kyc_status) <> 'VERIFIED' THEN {verdict("false", "REJECTED", "KYC_NOT_VERIFIED")}
         WHEN age IS NULL OR age < {MINIMUM_AGE} THEN {verdict("false", "REJECTED", "UNDERAGE")}
         {in_band} ELSE {verdict("false", EXCESSIVE, "PD_EXCEEDS_THRESHOLD")} END""")
     spark.sql(f"""
-        CREATE OR REPLACE TEMPORARY FUNCTION {limit_name}(risk_band STRING, amount DOUBLE) RETURNS DOUBLE
+        CREATE OR REPLACE {kind} {limit_name}(risk_band STRING, amount DOUBLE) RETURNS DOUBLE {told("the limit that a band allows for an amount")}
         RETURN CASE WHEN amount IS NULL THEN 0.0D {limits} ELSE 0.0D END""")

@@ -111,6 +111,23 @@ def score_arms(df: DataFrame, models: dict[str, tuple[Transformer, str]], featur
     return out
 
 
+def score_arms_with(df: DataFrame, arms: dict[str, tuple[Callable[[pd.DataFrame], pd.Series], str]], features: list[str], key: str, salt: str, split_percent: int, scored_at: str) -> DataFrame:
+    """``score_arms`` for models that are plain functions, in one pass: each Arrow batch goes to the functions of the arms that it has rows of."""
+
+    @F.pandas_udf("double")
+    def run(variant: pd.Series, rows: pd.DataFrame) -> pd.Series:
+        out = pd.Series(float("nan"), index=rows.index)
+        for arm, (predict, _) in arms.items():
+            own = variant == arm
+            if own.any():
+                out[own] = predict(rows[own])
+        return out
+
+    assigned = df.withColumn("variant", cohort(key, salt, split_percent))
+    version = F.coalesce(*(F.when(F.col("variant") == arm, version) for arm, (_, version) in arms.items()))
+    return assigned.withColumns({"prediction_score": run("variant", F.struct(*features)), "model_version": version, "scored_at": F.lit(scored_at).cast("timestamp")})
+
+
 def as_class(score: Column | str = "prediction_score", threshold: float = THRESHOLD) -> Column:
     """1.0 from the threshold on, else 0.0; an unknown score stays unknown."""
     value = F.col(score) if isinstance(score, str) else score

@@ -937,3 +937,48 @@ def score_with_plain_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = scoring.score_with(shape(spark, sf_dir, "applicants"), predict, ["credit_amount", "duration", "age"], "plain", SCORED_AT)
     return _rounded(out.select("application_id", "prediction_score", "model_version", "scored_at"))
+
+
+#: Two models of fixed coefficients: score = 1 / (1 + exp(age / by_age - credit_amount / by_amount)).
+_ARM_MODELS = {"A": (50, 400_000, "v1"), "B": (40, 300_000, "v2")}
+_ARM_SCORES_SQL = f"""s as (select *, case when {crc32_sql("('exp1:' || customer_id)")} % 100 < 25 then 'B' else 'A' end as variant from applicants),
+    scored as (select *, case variant {" ".join(f"when '{a}' then 1 / (1 + exp(age / {x} - credit_amount / {y}))" for a, (x, y, _) in _ARM_MODELS.items())} end as prediction_score,
+        case variant {" ".join(f"when '{a}' then '{v}'" for a, (_, _, v) in _ARM_MODELS.items())} end as model_version from s)"""
+
+
+def _scored_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda x, y: lambda rows: 1 / (1 + (rows["age"] / x - rows["credit_amount"] / y).map(math.exp))
+    arms = {a: (of(x, y), v) for a, (x, y, v) in _ARM_MODELS.items()}
+    return scoring.score_arms_with(shape(spark, sf_dir, "applicants").drop("prediction"), arms, ["credit_amount", "age"], "customer_id", "exp1", 25, SCORED_AT)
+
+
+@query(f"with {_ARM_SCORES_SQL} select application_id, customer_id, variant, model_version, round(prediction_score, 6) as prediction_score, timestamp '{SCORED_AT}' as scored_at from scored", "applicants")
+def score_fixed_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All applicants, each by its arm's model, in one pass."""
+    return _rounded(_scored_arms(spark, sf_dir).select("application_id", "customer_id", "variant", "model_version", "prediction_score", "scored_at"))
+
+
+@query(
+    f"""with {_ARM_SCORES_SQL} select customer_id, credit_amount, age, duration, cast(prediction_score >= 0.30 as double) as prediction, round(prediction_score, 6) as prediction_score,
+        cast(class as double) as ground_truth, model_version, timestamp '{SCORED_AT}' as scored_at from scored""",
+    "applicants",
+)
+def fixed_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot that drift is measured against, of models with fixed coefficients."""
+    return _rounded(scoring.baseline_snapshot(_scored_arms(spark, sf_dir), ["customer_id", "credit_amount", "age", "duration"]))
+
+
+_AUDIT_SQL = """with t as (select count(*) filter (where prediction >= 0.3 and class = 1) as tp, count(*) filter (where prediction >= 0.3 and class = 0) as fp,
+        count(*) filter (where prediction < 0.3 and class = 1) as fn from applicants)
+    select 'REPORTED' as decision, 'credit' as model_name, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall, timestamp '{at}' as recorded_at from t"""
+
+
+@query(_AUDIT_SQL.format(at=SCORED_AT), "applicants")
+def stored_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An audit row appended twice as one batch, its metrics read back out of the JSON column."""
+    path = tables.shared_path(spark, "audit")
+    found = {r["metric"]: r["value"] for r in quality.quality_metrics(shape(spark, sf_dir, "applicants"), "prediction", "class").collect()}
+    for _ in range(2):
+        tables.append_batch(tables.audit_row(spark, {"model_name": "credit", "decision": "REPORTED"}, found, SCORED_AT), path, "run-1")
+    rows, metric = tables.read_table(spark, path), lambda k: F.get_json_object("evaluation_summary", f"$.{k}").cast("double").alias(k)
+    return _rounded(rows.select("decision", "model_name", metric("precision"), metric("recall"), "recorded_at"))

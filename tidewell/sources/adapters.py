@@ -30,7 +30,9 @@ SHAPES: dict[str, str] = {
             case when user_id % 10 < 3 then 'B' else 'A' end as variant,
             case when user_id % 10 < 3 then 'v2' else 'v1' end as model_version, event_type, cast(null as double) as ground_truth
         from {events}""",
-    "outcomes": "select distinct user_id as customer_id, cast(case when user_id % 3 = 0 then 1 else 0 end as int) as is_default from {events} where user_id % 4 <> 0",
+    "outcomes": """
+        select user_id as customer_id, cast(case when user_id % 3 = 0 then 1 else 0 end as int) as is_default
+        from {events} group by user_id having min(ts) < timestamp '2024-01-01 12:00:00'""",
     "reads": """
         select upper(event_type) as entity_type, user_id as entity_id, cast(cast(ts as date) as varchar(10)) as entity_run_id,
             'c' || cast(event_id % 5 as varchar(9)) as source_column_name, ts as event_time, cast(ts as date) as event_date,
