@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -229,3 +229,61 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
     parts = parts.select("part", earlier(Window.orderBy("part")).alias("before_part"))
     shards = sizes.select("part", "seq", earlier(Window.partitionBy("part").orderBy("seq")).alias("before_shard")).join(parts, "part")
     return docs.join(shards, ["part", "seq"]).select("doc_id", (F.col("before_part") + F.col("before_shard") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def _opened(payload: pa.Buffer) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
+    """The documents of a shard, where each of them ends, and the matrix, whose planes stay packed."""
+    (n,) = struct.unpack_from("<Q", payload, 0)
+    known, docs = np.frombuffer(payload, np.uint8, n, 8), np.frombuffer(payload, "<i8", n, 8 + n)
+    ends = np.frombuffer(payload, "<u8", n, 8 + 9 * n).astype(np.int64)
+    return [d if k else None for d, k in zip(docs.tolist(), known.tolist(), strict=True)], ends, WaveletMatrix.from_bytes(payload[8 + 17 * n :].to_pybytes())[0]
+
+
+def _asked(spark: SparkSession, path: str, answer: Callable[[list[int | None], np.ndarray, WaveletMatrix], list[tuple]], schema: str) -> DataFrame:
+    """The answers of all shard files, each file's by itself."""
+    kinds = {"long": pa.int64(), "int": pa.int32()}
+    fields = [(n, kinds[k]) for n, k in (f.split() for f in schema.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column(0):
+                rows = answer(*_opened(payload.as_buffer()))
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * len(fields)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+    return spark.read.schema("payload binary").parquet(path).mapInArrow(run, schema)
+
+
+def find_token(spark: SparkSession, path: str, token: int) -> DataFrame:
+    """doc_id, at: every occurrence of a token in the shard files, by select; its place in its document."""
+
+    def answer(docs: list[int | None], ends: np.ndarray, matrix: WaveletMatrix) -> list[tuple]:
+        places = np.array([matrix.find(token, i) for i in range(matrix.count(token))], np.int64)
+        of = np.searchsorted(ends, places, side="right")
+        starts = np.concatenate([[0], ends[:-1]])
+        return [(docs[d], p - int(starts[d])) for d, p in zip(of.tolist(), places.tolist(), strict=True)]
+
+    return _asked(spark, path, answer, "doc_id long, at long")
+
+
+def count_token(spark: SparkSession, path: str, token: int) -> DataFrame:
+    """doc_id, n: how often each document that has a token has it, by ranks at the document's ends. Shards without it cost one rank."""
+
+    def answer(docs: list[int | None], ends: np.ndarray, matrix: WaveletMatrix) -> list[tuple]:
+        if not matrix.count(token):
+            return []
+        bounds = [0, *ends.tolist()]
+        counts = [matrix.count(token, a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return [(d, n) for d, n in zip(docs, counts, strict=True) if n]
+
+    return _asked(spark, path, answer, "doc_id long, n long")
+
+
+def token_at(spark: SparkSession, path: str, at: int) -> DataFrame:
+    """doc_id, token: the token at a place (from 0) of every document that reaches it, by access."""
+
+    def answer(docs: list[int | None], ends: np.ndarray, matrix: WaveletMatrix) -> list[tuple]:
+        bounds = [0, *ends.tolist()]
+        return [(d, matrix.access(a + at)) for d, a, b in zip(docs, bounds[:-1], bounds[1:], strict=True) if a + at < b]
+
+    return _asked(spark, path, answer, "doc_id long, token int")
