@@ -154,7 +154,7 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.
                 try:
                     own = sum(map(cache.__getitem__, words))
                 except KeyError:
-                    if len(cache) > 400_000:
+                    if len(cache) > 100_000:
                         cache.clear()
                     cache.update((w, float(shared[_bucket(w)])) for w in words if w not in cache)
                     own = sum(map(cache.__getitem__, words))

@@ -224,6 +224,16 @@ def similarity_mark(spans: np.ndarray) -> np.ndarray:
     return _majority(spans, 16)
 
 
+#: Texts whose shingles a task holds at once.
+_AT_ONCE = 256
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, _AT_ONCE):
+            yield batch.slice(low, _AT_ONCE)
+
+
 def common_shingles(docs: DataFrame, text_col: str, tag: str, width: int, most_rows: int = 10_000, least: int = 10) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, in order, and counts of the shingles in ``least`` or more texts of a sample of about ``most_rows``.
 
@@ -233,7 +243,7 @@ def common_shingles(docs: DataFrame, text_col: str, tag: str, width: int, most_r
     texts = docs.where(F.pmod(F.xxhash64(tag), F.lit(every)) == 0).select(F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             spans = [_spans(_words(t.as_py()), width) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *spans]).view(np.int64))], names=["shingle"])
 
@@ -263,7 +273,7 @@ def similarity_marks(docs: DataFrame, id_col: str, text_col: str, tag: str, widt
     common = common_shingles(docs, text_col, tag, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             spans = [_spans(_words(t.as_py()), width) for t in batch.column(2)]
             marks = pa.array([similarity_mark(x).tobytes() for x in spans], pa.binary())
             keys = pa.array([prefix(x, similarity, common).view(np.int64) for x in spans], pa.list_(pa.int64()))
