@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators import contracts, labels
+from tidewell.plans import registry
 from tidewell.sources import commits, files, tables
 
 SCHEMA = "k long, day date, x double, s string"
@@ -163,3 +164,16 @@ def test_skeletons(spark, tmp_path):
     for wrong in ("SELECT 1", "SELECT a.k, ${features} FROM ${left} a JOIN ${right} b ON a.k = b.k GROUP BY a.k"):
         contract.skeleton = wrong
         assert contracts.analysis_error(contract, frames, "2024-02-01")
+
+
+def test_two_runs_are_built_once(spark):
+    """The runs that publications and upserts use are read from one written table, not joined again at each use."""
+    old, new = registry._two_runs(spark, "/root/testdata/sf0.001")
+    assert old.columns == new.columns == ["customer_id", "as_of_date", *(f.name for f in registry.CUSTOMER_FEATURES.features)]
+    assert len(set(old.inputFiles()) | set(new.inputFiles())) and set(old.inputFiles()) == set(new.inputFiles())
+    assert not any("lineitem" in f for f in [*old.inputFiles(), *new.inputFiles()])
+    rows = registry.shape(spark, "/root/testdata/sf0.001", "transactions")
+    want = registry.contracts.build_features(registry.CUSTOMER_FEATURES, rows.where("txn_ts < timestamp '1998-06-01'"), registry.AS_OF)
+    assert _set(registry._even(old)) == _set(registry._even(want))
+    want = registry.contracts.build_features(registry.CUSTOMER_FEATURES, rows, registry.AS_OF).where("days_since_last_txn < 400")
+    assert _set(registry._even(new)) == _set(registry._even(want))
