@@ -163,6 +163,20 @@ def test_near_duplicates_by_kind_of_edit(spark):
     assert Counter(k for k, x, y in zip(kinds, near, found, strict=True) if x != y) == Counter()
 
 
+def test_near_duplicates_meet_by_segments(spark):
+    """Pairs of just the similarity are found by the segments of their fingerprints, without any word of the texts, and no others are."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for _ in range(150):  # 80 of 100 shingles in common
+        hashes = rng.integers(0, 1 << 64, 100, np.uint64)
+        sets += [hashes[:90], hashes[10:]]
+    marks = spark.createDataFrame([(i, bytearray(simhash.similarity_mark(s).tobytes()), len(s)) for i, s in enumerate(sets)], "id long, mark binary, size int")
+    for block in (7, 4096):
+        assert {tuple(sorted(r)) for r in simhash.similar_links(marks, 0.8, block).collect()} == {(2 * i, 2 * i + 1) for i in range(150)}
+    width, tables = simhash.segments(0.8, 10_000_000)
+    assert width * tables <= 1024 and (width + 1) / 2 * tables < 400  # rows a text
+
+
 def test_near_copies_of_the_corpus(spark):
     """The rule's 0.8 finds all pairs that reach it; a lower similarity finds the corpus's edited copies and leaves all others alone."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").dropDuplicates(["text"])

@@ -8,13 +8,14 @@ values are asked for. Matches of one table entry are resolved where the entry's
 lies: a query gives one link to each component of the block that it touches, never all pairs. An entry with
 more than ``block`` fingerprints is cut into blocks, each of which meets all the entry's queries.
 
-Near duplicates by similarity (``similar_groups``) are as far as 10 of 64 bits apart, beyond such balls. They are
-indexed by their rarest shingles, as many as two such texts must share one of, and verified by 1,024 bits over
-their shingles, then by the shingles themselves.
+Near duplicates by similarity (``similar_groups``) are as far as 10 of 64 bits apart, beyond two such balls. They take
+the same lookup over fingerprints of 1,024 bits: more and shorter segments, balls of radius 1 around each, the whole
+distance of what meets; the shingles themselves follow as the exact check.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -234,53 +235,18 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(low, _AT_ONCE)
 
 
-def common_shingles(docs: DataFrame, text_col: str, tag: str, width: int, most_rows: int = 10_000, least: int = 10) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, in order, and counts of the shingles in ``least`` or more texts of a sample of about ``most_rows``.
-
-    They only order the shingles of every text, and any order finds the same pairs: the sample bounds the cost.
-    """
-    every = max(1, docs.count() // most_rows)
-    texts = docs.where(F.pmod(F.xxhash64(tag), F.lit(every)) == 0).select(F.col(text_col).cast("string").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            spans = [_spans(_words(t.as_py()), width) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *spans]).view(np.int64))], names=["shingle"])
-
-    counts = texts.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).toArrow()
-    hashes, n = counts.column("shingle").to_numpy().view(np.uint64), counts.column("n").to_numpy()
-    order = np.argsort(hashes)
-    return hashes[order], n[order]
-
-
-def prefix(spans: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first shingles by rarity and hash, so many that sets of the ``similarity`` have one of them in common.
-
-    Such sets share at least ``similarity`` of either's shingles, so the first one shared has no more than the others before it.
-    """
-    known, counts = common
-    times = np.zeros(len(spans), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, spans), len(known) - 1)
-        times = np.where(known[at] == spans, counts[at], 0)
-    most = len(spans) - int(np.ceil(similarity * len(spans) - 1e-9)) + 1 if len(spans) else 0
-    return spans[np.lexsort((spans, times))[:most]]
-
-
-def similarity_marks(docs: DataFrame, id_col: str, text_col: str, tag: str, width: int, similarity: float) -> DataFrame:
-    """doc_id, tag, mark (128 bytes), size (distinct shingles), keys (the shingles by which texts meet)."""
+def similarity_marks(docs: DataFrame, id_col: str, text_col: str, tag: str, width: int) -> DataFrame:
+    """doc_id, tag, mark (128 bytes), size (distinct shingles)."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(tag).alias("tag"), F.col(text_col).cast("string").alias("text"))
-    common = common_shingles(docs, text_col, tag, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             spans = [_spans(_words(t.as_py()), width) for t in batch.column(2)]
             marks = pa.array([similarity_mark(x).tobytes() for x in spans], pa.binary())
-            keys = pa.array([prefix(x, similarity, common).view(np.int64) for x in spans], pa.list_(pa.int64()))
-            columns = [batch.column(0), batch.column(1), marks, pa.array([len(x) for x in spans], pa.int32()), keys]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "mark", "size", "keys"])
+            columns = [batch.column(0), batch.column(1), marks, pa.array([len(x) for x in spans], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "mark", "size"])
 
-    return source.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, tag long, mark binary, size int, keys array<long>")
+    return source.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, tag long, mark binary, size int")
 
 
 def similarity_bits(similarity: float, sizes: np.ndarray, bits: int = 1024, errors: float = 6) -> np.ndarray:
@@ -292,16 +258,50 @@ def similarity_bits(similarity: float, sizes: np.ndarray, bits: int = 1024, erro
     return bits * share + errors * np.sqrt(bits * share * (1 - share))
 
 
+def segments(similarity: float, rows: int, bits: int = 1024, missed: float = 1e-6) -> tuple[int, int]:
+    """Width and number of the segments by which ``rows`` fingerprints are looked up.
+
+    They are as wide as keeps the entries of a segment's table at some hundred rows, whatever the number of rows is, and so many
+    that a pair of just the ``similarity`` meets in none with a probability of ``missed``: bits differ independently, and a
+    segment is found if no bit differs, one does, or, every second time, two do (both texts then ask for one value).
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    for width in range(min(max(math.ceil(math.log2(max(rows, 1))) - 5, 8), 24), 0, -1):
+        at = [math.comb(width, d) * share**d * (1 - share) ** (width - d) for d in range(min(width, 2) + 1)]
+        found = sum(at[:2]) + sum(at[2:]) / 2
+        tables = 1 if found >= 1 else max(1, math.ceil(math.log(missed) / math.log1p(-found)))
+        if tables * width <= bits:
+            return width, tables
+    return 1, bits
+
+
+def segment_values(marks: DataFrame, width: int, tables: int) -> DataFrame:
+    """id, size, a, b (a further 128 bits of the fingerprint) and keys: each segment's number and value in one long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, number = 1 << np.arange(width, dtype=np.int64), np.arange(tables, dtype=np.int64) << 32
+        for batch in _slices(batches):
+            if not batch.num_rows:
+                continue
+            mark = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            bits = np.unpackbits(mark, axis=1, count=tables * width, bitorder="little").reshape(-1, tables, width)
+            keys = pa.FixedSizeListArray.from_arrays(pa.array((bits @ weight + number).ravel()), tables).cast(pa.list_(pa.int64()))
+            last = np.ascontiguousarray(mark[:, -16:]).view(np.int64)
+            columns = [batch.column(0), batch.column(1), pa.array(last[:, 0]), pa.array(last[:, 1]), keys]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "a", "b", "keys"])
+
+    return marks.select("id", "size", "mark").mapInArrow(run, "id long, size int, a long, b long, keys array<long>")
+
+
 def _cut(rows: DataFrame, block: int, name: str) -> DataFrame:
-    """key, i, j, id of rows (key, id): keys of more than ``block`` ids are cut into blocks, each two of which meet."""
+    """``rows`` (key, id, ...) with i and j: keys of more than ``block`` ids are cut into blocks, each two of which meet."""
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
     large = materialize(sizes.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), name)
-    rows = rows.select("key", "id")
     if large.isEmpty():
         return rows.withColumns({"i": F.lit(0), "j": F.lit(0)})
-    rows = rows.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("key", "id", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"))
+    cut = rows.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.withColumn("home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return cut.select(*rows.columns, F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"))
 
 
 def _edges(held: pa.Table) -> np.ndarray:
@@ -311,19 +311,10 @@ def _edges(held: pa.Table) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _spanning(rows: DataFrame, roots: Callable[[pa.Table], np.ndarray]) -> DataFrame:
-    """Links a, b from the ids of each group (key, i, j) to the ids of their roots; no more than two blocks are held."""
+def _by_group(rows: DataFrame, of: Callable[[pa.Table, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``of`` makes of whole groups (key, i, j) and where they begin; no more than two blocks are held."""
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
 
-    def links(held: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
-        ids, found = held.column("id").to_numpy(), [np.zeros((2, 0), np.int64)]
-        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), held.num_rows], strict=True):
-            if b - a > 1:
-                own, root = ids[a:b], roots(held.slice(a, b - a))
-                found.append(np.stack([own, own[root]])[:, root != np.arange(b - a)])
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
         for batch in batches:
@@ -333,12 +324,49 @@ def _spanning(rows: DataFrame, roots: Callable[[pa.Table], np.ndarray]) -> DataF
             edges = _edges(held)
             rest = held.slice(int(edges[-1])).to_batches()  # whole when the next group begins
             if len(edges) > 1:
-                yield links(held.slice(0, int(edges[-1])), edges[:-1])
+                yield of(held.slice(0, int(edges[-1])), edges[:-1])
         if rest:
             held = pa.Table.from_batches(rest).combine_chunks()
-            yield links(held, _edges(held))
+            yield of(held, _edges(held))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, schema)
+
+
+def _spanning(rows: DataFrame, roots: Callable[[pa.Table], np.ndarray]) -> DataFrame:
+    """Links a, b from the ids of each group (key, i, j) to the ids of their roots."""
+
+    def links(held: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
+        ids, found = held.column("id").to_numpy(), [np.zeros((2, 0), np.int64)]
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), held.num_rows], strict=True):
+            if b - a > 1:
+                own, root = ids[a:b], roots(held.slice(a, b - a))
+                found.append(np.stack([own, own[root]])[:, root != np.arange(b - a)])
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return _by_group(rows, links, "a long, b long")
+
+
+def _met(rows: DataFrame, similarity: float) -> DataFrame:
+    """key, i, j, id of those ``rows`` whose size and 128 bits allow the ``similarity`` to another one of their group."""
+
+    def near(held: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
+        size, met = held.column("size").to_numpy(), np.zeros(held.num_rows, bool)
+        bits = [held.column(c).to_numpy().view(np.uint64) for c in ("a", "b")]
+        # A pair has the allowance of its smaller set, which is the larger one.
+        most = np.floor(similarity_bits(similarity, size, 128)).astype(np.uint8)
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), held.num_rows], strict=True):
+            for low in range(a, b if b - a > 1 else a, step := max(1, (1 << 20) // (b - a))):
+                high = min(low + step, b)
+                far = np.bitwise_count(bits[0][low:high, None] ^ bits[0][None, a:b]) + np.bitwise_count(bits[1][low:high, None] ^ bits[1][None, a:b])
+                one, other = np.nonzero(far <= most[low:high, None])
+                one, other = one + low, other + a
+                fits = (one != other) & (np.minimum(size[one], size[other]) >= similarity * np.maximum(size[one], size[other]))
+                met[one[fits]] = met[other[fits]] = True
+        kept = held.select(["key", "i", "j", "id"]).filter(pa.array(met)).combine_chunks()
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in kept.columns], names=["key", "i", "j", "id"])
+
+    return _by_group(rows, near, "key long, i int, j int, id long")
 
 
 def _bits(held: pa.Table) -> np.ndarray:
@@ -358,19 +386,24 @@ def _close(held: pa.Table, similarity: float) -> Callable[[int, np.ndarray], np.
     return near_of
 
 
-def similar_links(marks: DataFrame, keys: DataFrame, similarity: float, block: int = 4096) -> DataFrame:
-    """Links a, b between ids of distinct marks whose size and bits allow the ``similarity``.
+def similar_links(marks: DataFrame, similarity: float, block: int = 4096, missed: float = 1e-6) -> DataFrame:
+    """Links a, b between ids of distinct marks whose size and bits allow the ``similarity``, by multi-index hashing.
 
-    ``marks`` has id, mark and size, ``keys`` id and keys; all pairs of the similarity share a key. Only ids are exchanged for
-    that; marks follow to the entries that are met at all. Links span the components of an entry's blocks,
-    never all pairs.
+    ``marks`` has id, mark and size. Each segment has a table of its odd values; a text with an odd value is an entry of it, one
+    with an even value asks for the whole ball of radius 1 around it, all odd. Texts that meet in an entry are compared by
+    size and 128 bits; marks follow only to those with a partner there, for the whole distance. Links span the components of an
+    entry's blocks, never all pairs.
     """
-    rows = keys.select("id", F.explode("keys").alias("key"))
-    # Counted first, so that a key that many texts have is one row a task; Spark can split the join's large partitions.
-    often = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "often")
-    rows = _cut(materialize(rows.join(often, "key", "left_semi"), "met"), block, "large_entries")
-    rows = rows.join(marks.select("id", "size", F.col("mark").alias("bits")), "id")
-    return _spanning(rows, lambda held: _grown(held.num_rows, _close(held, similarity)))
+    # Of two different sets one has as many shingles as the similarity needs for one more or less.
+    asked = marks.where(F.col("size") + 1 >= 1 / (1 - similarity) - 1e-6) if similarity < 1 else marks.limit(0)
+    width, tables = segments(similarity, asked.count(), missed=missed)
+    values = materialize(segment_values(asked, width, tables), "segments")
+    even = F.bit_count(F.col("key").bitwiseAND(F.lit((1 << width) - 1))) % 2 == 0
+    flips = F.array(*(F.lit(1 << i).cast("long") for i in range(width)))
+    ball = F.when(even, F.transform(flips, lambda f: F.col("key").bitwiseXOR(f))).otherwise(F.array("key"))
+    rows = values.select("id", "size", "a", "b", F.explode("keys").alias("key")).withColumn("key", F.explode(ball))
+    met = materialize(_met(_cut(rows, block, "large_entries"), similarity), "met")
+    return _spanning(met.join(marks.select("id", "size", F.col("mark").alias("bits")), "id"), lambda held: _grown(held.num_rows, _close(held, similarity)))
 
 
 def _verified_roots(held: pa.Table, similarity: float) -> np.ndarray:
@@ -404,28 +437,27 @@ def verified_links(families: DataFrame, texts: DataFrame, similarity: float, wid
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
     sets = only(texts, "id", decided(families.select("id"), "id", outlast=False)).select("id", "text").mapInArrow(run, "id long, shingles binary")
-    rows = _cut(families, block, "large_families").join(families.select("id", "size", "bits"), "id").join(materialize(sets, "shingles"), "id")
+    rows = _cut(families.select("key", "id"), block, "large_families").join(families.select("id", "size", "bits"), "id").join(materialize(sets, "shingles"), "id")
     return _spanning(rows.select("key", "i", "j", "id", "size", "bits", "shingles"), lambda held: _verified_roots(held, similarity))
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, block: int = 4096, family_block: int = 256, id_col: str = "doc_id", text_col: str = "text", tag: str | None = None) -> DataFrame:
     """One row per input row: doc_id, component_id, component (and the tag, if named), by similarity of the shingle sets.
 
-    Rows link if the Jaccard similarity of their shingles is ``similarity`` or more. Candidates meet in one of
-    their rarest shingles, which no pair of the similarity can avoid; their distance over the shingles' bits is
-    verified with an allowance of six standard errors, and the families that it leaves are checked by the
-    shingles themselves. Lower-cased texts with the same words and shingles are linked,
+    Rows link if the Jaccard similarity of their shingles is ``similarity`` or more. Candidates are found by multi-index
+    hashing of 1,024-bit fingerprints (``similar_links``, which misses a millionth of the pairs of just that similarity, fewer above);
+    their whole distance is verified with an allowance of six standard errors, and the families that it leaves are
+    checked by the shingles themselves. Lower-cased texts with the same words and shingles are linked,
     also those without words; a null text counts as empty. component_id is the smallest doc_id reachable, null
     only if no row of the component has one; component tells such components apart. An empty table gives an
     empty result; further columns are ignored.
     """
     copy, row = (docs.select(id_col, text_col, tag), tag) if tag else tagged(docs.select(id_col, text_col))
-    marks = materialize(similarity_marks(copy, id_col, text_col, row, width, similarity), "marks")
+    marks = materialize(similarity_marks(copy, id_col, text_col, row, width), "marks")
     one = F.min(F.struct("tag", "size")).alias("one")
     distinct = marks.groupBy("mark").agg(one, F.min("doc_id").alias("least")).select("mark", "least", F.col("one.tag").alias("id"), "one.size")
     distinct = materialize(distinct, "distinct")
-    keys = only(marks.select("tag", "keys"), "tag", decided(distinct.select("id"), "id", outlast=False)).withColumnRenamed("tag", "id")
-    families = components(similar_links(distinct, keys, similarity, block)).select(F.col("node").alias("id"), F.col("root").alias("key"))
+    families = components(similar_links(distinct, similarity, block)).select(F.col("node").alias("id"), F.col("root").alias("key"))
     families = materialize(families.join(distinct.select("id", "size", F.col("mark").alias("bits")), "id"), "families")
     texts = copy.select(F.col(row).alias("id"), F.col(text_col).cast("string").alias("text"))
     roots = components(verified_links(families, texts, similarity, width, family_block)).withColumnRenamed("node", "id")
