@@ -1,6 +1,9 @@
 import math
 
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.sql import functions as F
 
 from tidewell.functions import features
@@ -189,6 +192,40 @@ def test_scoring(spark):
     assert other.where("prediction_score <> f0 / 7").count() == 0
 
 
+def _credit_rows(spark, n):
+    value = lambda i: F.pmod(F.xxhash64(F.lit(i), "id"), F.lit(1_000_003)) / 1_000_003
+    rows = spark.range(n).select(F.col("id").alias("application_id"), *(value(i).alias(f"f{i}") for i in range(4)), value(9).alias("noise"))
+    rows = rows.withColumn("f3", F.when(F.col("application_id") % 11 > 0, F.floor(F.col("f3") * 5)))
+    return rows.withColumn("class", ((F.col("f0") * 2 + F.col("f1") * F.col("f2") + F.coalesce("f3", F.lit(2)) / 9 + F.col("noise") / 2) > 1.7).cast("int")).drop("noise")
+
+
+def test_boosted_trees_are_those_of_spark(spark):
+    """Rounds, stops and scores of pyspark.ml's trainer, where both take all rows for the candidate splits."""
+    rows, names = _credit_rows(spark, 3000).cache(), ["f0", "f1", "f2", "f3"]
+    model = scoring.train_classifier(rows, names)
+    filled = [f"__{c}" for c in names]
+    held = rows.withColumn("__held", F.pmod(F.xxhash64("application_id", F.lit(42)), F.lit(10)) == 0).withColumns({c: F.col(c).cast("double") for c in names})
+    gbt = GBTClassifier(featuresCol="__features", labelCol="class", maxIter=200, stepSize=0.05, maxDepth=5, seed=42, validationIndicatorCol="__held")
+    other = Pipeline(stages=[Imputer(strategy="median", inputCols=names, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="__features"), gbt]).fit(held)
+    assert len(model.stages[-1].trees) == other.stages[-1].getNumTrees > 5
+    a, b = (scoring.score_batch(rows, m, names, "v", "2024-01-01").select("application_id", F.col("prediction_score").alias(c)) for m, c in ((model, "a"), (other, "b")))
+    assert a.join(b, "application_id").where("abs(a - b) > 1e-9").count() == 0
+
+
+def test_boosting_does_not_depend_on_layout(spark):
+    """Rows in one, seven or badly uneven partitions give the same trees; those of pyspark.ml's trainer differ beyond 10,000 rows."""
+    rows, names = _credit_rows(spark, 15_000), ["f0", "f1", "f2", "f3"]
+    models = [scoring.train_classifier(r, names, rounds=3) for r in (rows.coalesce(1), rows.repartition(7, "f3"))]
+    sample = _credit_rows(spark, 500).cache()
+    one, two = ([r.prediction_score for r in scoring.score_batch(sample, m, names, "v", "2024-01-01").orderBy("application_id").collect()] for m in models)
+    assert one == pytest.approx(two, abs=1e-12) and len(set(one)) > 20
+    dealt = scoring._dealt(_credit_rows(spark, 120_000).repartition(9, "f3"), ["application_id"])
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) == 3 and max(sizes) < 1.05 * 40_000
+    with pytest.raises(Exception, match="labels must be 0 or 1"):
+        scoring.train_classifier(sample.withColumn("class", F.lit(2)), names, rounds=2)
+
+
 def test_streaming_profile(spark, tmp_path):
     rows = spark.range(100).select(F.timestamp_seconds(F.col("id") * 3600 + 1_704_067_200).alias("scored_at"), F.lit("v1").alias("model_version"), F.lit(0.5).alias("prediction_score"), F.lit(1.0).alias("prediction"))
     rows.write.parquet(str(tmp_path / "in"))

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark import StorageLevel
+from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cohorts import cohort
+from .boosting import boost
 
 #: Columns of a scored table that are no model input.
 NOT_FEATURES = ["customer_id", "application_id", "class", "batch_date", "variant", "model_version", "scored_at", "prediction", "prediction_score", "ground_truth", "split"]
@@ -64,22 +66,36 @@ def exact_split(df: DataFrame, label: str, key: str, test_percent: int = 20, see
     return both.withColumn("split", F.when(F.col("__test"), "test").otherwise("train")).select(*df.columns, "split")
 
 
+#: Rows that are worth a task of their own, and the most that a task of a full cluster gets.
+LEAST_ROWS, MOST_ROWS = 50_000, 1_000_000
+
+
+def _dealt(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` in tasks of even counts and in a fixed order, whatever files or partitions they come from; a task a core, or equally many for each."""
+    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    tasks = cores * -(-n // (cores * MOST_ROWS)) if n > cores * MOST_ROWS else max(1, min(cores, -(-n // LEAST_ROWS)))
+    return rows.repartition(tasks, *order).sortWithinPartitions(*order)
+
+
 def train_classifier(train: DataFrame, features: list[str], label: str = "class", kind: str = "gbt", rounds: int = 200, rate: float = 0.05, seed: int = 42, key: str = "application_id") -> PipelineModel:
     """Medians for missing values, then boosted trees (or ``kind="logistic"``), all in Spark.
 
-    A tenth of the rows, by a hash of ``key``, stops the boosting when it gains no more there; ``rounds`` is the most.
+    A tenth of the rows, by a hash of ``key``, stops the boosting when it gains no more there; ``rounds`` is the most. For it the rows
+    are prepared once, dealt evenly and kept on the executors' disks.
     """
     filled = [f"__{c}" for c in features]
-    stages = [Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="__features", handleInvalid="keep")]
+    imputer = Imputer(strategy="median", inputCols=features, outputCols=filled)
     rows = train.drop("prediction", "probability", "rawPrediction").withColumns({c: F.col(c).cast("double") for c in features}).withColumn("__label", F.col(label).cast("double"))
     if kind == "gbt":
-        rows = rows.withColumn("__held_out", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10)) == 0)
-        model = GBTClassifier(featuresCol="__features", labelCol="__label", maxIter=rounds, stepSize=rate, maxDepth=5, seed=seed, validationIndicatorCol="__held_out")
-    else:
-        model = LogisticRegression(featuresCol="__features", labelCol="__label", maxIter=50, standardization=True)
-    from pyspark.ml import Pipeline
-
-    return Pipeline(stages=[*stages, model]).fit(rows)
+        rows = rows.select(key, *features, "__label", (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10)) == 0).alias("__held_out"))
+        rows = _dealt(rows, [key, *features]).persist(StorageLevel.DISK_ONLY)
+        try:
+            medians = imputer.fit(rows)
+            return PipelineModel([medians, boost(medians.transform(rows), filled, "__label", "__held_out", key, rounds, rate, seed)])
+        finally:
+            rows.unpersist()
+    stages = [imputer, VectorAssembler(inputCols=filled, outputCol="__features", handleInvalid="keep")]
+    return Pipeline(stages=[*stages, LogisticRegression(featuresCol="__features", labelCol="__label", maxIter=50, standardization=True)]).fit(rows)
 
 
 def score_batch(df: DataFrame, model: Transformer, features: list[str], version: str, scored_at: str) -> DataFrame:

@@ -915,8 +915,10 @@ def exact_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def train_and_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts, (model,), names = _trained(spark, sf_dir, "gbt")
-    scored = scoring.score_batch(parts.where("split = 'test'"), model, names, "v1", SCORED_AT)
-    return quality.gate(quality.quality_metrics(scored, "prediction_score", "class"))
+    scored = scoring.score_batch(parts.where("split = 'test'"), model, names, "v1", SCORED_AT).select("prediction_score", "class")
+    path = tables.shared_path(spark, "test_scores")  # the metrics read it several times
+    tables.overwrite(scored, path)
+    return quality.gate(quality.quality_metrics(spark.read.schema(scored.schema).parquet(path), "prediction_score", "class"))
 
 
 @query()
