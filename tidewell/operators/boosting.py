@@ -1,6 +1,6 @@
-"""Boosted trees over blocks of binned features: those of ``pyspark.ml``'s GBTClassifier in a tenth of the memory.
+"""Boosted trees over blocks of binned features: those of ``pyspark.ml``'s GBTClassifier in far less memory.
 
-That trainer keeps each row as objects of some 200 bytes and walks them five times a round. Here a feature value is its bin, one byte,
+That trainer keeps each row as objects, by estimate 200 bytes, and walks them five times a round. Here a feature value is its bin, one byte,
 and a block of rows one Spark row of byte arrays; tasks count histograms of a level's nodes, and the driver picks splits from their sums.
 """
 
